@@ -97,9 +97,19 @@ def snapshot_before_delete(df: DataFrame, key: str) -> DataFrame:
 
 
 def snapshot_digest(snapshot: DataFrame, key: str) -> DataFrame:
-    """SHA-256 over the sorted row digests of each target."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("row_sha")), ","), 256)
-    return snapshot.groupBy(key).agg(F.count("*").alias("n_rows"), digest.alias("sha256"))
+    """Digest of each target over its sorted row digests.
+
+    Rows are folded in 4096 buckets by digest prefix first, so a target holding a
+    third of all rows is never gathered in one group.
+    """
+
+    def fold(column: str):
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ","), 256)
+
+    buckets = snapshot.groupBy(key, F.substring("row_sha", 1, 3).alias("_bucket")).agg(
+        F.count("*").alias("_n"), fold("row_sha").alias("_sha")
+    )
+    return buckets.groupBy(key).agg(F.sum("_n").alias("n_rows"), fold("_sha").alias("sha256"))
 
 
 def restore_snapshot(snapshot: DataFrame, digests: DataFrame, current: DataFrame, key: str, own: str) -> DataFrame:

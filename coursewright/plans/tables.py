@@ -68,7 +68,7 @@ def cascade_delete(s, sf):
 
 def _accounts(s, sf):
     src = T.table(s, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
-    seen = T.table(s, sf, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    seen = T.table(s, sf, "orders").where(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("user_id")).distinct()
     dst = src.join(seen, "user_id", "left_semi").select((F.col("user_id") + 1000000).alias("user_id"), "email")
     return src, dst
 
@@ -142,12 +142,10 @@ def nest_children(s, sf):
 
 
 def join_bridge_ordered(s, sf):
-    """Lessons of each section, newest first, as a position within the section."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("section_id").orderBy(F.col("created_at").desc(), F.col("lesson_id").desc())
+    """Lessons of each section, newest first."""
     joined = T.sections(s, sf).select("section_id", "unit_id").join(T.lessons(s, sf), "section_id")
-    return joined.select("unit_id", "section_id", "lesson_id", F.row_number().over(w).alias("position"))
+    newest = joined.orderBy("section_id", F.col("created_at").desc(), F.col("lesson_id").desc())
+    return newest.select("unit_id", "section_id", "lesson_id")
 
 
 def latest_run_for_document(s, sf):

@@ -6,7 +6,7 @@ CARDS = """cards AS (SELECT event_id AS card_id, CASE WHEN event_type <> 'signup
   event_id % 5 AS course_id, event_id % 25 AS unit_id, event_id * 7 % 500 AS lesson_id,
   event_type IN ('click', 'signup') AS is_generated, ts AS created_at FROM events)"""
 DST = """dst AS (SELECT c_custkey + 1000000 AS user_id, c_name AS email FROM customer
-  WHERE c_custkey IN (SELECT o_custkey FROM orders))"""
+  WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000))"""
 PERMS = "perms AS (SELECT DISTINCT user_id, permission FROM role_of JOIN role_perm USING (role))"
 SNAP = """snap AS (SELECT run_id, log_id, sha256('{"run_id":' || run_id || ',"log_id":' || log_id || ',"stage":"' || stage
   || '","result":"' || result || '"}') AS row_sha FROM logs)"""
@@ -31,11 +31,13 @@ UNION ALL SELECT 'lessons', lesson_id FROM lessons SEMI JOIN live USING (section
 UNION ALL SELECT 'practices', practice_id FROM practices SEMI JOIN live USING (section_id)
 UNION ALL SELECT 'quizzes', quiz_id FROM quizzes SEMI JOIN live USING (section_id)""",
     "promote_missing": "SELECT c_custkey AS user_id, c_name AS email FROM customer "
-    "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "rekey_roles": with_(DST)
     + "SELECT dst.user_id, c_mktsegment AS role FROM customer JOIN dst ON dst.email = c_name",
     "snapshot_before_delete": with_(LOGS, SNAP)
-    + "SELECT run_id, count(*) AS n_rows, sha256(string_agg(row_sha, ',' ORDER BY row_sha)) AS sha256 FROM snap GROUP BY 1",
+    + """, part AS (SELECT run_id, count(*) AS n, sha256(string_agg(row_sha, ',' ORDER BY row_sha)) AS sha
+  FROM snap GROUP BY run_id, left(row_sha, 3))
+SELECT run_id, sum(n)::BIGINT AS n_rows, sha256(string_agg(sha, ',' ORDER BY sha)) AS sha256 FROM part GROUP BY 1""",
     "restore_snapshot": with_(LOGS) + "SELECT run_id, log_id, stage, result FROM logs",
     "filter_by_key": with_(LESSONS) + "SELECT lesson_id, title FROM lessons WHERE section_id = 7",
     "filter_in": with_(LOGS, RUNS)
@@ -63,8 +65,8 @@ WHERE status IN ('pending', 'processing')
     + """SELECT role, count(*)::INTEGER AS n, string_agg(permission, '|' ORDER BY permission) AS permissions
 FROM role_perm GROUP BY role""",
     "join_bridge_ordered": with_(SECTIONS, LESSONS)
-    + """SELECT unit_id, section_id, lesson_id, (row_number() OVER (PARTITION BY section_id
-  ORDER BY created_at DESC, lesson_id DESC))::INTEGER AS position FROM sections JOIN lessons USING (section_id)""",
+    + """SELECT unit_id, section_id, lesson_id FROM sections JOIN lessons USING (section_id)
+ORDER BY section_id, created_at DESC, lesson_id DESC""",
     "latest_run_for_document": with_(LOGS, RUNS)
     + """SELECT doc_id, run_id, status FROM runs WHERE doc_id IN (SELECT doc_id FROM documents)
 QUALIFY run_id = max(run_id) OVER (PARTITION BY doc_id)""",
