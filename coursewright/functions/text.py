@@ -119,7 +119,12 @@ def text_hints(text: Column) -> Column:
     # Length of everything before the k-th marker, less the markers added so far.
     starts = F.transform(
         F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda _, i: F.length(F.substring_index(F.array_join(F.slice(pieces, 1, i + 1), ""), "\u0001", i + 1)) - i,
+        lambda _, i: F.length(
+            F.call_function(
+                "substring_index", F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit("\u0001"), i + 1
+            )
+        )
+        - i,
     )
     return F.struct(
         F.when(number != "", number.cast("int")).alias("numbered_item"),
