@@ -77,7 +77,7 @@ def classify_heading(text: Column, level: Column) -> Column:
 def split_heading_number(text: Column) -> Column:
     """struct(number, title) of ``1.2 Title``, ``A. Title`` or ``Appendix A Title``."""
     # Fixed value: the heading number pattern.
-    pattern = r"(?d)^((?:\d+\.)*\d+|[A-Z]\.|Appendix\s+[A-Z])\s+(.*)$"
+    pattern = r"(?d)^((?:\d+\.)*+\d+|[A-Z]\.|Appendix\s+[A-Z])\s+(.*)$"
     number = F.regexp_extract(text, pattern, 1)
     return F.struct(
         number.alias("number"),

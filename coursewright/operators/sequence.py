@@ -10,7 +10,7 @@ like any other.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,24 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
+def block_of(order: str, block_rows: int | None = None) -> Column:
+    return F.expr(f"`{order}` div {int(block_rows or BLOCK_ROWS)}")
+
+
+def _blocked(df: DataFrame, order: str, block_rows: int | None) -> DataFrame:
+    return df.withColumn(_BLOCK, block_of(order, block_rows))
+
+
+def _inside(keys: Sequence[str], order: str, reverse: bool = False):
+    direction = F.col(order).desc() if reverse else F.col(order).asc()
+    return Window.partitionBy(*keys, _BLOCK).orderBy(direction)
+
+
+def _earlier_blocks(keys: Sequence[str], reverse: bool = False):
+    direction = F.col(_BLOCK).desc() if reverse else F.col(_BLOCK).asc()
+    return Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -50,7 +68,7 @@ def scan(
     specs: Mapping[str, ScanSpec],
     *,
     reverse: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min``/``last`` columns over (keys, order).
 
@@ -60,11 +78,10 @@ def scan(
     """
     keys = list(keys)
     names = list(specs)
-    staged = df.withColumn(_BLOCK, F.expr(f"`{order}` div {int(block_rows)}"))
+    staged = _blocked(df, order, block_rows)
     for name in names:
         staged = staged.withColumn(f"_in_{name}", specs[name][1])
-    direction = F.col(order).desc() if reverse else F.col(order).asc()
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(direction)
+    inside = _inside(keys, order, reverse)
     local = staged
     for name in names:
         kind, _, inclusive = specs[name]
@@ -74,8 +91,7 @@ def scan(
     totals = staged.groupBy(*keys, _BLOCK).agg(
         *[_total(specs[n][0], F.col(f"_in_{n}"), F.col(order), reverse).alias(f"_sum_{n}") for n in names]
     )
-    block_direction = F.col(_BLOCK).desc() if reverse else F.col(_BLOCK).asc()
-    before = Window.partitionBy(*keys).orderBy(block_direction).rowsBetween(Window.unboundedPreceding, -1)
+    before = _earlier_blocks(keys, reverse)
     carries = totals.select(
         *keys, _BLOCK, *[_over(specs[n][0], F.col(f"_sum_{n}"), before).alias(f"_carry_{n}") for n in names]
     )
@@ -86,6 +102,49 @@ def scan(
     )
 
 
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    name: str,
+    columns: Sequence[str],
+    continues: Callable[[Column, Column], Column],
+    *,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Add ``name``: the ``order`` of the first row of each row's run.
+
+    ``continues(previous, current)`` (structs of ``columns``) says whether a row extends
+    the run of the row before.  Only a block's first row needs its neighbour block, and
+    that is settled on the block totals, so the rows are scanned once.
+    """
+    keys = list(keys)
+    staged = _blocked(df, order, block_rows).withColumn("_row", F.struct(*columns))
+    w = _inside(keys, order)
+    prev = F.lag("_row").over(w)
+    # Null where the answer lies in the block before.
+    begins = F.when(prev.isNotNull(), ~F.coalesce(continues(prev, F.col("_row")), F.lit(False)))
+    local = staged.withColumn("_start", F.when(begins, F.col(order)))
+    local = local.withColumn(
+        "_own", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    edges = local.groupBy(*keys, _BLOCK).agg(
+        F.min_by("_row", order).alias("_first"),
+        F.max_by("_row", order).alias("_last"),
+        F.min(order).alias("_at"),
+        F.max("_start").alias("_latest"),
+    )
+    by_block = Window.partitionBy(*keys).orderBy(_BLOCK)
+    left = F.lag("_last").over(by_block)
+    joined_left = F.coalesce(continues(left, F.col("_first")), F.lit(False))
+    edges = edges.withColumn("_opens", F.when(joined_left, None).otherwise(F.col("_at")))
+    edges = edges.withColumn("_end", F.coalesce("_latest", "_opens"))
+    carried = F.last("_end", ignorenulls=True).over(_earlier_blocks(keys))
+    heads = edges.select(*keys, _BLOCK, F.coalesce(F.col("_opens"), carried).alias("_head"))
+    out = local.join(heads, [*keys, _BLOCK], "left")
+    return out.select(*df.columns, F.coalesce("_own", "_head").alias(name))
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: str, name: str, columns: Sequence[str], **kw) -> DataFrame:
     """Add struct ``name`` holding ``columns`` of the row before (null on the first row)."""
     return scan(df, keys, order, {name: ("last", F.struct(*columns), False)}, **kw)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coursewright.functions.text import WS, strip
 from coursewright.operators import sequence as Q
+from coursewright.session import stage
 
 Pass = Callable[[DataFrame], DataFrame]
 KEYS = ["doc_id"]
@@ -20,25 +21,44 @@ CAPTION = r"(?i)^(?:Figure|Fig\.?|Table|Equation|Eq\.?)\s*\d+"
 
 
 def compose_passes(passes: Sequence[Pass]) -> Pass:
-    return lambda df: reduce(lambda d, p: d.transform(p), passes, df)
+    """Passes in order, each on the staged table of the one before.
+
+    A pass reads its input twice (rows, then block totals); staging keeps a chain of
+    passes linear instead of doubling per pass.
+    """
+    return lambda df: reduce(lambda d, p: stage(d).transform(p), passes, df)
 
 
 def drop_non_content(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("node_type").isin(*NON_CONTENT))
 
 
-def repair_heading_levels(nodes: DataFrame) -> DataFrame:
+def repair_heading_levels(nodes: DataFrame, block_rows: int | None = None) -> DataFrame:
     """First heading to 1, none deeper than the one before plus one.
 
     With i the ordinal of a heading, the repaired level is i + min(0, min over it and
-    earlier headings of (level - i)).
+    earlier headings of (level - i)).  Blocks count and take minima on their own; a
+    block's carry shifts both, so the nodes are scanned once.
     """
     is_heading = F.col("node_type") == "heading"
-    counted = Q.scan(nodes, KEYS, "seq", {"_i": ("sum", F.when(is_heading, 1).otherwise(0).cast("long"), True)})
-    slack = F.when(is_heading, F.col("level") - F.col("_i"))
-    low = Q.scan(counted, KEYS, "seq", {"_low": ("min", slack, True)})
-    repaired = F.least(F.col("_i") + F.least(F.lit(0), F.col("_low")), F.lit(4)).cast("int")
-    return low.withColumn("level", F.when(is_heading, repaired).otherwise(F.col("level"))).drop("_i", "_low")
+    upto = Window.partitionBy("doc_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        nodes.withColumn("_block", Q.block_of("seq", block_rows))
+        .withColumn("_i", F.sum(F.when(is_heading, 1).otherwise(0)).over(upto))
+        .withColumn("_slack", F.when(is_heading, F.col("level") - F.col("_i")))
+        .withColumn("_low", F.min("_slack").over(upto))
+    )
+    totals = local.groupBy("doc_id", "_block").agg(F.max("_i").alias("_n"), F.min("_slack").alias("_least"))
+    before = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = totals.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carries = counted.select(
+        "doc_id", "_block", "_shift", F.min(F.col("_least") - F.col("_shift")).over(before).alias("_carry")
+    )
+    joined = local.join(carries, ["doc_id", "_block"], "left")
+    lowest = F.least(F.col("_low") - F.col("_shift"), F.col("_carry"))
+    repaired = F.least(F.col("_i") + F.col("_shift") + F.least(F.lit(0), lowest), F.lit(4)).cast("int")
+    fixed = F.when(is_heading, repaired).otherwise(F.col("level"))
+    return joined.select(*[fixed.alias("level") if c == "level" else F.col(c) for c in nodes.columns])
 
 
 def attach_captions(nodes: DataFrame) -> DataFrame:
@@ -86,16 +106,14 @@ def merge_paragraphs(nodes: DataFrame) -> DataFrame:
 
 def merge_lists(nodes: DataFrame) -> DataFrame:
     """Consecutive lists of one style merge, unless one is the other's parent."""
-    seen = Q.previous(nodes, KEYS, "seq", "_prev", ["node_type", "list_style", "node_id", "parent_id"])
-    same = (
-        (F.col("node_type") == "list")
-        & (F.col("_prev.node_type") == "list")
-        & (F.col("list_style") == F.col("_prev.list_style"))
-        & ~F.coalesce(F.col("parent_id") == F.col("_prev.node_id"), F.lit(False))
-        & ~F.coalesce(F.col("_prev.parent_id") == F.col("node_id"), F.lit(False))
-    )
-    start = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("long")
-    runs = Q.scan(seen, KEYS, "seq", {"_run": ("sum", start, True)}).drop("_prev")
+    def continues(prev: Column, row: Column) -> Column:
+        nested = F.coalesce(row["parent_id"] == prev["node_id"], F.lit(False)) | F.coalesce(
+            prev["parent_id"] == row["node_id"], F.lit(False)
+        )
+        both = (prev["node_type"] == "list") & (row["node_type"] == "list")
+        return both & (prev["list_style"] == row["list_style"]) & ~nested
+
+    runs = Q.islands(nodes, KEYS, "seq", "_run", ["node_type", "list_style", "node_id", "parent_id"], continues)
     is_list = F.col("node_type") == "list"
     rest = [c for c in nodes.columns if c not in ("doc_id", "text")]
     merged = runs.where(is_list).groupBy("doc_id", "_run").agg(
@@ -224,11 +242,11 @@ def fold_list_items(nodes: DataFrame) -> DataFrame:
     Children of a folded item move to the group.
     """
     lists = nodes.where(F.col("node_type") == "list")
-    groups = lists.select("doc_id", F.col("node_id").alias("group_id"))
+    groups = lists.select("doc_id", F.col("node_id").alias("parent_id"))
     folded = (
         lists.where(F.col("n_items") == 1)
-        .join(groups, [lists["doc_id"] == groups["doc_id"], lists["parent_id"] == groups["group_id"]])
-        .select(lists["doc_id"], lists["node_id"], "group_id", "seq", "text", "list_style")
+        .join(groups, ["doc_id", "parent_id"], "left_semi")
+        .select("doc_id", "node_id", F.col("parent_id").alias("group_id"), "seq", "text", "list_style")
     )
     items = folded.groupBy("doc_id", F.col("group_id").alias("node_id")).agg(
         F.min_by("list_style", "seq").alias("_style"),
@@ -326,8 +344,9 @@ def project_content_nodes(nodes: DataFrame) -> DataFrame:
 
 def page_contexts(nodes: DataFrame) -> DataFrame:
     """Per page: its texts joined by newlines and its first heading."""
+    text = node_plain_text(F.col("node_type"), F.col("text"), F.lit(None).cast("string"))
     return nodes.groupBy("doc_id", "page").agg(
-        Q.ordered_join(F.when(F.col("text") != "", F.col("text")), F.col("seq"), "\n").alias("page_text"),
+        Q.ordered_join(F.when(text != "", text), F.col("seq"), "\n").alias("page_text"),
         F.min_by("text", F.when(F.col("node_type") == "heading", F.col("seq"))).alias("heading"),
         F.count("*").alias("n_nodes"),
     )

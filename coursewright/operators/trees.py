@@ -19,14 +19,14 @@ def closure(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, max_d
     until no pointer is left, each cut by a reliable checkpoint.
     """
     keys = list(keys)
-    up = nodes.select(*keys, F.col(node).alias("_at"), F.col(parent).alias("_up")).where(F.col("_up").isNotNull())
+    up = nodes.select(*keys, F.col(node).alias("ancestor"), F.col(parent).alias("_up")).where(F.col("_up").isNotNull())
     level = nodes.select(*keys, F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"))
     out = [level]
     step = 0
     while max_depth is None or step < max_depth:
         step += 1
-        level = level.join(up, [*[level[k] == up[k] for k in keys], level["ancestor"] == up["_at"]]).select(
-            *[level[k] for k in keys], "node", F.col("_up").alias("ancestor"), F.lit(step).alias("distance")
+        level = level.join(up, [*keys, "ancestor"]).select(
+            *keys, "node", F.col("_up").alias("ancestor"), F.lit(step).alias("distance")
         )
         if max_depth is None:
             level = cut_lineage(level)
@@ -70,11 +70,9 @@ def repair_parents(nodes: DataFrame, keys: Sequence[str], node: str, parent: str
     round, so what is left after log2(depth) rounds are cycles and their tails.
     """
     keys = list(keys)
-    known = nodes.select(*keys, F.col(node).alias("_pid"), F.lit(True).alias("_known"))
-    on = [*[nodes[k] == known[k] for k in keys], nodes[parent] == known["_pid"]]
-    linked = nodes.join(known, on, "left").select(
-        *[nodes[c] for c in nodes.columns if c != parent],
-        F.when(F.col("_known"), nodes[parent]).alias(parent),
+    known = nodes.select(*keys, F.col(node).alias(parent), F.lit(True).alias("_known"))
+    linked = nodes.join(known, [*keys, parent], "left").select(
+        *[c for c in nodes.columns if c != parent], F.when(F.col("_known"), F.col(parent)).alias(parent)
     )
     links = cut_lineage(linked.where(F.col(parent).isNotNull()).select(*keys, node, parent, order))
 

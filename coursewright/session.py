@@ -1,8 +1,9 @@
-"""Session and checkpoint helpers."""
+"""Session, checkpoint and staging helpers."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,15 @@ def build_session(app: str = "coursewright", cpus: str = "*", shuffle_partitions
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is made
-    only when none is set and the master is local (tests), since a machine-local
-    folder would not survive the loss of an executor on a cluster.
+    One of our own is made only when none is set and the master is local (tests): a
+    machine-local folder would not survive the loss of an executor on a cluster.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             configured = sc.getConf().get("spark.checkpoint.dir", None)
         if configured is None:
@@ -43,4 +43,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for loops over narrow rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back.
+
+    Used between passes that read their input twice: the second, narrow read then
+    touches only its own columns, and plans stay linear in the number of passes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
