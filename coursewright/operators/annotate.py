@@ -26,12 +26,15 @@ def word_run(keywords: str, rest: str) -> str:
 
     Java recurses once per turn of a repeated group, so a long run of words would
     exhaust a task's stack.  Possessive loops do not recurse; the lookaheads stop them at
-    the last keyword, where a backtracking loop would have ended up.
+    the last keyword, where a backtracking loop would have ended up.  A word inside a run
+    cannot match when the run's first word did not, so only first words are tried: without
+    that, a page of words and no keyword would cost the square of its length.
     """
     word, usable = "[A-Za-z]{2,}+", f"{keywords}{rest}"
     plain = rf"\s(?!{usable}){word}"
     passed = rf"\s(?={usable}){word}(?=(?:{plain})*+\s+{usable})"
-    return rf"{WORD_START}({word}(?:{plain}|{passed})*+)\s+{usable}"
+    first = rf"(?<!{WORD_START}[A-Za-z]{{2,30}}\s)"
+    return rf"{WORD_START}{first}({word}(?:{plain}|{passed})*+)\s+{usable}"
 
 
 DEFINITION = r"(?id)(?:Definition|Def\.?|Define)\s*(?:\d+[\.:)])?\s*[:\-–—]\s*([^\n]+)"
@@ -240,6 +243,10 @@ def equation_nearby_text(nodes: DataFrame) -> DataFrame:
     return _associations(nodes, "equation", "equation_association", "EquationAssociationDetector", label)
 
 
+def _numbered(emit: int) -> Callable[[Column], Column]:
+    return lambda h: h.withField("emit", F.lit(emit))
+
+
 @dataclass
 class Annotator:
     """Ordered detectors: per-node column detectors, then table detectors."""
@@ -257,7 +264,7 @@ class Annotator:
         arrays, frames = [], []
         for i, (name, fn) in enumerate(self.columns.items()):
             try:
-                arrays.append(F.transform(fn(), lambda h, i=i: h.withField("emit", F.lit(i))))
+                arrays.append(F.transform(fn(), _numbered(i)))
             except Exception:
                 if self.fail_fast:
                     raise RuntimeError(f"detector {name} failed") from None
@@ -292,11 +299,20 @@ def default_annotator() -> Annotator:
 def annotate(nodes: DataFrame, annotator: Annotator | None = None) -> DataFrame:
     """All annotations of a corpus; key terms reduced to their first occurrence.
 
-    The hits are split by type after one scan; ``nodes`` should be a stored table.
+    ``nodes`` should be a stored table: it is read once for the one-node detectors, once
+    for the key terms and once per association.
     """
-    hits = (annotator or default_annotator()).run(nodes)
-    terms = first_occurrence_terms(hits.where(F.col("type") == "key_term"))
-    return hits.where(F.col("type") != "key_term").unionByName(terms)
+    full = annotator or default_annotator()
+    order = [*full.columns, *full.tables]
+    terms = Annotator({k: v for k, v in full.columns.items() if k == "key_term"}, fail_fast=full.fail_fast)
+    rest = Annotator({k: v for k, v in full.columns.items() if k != "key_term"}, full.tables, full.fail_fast)
+
+    def renumbered(part: Annotator) -> DataFrame:
+        at = F.array(*[F.lit(order.index(n)) for n in [*part.columns, *part.tables]])
+        return part.run(nodes).withColumn("emit", F.element_at(at, F.col("emit") + 1))
+
+    found = renumbered(rest)
+    return found.unionByName(first_occurrence_terms(renumbered(terms))) if terms.columns else found
 
 
 def dedupe_annotations(hits: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 """Registered queries: each operator applied to the base tables."""
 
-from __future__ import annotations
 
 import importlib
 from collections.abc import Callable

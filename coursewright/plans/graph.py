@@ -1 +1,69 @@
-QUERIES = {}
+"""The knowledge graph of every document."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from coursewright.operators import concepts as C
+from coursewright.operators import graph as G
+from coursewright.operators import sequence as Q
+from coursewright.operators import trees as R
+from coursewright.plans import concepts as PC
+from coursewright.plans.units import units
+from coursewright.session import stage
+from coursewright.sources.nodes import scan_text_nodes
+from coursewright.sources.tables import table
+
+
+def numbered(placed):
+    return Q.ordinal(placed.select("doc_id", "unit_id", "seq"), ["doc_id"], "seq", "k")
+
+
+def prerequisites(placed):
+    """Every second unit needs the one k % 3 + 1 places before it."""
+    n = stage(numbered(placed))
+    wanted = n.where(F.col("k") % 2 == 0).select("doc_id", "unit_id", (F.col("k") - 1 - F.col("k") % 3).alias("k"))
+    return wanted.join(n.select("doc_id", "k", F.col("unit_id").alias("prerequisite_id")), ["doc_id", "k"]).drop("k")
+
+
+def parts(s, sf):
+    placed = units(s, sf)
+    raw = stage(C.concepts_from_annotations(PC.deduped(s, sf)))
+    links = stage(C.concept_nodes(raw))
+    concepts = C.merge_concepts(raw)
+    vertices = G.build_vertices(placed, concepts)
+    edges = G.build_edges(
+        placed,
+        prerequisites(placed),
+        C.map_concepts_to_units(links, PC.members(s, sf)),
+        C.concept_cooccurrence(links),
+    )
+    return stage(vertices), stage(G.drop_dangling_edges(edges, vertices))
+
+
+def dangling(s, sf):
+    """Edges whose concept ends are kept only for definitions."""
+    vertices, edges = parts(s, sf)
+    long = vertices.where((F.col("node_type") == "unit") | (F.length("label") > 12))
+    return G.drop_dangling_edges(edges, long)
+
+
+def knots(s, sf):
+    """Lines pointing at the line numbered by their length: cycles and trees mixed."""
+    lines = scan_text_nodes(table(s, sf, "documents"))
+    edges = lines.select(
+        "doc_id", F.col("seq").cast("long").alias("src"), (F.length("text") % 37).cast("long").alias("dst")
+    ).where(F.col("src") != F.col("dst"))
+    vertices = lines.select("doc_id", F.col("seq").cast("long").alias("vertex"))
+    return R.acyclic_remainder(vertices, edges, ["doc_id"])
+
+
+QUERIES = {
+    "build_edges": lambda s, sf: parts(s, sf)[1].select("doc_id", "src", "dst", "edge_type", "weight"),
+    "drop_dangling_edges": lambda s, sf: dangling(s, sf).select("src", "dst", "edge_type"),
+    "write_graph_tables": lambda s, sf: parts(s, sf)[0],
+    "graph_summary": lambda s, sf: G.graph_summary(*parts(s, sf)),
+    "adjacency_list": lambda s, sf: G.adjacency_list(*parts(s, sf)),
+    "direct_prerequisites": lambda s, sf: G.direct_prerequisites(parts(s, sf)[1]).select("unit_id", "prerequisite_id"),
+    "cycle_members": knots,
+}

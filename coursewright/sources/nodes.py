@@ -51,6 +51,8 @@ def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
     after_figure = (_node_type(n - 1, prev) == "figure") & (n > 0)
     prefix = (
         F.when((_node_type(n, size) == "paragraph") & after_figure, F.concat(F.lit("Figure "), n_text, F.lit(" ")))
+        .when((_node_type(n, size) == "heading") & (slot == 9), F.concat(F.lit("Chapter "), n_text, F.lit(". ")))
+        .when((_node_type(n, size) == "heading") & (slot == 10), F.concat(F.lit("Section "), n_text, F.lit(": ")))
         .when(slot == 0, "Definition: ")
         .when(slot == 1, "Example: ")
         .when(slot == 2, "Note: ")

@@ -1,6 +1,5 @@
 """DuckDB SQL for the registered queries."""
 
-from __future__ import annotations
 
 import importlib
 

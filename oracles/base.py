@@ -66,6 +66,8 @@ typed AS (SELECT *, {_type("n", "len")} AS node_type, {_type("(n - 1)", "prev_le
 nodes AS (SELECT doc_id, doc_id || '/' || n AS node_id, n AS seq, n // 8 + 1 AS page, node_type,
   CASE WHEN n = 0 THEN 1 WHEN len < 40 THEN 2 + n % 3 ELSE 0 END AS level,
   CASE WHEN node_type = 'paragraph' AND n > 0 AND prev_type = 'figure' THEN 'Figure ' || n || ' '
+    WHEN node_type = 'heading' AND (doc_id + n) % 19 = 9 THEN 'Chapter ' || n || '. '
+    WHEN node_type = 'heading' AND (doc_id + n) % 19 = 10 THEN 'Section ' || n || ': '
     ELSE CASE (doc_id + n) % 19 WHEN 0 THEN 'Definition: ' WHEN 1 THEN 'Example: ' WHEN 2 THEN 'Note: '
       WHEN 3 THEN 'See Figure ' || n || '. ' WHEN 4 THEN 'Summary: ' WHEN 5 THEN 'Step 1: ' WHEN 6 THEN 'Rule: '
       WHEN 7 THEN 'Objective: ' WHEN 8 THEN 'Exercise ' || n || ': ' ELSE '' END END || line AS text,

@@ -12,7 +12,7 @@ PROFILE = f"""counted AS (SELECT doc_id, unit_id, min(seq) AS seq, arg_min(text,
   count(*) FILTER (role = 'exercise') AS n_exercise,
   coalesce(sum({words("text")}) FILTER (role = 'text'), 0)::BIGINT AS words,
   arg_min(text, seq) FILTER (role = 'text') AS first_text FROM members GROUP BY 1, 2),
-profile AS (SELECT * EXCLUDE (first_text), coalesce({shorten("first_text", 200)}, '') AS description,
+profile AS (SELECT * EXCLUDE (first_text, sc), coalesce({shorten("first_text", 200)}, '') AS description,
   greatest(1, round_even(words / 250.0::DOUBLE, 0)::BIGINT) + 3 * n_exercise + n_figure + n_equation AS minutes,
   CASE WHEN sc <= 3 THEN 'basic' WHEN sc <= 8 THEN 'intermediate' ELSE 'advanced' END AS difficulty
   FROM (SELECT *, 2 * n_equation + 3 * n_exercise + CASE WHEN n_text > 0 AND words / n_text > 50 THEN 4
