@@ -1 +1,51 @@
-SQL = {}
+from oracles.annotations import ctes
+from oracles.base import NODES, WS, strip, with_
+from oracles.concepts import PAGES, mentions
+
+PAIRS = """pairs AS (SELECT doc_id, page, page_text AS a, CASE WHEN page % 5 = 4 THEN NULL WHEN doc_id % 3 = 0
+  THEN regexp_replace(page_text, ' (?:le|the|der|el) ', ' ', 'g') ELSE page_text END AS g FROM pages_t)"""
+PROFILE = "prof AS (SELECT doc_id, node_type, count(*) AS n FROM nodes GROUP BY 1, 2)"
+
+
+def toks(v):
+    return f"list_filter(regexp_split_to_array(lower({v}), '{WS}+'), lambda t: t <> '')"
+
+
+SQL = {
+    "join_rendered_pages": with_(NODES, PAGES, PAIRS)
+    + "SELECT doc_id, page, CASE WHEN g IS NULL THEN 'canonical_missing' ELSE 'reviewed' END AS review_status FROM pairs",
+    "missing_tokens": with_(NODES, PAGES, PAIRS)
+    + f""", t AS (SELECT doc_id, page, unnest({toks("a")}) AS k, unnest(range(0, len({toks("a")}))) AS i, {toks("g")} AS have
+  FROM pairs WHERE g IS NOT NULL),
+u AS (SELECT doc_id, page, k, min(i) AS i FROM t WHERE NOT list_contains(have, k) GROUP BY 1, 2, 3)
+SELECT p.doc_id, p.page, count(k)::INTEGER AS n, coalesce(string_agg(k, ' ' ORDER BY i), '') AS tokens
+FROM pairs p LEFT JOIN u USING (doc_id, page) WHERE g IS NOT NULL GROUP BY 1, 2""",
+    "review_verdict": with_(NODES, PAGES, PAIRS)
+    + """, v AS (SELECT doc_id, g IS NOT NULL AS ok, CASE WHEN g IS NULL THEN NULL WHEN length(a) % 7 = 0 THEN 'rejected'
+  WHEN length(a) % 7 < 3 THEN 'needs_revision' ELSE 'approved' END AS verdict FROM pairs)
+SELECT doc_id, CASE WHEN count(*) FILTER (ok) = 0 THEN 'needs_revision' WHEN bool_or(verdict = 'rejected') THEN 'rejected'
+  WHEN bool_or(verdict = 'needs_revision') THEN 'needs_revision' ELSE 'approved' END AS verdict,
+  printf('Reviewed %d page(s): %d reviewed, %d skipped/errors; %d approved, %d needs_revision, %d rejected.', count(*),
+    count(*) FILTER (ok), count(*) FILTER (NOT ok), count(*) FILTER (verdict = 'approved'),
+    count(*) FILTER (verdict = 'needs_revision'), count(*) FILTER (verdict = 'rejected')) AS summary FROM v GROUP BY 1""",
+    "search_text": f"""WITH s AS (SELECT doc_id, {mentions("text", "'the'")} + {mentions("text", "'and'")} AS score,
+  least(nullif(strpos(lower(text), 'the'), 0), nullif(strpos(lower(text), 'and'), 0))::INTEGER AS first_hit FROM documents WHERE lang = 'en')
+SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5""",
+    "similarity_topk": """WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
+c AS (SELECT label, d, avg(v) AS m FROM f GROUP BY 1, 2),
+s AS (SELECT f.label, f.vec_id, sum(f.v * c.m) / (sqrt(sum(f.v * f.v)) * sqrt(sum(c.m * c.m))) AS score
+  FROM f JOIN c USING (label, d) GROUP BY 1, 2)
+SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id))::INTEGER AS rank, round(score, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5""",
+    "flashcard_seeds": with_(NODES, ctes("nodes"))
+    + f""", d AS (SELECT * FROM a_def UNION ALL SELECT * FROM a_inl),
+b AS (SELECT term AS front, body AS bk, 'definition' AS source FROM d UNION ALL
+  SELECT CASE WHEN seq % 2 = 0 THEN 'Eq ' || node_id ELSE 'Equation' END, {strip("text")}, 'equation' FROM nodes WHERE node_type = 'equation')
+SELECT front, bk AS "back", min(source) AS source FROM b WHERE front <> '' AND bk <> '' GROUP BY 1, 2""",
+    "quiz_points": "SELECT l_suppkey AS quiz_id, sum(l_quantity) AS total_points, count(*) AS n_questions FROM lineitem GROUP BY 1",
+    "read_artifacts": with_(NODES, PROFILE) + "SELECT * FROM prof WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "replace_by_document": with_(NODES, PROFILE)
+    + """SELECT * FROM prof WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'label', quality + 10 FROM labels""",
+    "write_json_export": with_(NODES, PROFILE) + "SELECT * FROM prof",
+}
