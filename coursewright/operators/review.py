@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coursewright.functions import text as X
 
@@ -24,7 +25,7 @@ def join_rendered_pages(actual: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(SequenceMatcher(a=x or "", b=y or "").ratio(), 6) for x, y in zip(a, b, strict=True)])
 

@@ -60,7 +60,7 @@ def formed(s, sf):
 
 
 def echoed(s, sf):
-    """Items in which the two lines after a heading repeat it in another case."""
+    """Items in which the two lines after a heading repeat it, spaced otherwise."""
     from coursewright.operators import sequence as Q
 
     head = F.when(F.col("node_type") == "heading", F.struct("seq", "text"))
@@ -70,7 +70,7 @@ def echoed(s, sf):
     return seen.select(
         "doc_id", "page", "node_id", "seq",
         F.when(F.col("node_type") == "heading", "heading").otherwise("text").alias("item_type"),
-        F.when(near, F.upper(F.col("_h.text"))).otherwise(F.col("text")).alias("text"),
+        F.when(near, F.concat(F.lit("  "), F.col("_h.text"), F.lit(" "))).otherwise(F.col("text")).alias("text"),
     )
 
 

@@ -86,7 +86,7 @@ SELECT node_id, CASE WHEN plain THEN cl ELSE text END AS text FROM d WHERE NOT (
     + f""", hd AS (SELECT *, last_value(CASE WHEN node_type = 'heading' THEN struct_pack(s := seq, t := text) END IGNORE NULLS)
     OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hh FROM nodes),
 e AS (SELECT doc_id, page, node_id, seq, CASE WHEN node_type = 'heading' THEN 'heading' ELSE 'text' END AS item_type,
-  CASE WHEN node_type <> 'heading' AND seq - hh.s <= 2 AND seq % 4 <> 0 THEN upper(hh.t) ELSE text END AS text FROM hd),
+  CASE WHEN node_type <> 'heading' AND seq - hh.s <= 2 AND seq % 4 <> 0 THEN '  ' || hh.t || ' ' ELSE text END AS text FROM hd),
 o AS (SELECT *, {fold("text")} AS f, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS i FROM e),
 walk(doc_id, page, i, node_id, item_type, kept, lt, lf) AS (SELECT doc_id, page, i, node_id, item_type, true, item_type, f FROM o WHERE i = 1
   UNION ALL SELECT o.doc_id, o.page, o.i, o.node_id, o.item_type, NOT (o.item_type = 'text' AND lt = 'heading' AND lf = f),

@@ -15,9 +15,10 @@ SQL = {
     "join_rendered_pages": with_(NODES, PAGES, PAIRS)
     + "SELECT doc_id, page, CASE WHEN g IS NULL THEN 'canonical_missing' ELSE 'reviewed' END AS review_status FROM pairs",
     "missing_tokens": with_(NODES, PAGES, PAIRS)
-    + f""", t AS (SELECT doc_id, page, unnest({toks("a")}) AS k, unnest(range(0, len({toks("a")}))) AS i, {toks("g")} AS have
-  FROM pairs WHERE g IS NOT NULL),
-u AS (SELECT doc_id, page, k, min(i) AS i FROM t WHERE NOT list_contains(have, k) GROUP BY 1, 2, 3)
+    + f""", t AS (SELECT doc_id, page, unnest(ta) AS k, unnest(range(0, len(ta))) AS i FROM (SELECT doc_id, page, {toks("a")} AS ta
+  FROM pairs WHERE g IS NOT NULL)),
+h AS (SELECT DISTINCT doc_id, page, unnest({toks("g")}) AS k FROM pairs WHERE g IS NOT NULL),
+u AS (SELECT doc_id, page, k, min(i) AS i FROM t ANTI JOIN h USING (doc_id, page, k) GROUP BY 1, 2, 3)
 SELECT p.doc_id, p.page, count(k)::INTEGER AS n, coalesce(string_agg(k, ' ' ORDER BY i), '') AS tokens
 FROM pairs p LEFT JOIN u USING (doc_id, page) WHERE g IS NOT NULL GROUP BY 1, 2""",
     "review_verdict": with_(NODES, PAGES, PAIRS)
