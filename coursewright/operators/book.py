@@ -6,7 +6,8 @@ over a document uses the block scans.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,31 +282,30 @@ def assign_units_by_overlap(segments: DataFrame, units: DataFrame) -> DataFrame:
     shared = segments.join(units.select("doc_id", "node_id", "unit_ord"), ["doc_id", "node_id"]).groupBy(
         "doc_id", "segment", "unit_ord"
     ).agg(F.count("*").alias("n"))
-    lists = segments.select("doc_id", "segment").distinct().select(
-        "doc_id", "segment", F.lit(None).cast("long").alias("unit_ord"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("unit_id")
-    ).unionByName(
-        units.select("doc_id", F.lit(None).cast("long").alias("segment"), "unit_ord", F.lit(0).cast("long").alias("n"), "unit_id").distinct()
-    )
-    rows = lists.unionByName(shared.withColumn("unit_id", F.lit(None).cast("string")))
+    # Three kinds of rows per document: 0 units, 1 segments, 2 overlaps (largest first).
+    minus = F.lit(-1).cast("long")
+    none = F.lit("")
+    rows = (
+        units.select("doc_id", F.lit(0).alias("kind"), minus.alias("n"), minus.alias("segment"), "unit_ord", "unit_id").distinct()
+        .unionByName(segments.select("doc_id", F.lit(1).alias("kind"), minus.alias("n"), "segment", minus.alias("unit_ord"), none.alias("unit_id")).distinct())
+        .unionByName(shared.select("doc_id", F.lit(2).alias("kind"), (-F.col("n")).alias("n"), "segment", "unit_ord", none.alias("unit_id")))
+    )
 
-    def match(p: pd.DataFrame) -> pd.DataFrame:
-        names = p[p["segment"].isna()].set_index("unit_ord")["unit_id"].to_dict()
-        todo = sorted(p[p["unit_ord"].isna()]["segment"])
-        pairs = p[p["segment"].notna() & p["unit_ord"].notna()].sort_values(["n", "segment", "unit_ord"], ascending=[False, True, True])
-        got: dict = {}
-        used: set = set()
-        for s, u in zip(pairs["segment"], pairs["unit_ord"], strict=True):
-            if s not in got and u not in used:
-                got[s] = u
-                used.add(u)
+    def match(found: list[tuple]) -> list[tuple]:
+        names, todo, got, used = {}, [], {}, set()
+        for _, kind, _, segment, unit, name in found:
+            if kind == 0:
+                names[unit] = name
+            elif kind == 1:
+                todo.append(segment)
+            elif segment not in got and unit not in used:
+                got[segment] = unit
+                used.add(unit)
         free = [u for u in sorted(names) if u not in used]
-        for s, u in zip([s for s in todo if s not in got], free, strict=False):
-            got[s] = u
-        return pd.DataFrame(
-            {"doc_id": p["doc_id"].iloc[0], "segment": todo, "unit_id": [names.get(got.get(s)) for s in todo]},
-        )
+        got.update(zip([s for s in todo if s not in got], free, strict=False))
+        return [(found[0][0], s, names.get(got.get(s))) for s in todo]
 
-    return rows.groupBy("doc_id").applyInPandas(match, "doc_id long, segment long, unit_id string")
+    return Q.per_key(rows, "doc_id", ["kind", "n", "segment", "unit_ord"], match, "doc_id long, segment long, unit_id string")
 
 
 def resolve_lessons(book: DataFrame, course: DataFrame) -> DataFrame:
@@ -324,38 +324,40 @@ def resolve_lessons(book: DataFrame, course: DataFrame) -> DataFrame:
     wanted = mapped.select("course_id", F.explode(F.array(F.lower(F.trim("title")), F.lower(F.trim("unit_title")))).alias("key")).distinct()
     offers = course.withColumn("key", F.lower(F.trim("title"))).join(wanted, ["course_id", "key"], "left_semi")
 
-    def choose(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        queues: dict[str, list] = {}
-        for key, lesson in c.sort_values(["display_order", "lesson_id"])[["key", "lesson_id"]].itertuples(index=False):
-            if key:
-                queues.setdefault(key, []).append(lesson)
-        heads = dict.fromkeys(queues, 0)
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    # Offers (kind 0) come first in course order, then the book's lessons in theirs.
+    rows = offers.select(
+        "course_id", F.lit(0).alias("kind"), F.col("display_order").cast("long").alias("at"), "lesson_id", "key", none.alias("other")
+    ).unionByName(
+        mapped.select(
+            "course_id", F.lit(1).alias("kind"), F.col("ord").cast("long").alias("at"), F.coalesce("planned", F.lit(-1).cast("long")).alias("lesson_id"),
+            F.coalesce(F.lower(F.trim("title")), none).alias("key"), F.coalesce(F.lower(F.trim("unit_title")), none).alias("other"),
+        )
+    )
+
+    def choose(found: list[tuple]) -> list[tuple]:
+        queues: dict[str, deque] = {}
         used: set = set()
         out = []
-        b = b.sort_values("ord")
-        for planned, title, unit_title in b[["planned", "title", "unit_title"]].itertuples(index=False):
-            chosen = None if pd.isna(planned) else int(planned)
+        for course_id, kind, at, lesson, key, other in found:
+            if kind == 0:
+                queues.setdefault(key, deque()).append(lesson)
+                continue
+            chosen = lesson if lesson >= 0 else None
             if chosen is None:
-                for key in dict.fromkeys([(title or "").strip().lower(), (unit_title or "").strip().lower()]):
-                    q = queues.get(key, [])
-                    at = heads.get(key, 0)
-                    while at < len(q) and q[at] in used:
-                        at += 1
-                    if key in heads:
-                        heads[key] = at
-                    if at < len(q):
-                        chosen = int(q[at])
+                for name in (key, other):
+                    waiting = queues.get(name) if name else None
+                    while waiting and waiting[0] in used:
+                        waiting.popleft()
+                    if waiting:
+                        chosen = waiting.popleft()
                         break
             if chosen is not None:
                 used.add(chosen)
-            out.append(chosen)
-        return pd.DataFrame({"course_id": b["course_id"], "ord": b["ord"], "lesson_id": pd.array(out, dtype="Int64")})
+            out.append((course_id, at, chosen))
+        return out
 
-    left = mapped.select("course_id", "ord", "planned", "title", "unit_title")
-    right = offers.select("course_id", "lesson_id", "key", "display_order")
-    return left.groupBy("course_id").cogroup(right.groupBy("course_id")).applyInPandas(
-        choose, "course_id long, ord long, lesson_id long"
-    )
+    return Q.per_key(rows, "course_id", ["kind", "at", "lesson_id"], choose, "course_id long, ord long, lesson_id long")
 
 
 def chapter_order_offset(documents: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -56,17 +56,19 @@ def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float) -> Da
     span = spans.withColumn("_span", F.lower(X.strip(F.col("text"))))
     area = G.overlap_area(box("n_"), box())
     same = (F.col("_text") != "") & (F.col("_text").contains(F.col("_span")) | F.col("_span").contains(F.col("_text")))
-    pairs = n.join(span, PAGE).withColumn("_area", area).withColumn(
-        "_class",
-        F.when((F.col("_area") > 0) & same, 3).when(F.col("_area") > 0, 2).when(same & (F.col("_span") != ""), 1),
+    order = [(-F.col("line_no")).alias("o"), (-F.col("node_seq")).alias("s")]
+    style = F.struct("font", "size", "bold")
+    # Texts are compared for touching pairs only; ``max_by`` folds pairs before the shuffle.
+    touching = n.join(span, PAGE).withColumn("_area", area).where(F.col("_area") > 0).withColumn("_same", same)
+    rank = F.struct("_same", F.when(F.col("_same"), 0.0).otherwise(F.col("_area")).alias("a"), *order)
+    best = touching.groupBy("doc_id", "node_id").agg(F.max_by(style, rank).alias("_style"))
+    # Nodes that touch nothing look for their text anywhere on the page.
+    lost = n.join(best.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+    anywhere = lost.join(span.where(F.col("_span") != ""), PAGE).where(same)
+    fallback = anywhere.groupBy("doc_id", "node_id").agg(F.max_by(style, F.struct(*order)).alias("_style"))
+    return nodes.select("doc_id", "node_id").join(best.unionByName(fallback), ["doc_id", "node_id"], "left").select(
+        "doc_id", "node_id", "_style.*"
     )
-    rank = F.struct(
-        "_class", F.when(F.col("_class") == 2, F.col("_area")).otherwise(0.0).alias("a"), (-F.col("line_no")).alias("o"), (-F.col("node_seq")).alias("s")
-    )
-    best = pairs.where(F.col("_class").isNotNull()).groupBy("doc_id", "node_id").agg(
-        F.max_by(F.struct("font", "size", "bold"), rank).alias("_style")
-    )
-    return nodes.select("doc_id", "node_id").join(best, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "_style.*")
 
 
 def split_by_block_and_style(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ per document on one narrow row per unit (id, rank, order), never on texts.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions import status as S
+from coursewright.operators import sequence as Q
 
 MILESTONE_SIZE = 4
 
@@ -57,44 +59,44 @@ def balanced_topological_order(units: DataFrame, edges: DataFrame) -> DataFrame:
     ``units``: doc_id, unit_id, ord, difficulty.  ``edges``: doc_id, src, dst.
     """
 
-    def order(u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values("ord").reset_index(drop=True)
-        index = {v: i for i, v in enumerate(u["unit_id"])}
-        targets: list[list[int]] = [[] for _ in index]
-        waiting = [0] * len(index)
-        for s, d in zip(e["src"], e["dst"], strict=True):
-            if s in index and d in index:
-                targets[index[s]].append(index[d])
-                waiting[index[d]] += 1
-        picked = pick_order(u["rank"].tolist(), targets, waiting)
-        out = u.iloc[picked][["doc_id", "unit_id"]].reset_index(drop=True)
-        out["position"] = range(len(out))
-        return out
-
+    def order(rows: list[tuple]) -> list[tuple]:
+        index = {r[2]: i for i, r in enumerate(rows)}
+        targets = [[index[d] for d in r[4] if d in index] if r[4] is not None else [] for r in rows]
+        waiting = [0] * len(rows)
+        for found in targets:
+            for j in found:
+                waiting[j] += 1
+        picked = pick_order([r[3] for r in rows], targets, waiting)
+        return [(rows[i][0], rows[i][2], at) for at, i in enumerate(picked)]
+
+    out = edges.groupBy("doc_id", F.col("src").alias("unit_id")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
     narrow = units.select("doc_id", "unit_id", "ord", S.difficulty_rank(F.col("difficulty")).alias("rank"))
-    links = edges.select("doc_id", "src", "dst")
-    return (
-        narrow.groupBy("doc_id")
-        .cogroup(links.groupBy("doc_id"))
-        .applyInPandas(order, "doc_id long, unit_id string, position long")
-    )
+    rows = narrow.join(out, ["doc_id", "unit_id"], "left").select("doc_id", "ord", "unit_id", "rank", "targets")
+    return Q.per_key(rows, "doc_id", ["ord"], order, "doc_id long, unit_id string, position long")
 
 
 def group_milestones(plan: DataFrame, size: int = MILESTONE_SIZE) -> DataFrame:
-    """Milestone number of each lesson: a new one at ``size`` lessons, or on a change of difficulty after two."""
-
-    def batch(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("position")
-        numbers, current, n, last = [], 0, 0, None
-        for d in p["difficulty"]:
-            if n >= size or (n >= 2 and d != last):
-                current, n = current + 1, 0
-            numbers.append(current)
-            n, last = n + 1, d
-        return pd.DataFrame({"doc_id": p["doc_id"], "unit_id": p["unit_id"], "milestone": numbers})
+    """Milestone number of each lesson: a new one at ``size`` lessons, or on a change of difficulty after two.
+
+    A fold with three values of state: lessons stream through in order, none is buffered.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, number, n, last = None, 0, 0, None
+        for batch in batches:
+            numbers = []
+            for d, level in zip(batch["doc_id"], batch["difficulty"], strict=True):
+                if d != doc:
+                    doc, number, n, last = d, 0, 0, None
+                elif n >= size or (n >= 2 and level != last):
+                    number, n = number + 1, 0
+                numbers.append(number)
+                n, last = n + 1, level
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "unit_id": batch["unit_id"], "milestone": numbers})
 
     narrow = plan.select("doc_id", "unit_id", "position", "difficulty")
-    return narrow.groupBy("doc_id").applyInPandas(batch, "doc_id long, unit_id string, milestone long")
+    ordered = narrow.repartition("doc_id").sortWithinPartitions("doc_id", "position")
+    return ordered.mapInPandas(fold, "doc_id long, unit_id string, milestone long")
 
 
 def classify_lessons(plan: DataFrame) -> DataFrame:
@@ -243,8 +245,6 @@ def practice_cards(exercises: DataFrame, sections: DataFrame, progress: DataFram
     ``exercises``: doc_id, section_id, node_id, seq, title.  ``sections``: doc_id, section_id, section_seq.
     ``progress``: node_id, status, attempts, best_score.
     """
-    from coursewright.operators import sequence as Q
-
     sizes = sections.join(
         exercises.groupBy("doc_id", "section_id").agg(F.count("*").alias("_n")), ["doc_id", "section_id"], "left"
     ).na.fill(0, ["_n"])
