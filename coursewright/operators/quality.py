@@ -108,11 +108,11 @@ def find_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, own: str
     """Count of child rows without a parent (a null key counts) and the first few of them."""
     keys = parent.select(F.col(pk).alias(fk)).distinct()
     lost = child.select(own, fk).join(keys, fk, "left_anti")
-    n = lost.agg(F.count("*").alias("orphan_count"))
     few = lost.select(own).distinct().orderBy(own).limit(samples)
     shown = few.agg(F.array_join(F.array_sort(F.collect_list(own)).cast("array<string>"), ",").alias("samples"))
-    # Both sides are one-row aggregates.
-    return n.join(F.broadcast(shown)).select(F.lit(relation).alias("relation_name"), "orphan_count", "samples")
+    return lost.agg(F.count("*").alias("orphan_count")).select(
+        F.lit(relation).alias("relation_name"), "orphan_count", shown.scalar().alias("samples")
+    )
 
 
 def orphan_counts(child: DataFrame, parent: DataFrame, fk: str, pk: str, names: tuple[str, str, str]) -> DataFrame:

@@ -216,8 +216,7 @@ def paginate(df: DataFrame, key: str, offset: int, limit: int, max_page: int = 5
     total = df.agg(F.count("*").alias("total"))
     page = df.orderBy(key).offset(offset).limit(size)
     more = F.when(F.col("total") > offset + size, F.lit(offset + size).cast("long"))
-    # ``total`` has exactly one row.
-    return page.join(F.broadcast(total)).withColumn("next_offset", more)
+    return page.withColumn("total", total.scalar()).withColumn("next_offset", more)
 
 
 def fifo_batch(df: DataFrame, status: Column, key: str, n: int = 10) -> DataFrame:

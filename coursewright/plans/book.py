@@ -82,7 +82,7 @@ def questions(s, sf):
         F.when(n % 4 == 1, "question").when(n % 4 == 2, "list").otherwise("text").alias("item_type"),
         F.when(n % 4 == 1, F.when(n % 12 == 5, "open").otherwise("true_false")).alias("question_type"),
         F.when(n % 4 == 2, F.when(n % 3 == 0, 2).otherwise(1)).otherwise(0).alias("n_items"),
-        F.when(n % 4 == 1, F.concat((n % 9).cast("string"), F.lit(". "), F.substring("text", 1, 40)))
+        F.when(n % 4 == 1, F.concat((n % 9).cast("string"), F.lit(". "), F.col("text")))
         .when(n % 4 == 2, F.concat((n % 5).cast("string"), F.lit(") "), F.col("text")))
         .otherwise(F.lower("text")).alias("text"),
         (n % 8 * 20).cast("double").alias("y_pt"), F.lit(10.0).alias("h_pt"),
@@ -157,7 +157,7 @@ def views(s, sf):
 
 QUERIES = {
     "dedupe_page_headings": lambda s, sf: B.dedupe_page_headings(
-        nodes(s, sf).withColumn("text", F.when(F.col("node_type") == "heading", F.substring("text", 1, 3)).otherwise(F.col("text")))
+        nodes(s, sf).withColumn("text", F.when(F.col("node_type") == "heading", F.concat(F.lit(" Part  "), (F.col("seq") % 3).cast("string"))).otherwise(F.col("text")))
     ).select("node_id", "text"),
     "heading_signals": lambda s, sf: B.heading_signals(levelled(s, sf)),
     "segment_lessons_by_anchor": lambda s, sf: B.segment_lessons(page_rows(s, sf)).select("doc_id", "page", "lesson"),

@@ -63,7 +63,11 @@ def configured(name):
 def practice_cards(s, sf):
     placed = units(s, sf)
     section = stage(U.section_of_unit(placed, unit_tree(placed)))
-    exercises = unit_nodes(s, sf).where(F.col("role") == "exercise").join(section, ["doc_id", "unit_id"])
+    exercises = stage(
+        unit_nodes(s, sf).where(F.col("role") == "exercise").select("doc_id", "unit_id", "node_id", "seq", "text").join(
+            section, ["doc_id", "unit_id"]
+        )
+    )
     heads = section.select("doc_id", "section_id").distinct().join(
         placed.select("doc_id", F.col("unit_id").alias("section_id"), F.col("seq").alias("section_seq")), ["doc_id", "section_id"]
     )
@@ -72,7 +76,7 @@ def practice_cards(s, sf):
         (F.length("text") % 10).cast("double").alias("best_score"),
     )
     return P.practice_cards(
-        exercises.select("doc_id", "section_id", "node_id", "seq", F.substring("text", 1, 30).alias("title")), heads, progress
+        exercises.select("doc_id", "section_id", "node_id", "seq", F.col("text").alias("title")), heads, progress
     ).drop("doc_id")
 
 

@@ -87,7 +87,7 @@ def refs(s, sf):
     raw = (
         F.when(F.col("page_id") % 5 == 0, path)
         .when(F.col("page_id") % 5 == 1, F.concat(F.lit("#"), path))
-        .when(F.col("page_id") % 5 == 2, F.substring(path, 2, 1000))
+        .when(F.col("page_id") % 5 == 2, F.regexp_replace(path, "^/", ""))
         .when(F.col("page_id") % 5 == 3, F.lit("Body"))
     )
     r = table(s, sf, "pages").select("page_id", X.canonical_ref(raw).alias("ref"))
@@ -99,10 +99,10 @@ def answers(s, sf):
     c = table(s, sf, "conversations")
     text = F.regexp_replace("text", r'["\\\x00-\x1f{}`]', " ")
     body = F.concat(
-        F.lit('{"questions": [{"question": " Why '), F.substring(text, 1, 20), F.lit(' ", "choices": ["a", "b", "'),
+        F.lit('{"questions": [{"question": " Why '), text, F.lit(' ", "choices": ["a", "b", "'),
         F.col("role"), F.lit('"], "correct_index": '), (F.col("turn") - 1).cast("string"),
         F.lit('}, {"question": "No?", "choices": ["x"], "correct_index": 0}, {"question": "  ", "choices": ["x", "y"]}], '),
-        F.lit('"key_terms": [{"term": " '), F.col("role"), F.lit('", "definition": "'), F.substring(text, 1, 30),
+        F.lit('"key_terms": [{"term": " '), F.col("role"), F.lit('", "definition": "'), text,
         F.lit('"}, {"term": "", "definition": "d"}]}'),
     )
     kind = (F.col("conv_id") + F.col("turn")) % 4

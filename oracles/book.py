@@ -48,7 +48,7 @@ items AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY seq)
 QUEST = """quest AS (SELECT doc_id, page, node_id, seq, CASE seq % 4 WHEN 1 THEN 'question' WHEN 2 THEN 'list' ELSE 'text' END AS item_type,
   CASE WHEN seq % 4 = 1 THEN CASE WHEN seq % 12 = 5 THEN 'open' ELSE 'true_false' END END AS question_type,
   CASE WHEN seq % 4 = 2 AND seq % 3 <> 0 THEN 1 WHEN seq % 4 = 2 THEN 2 ELSE 0 END AS n_items,
-  CASE seq % 4 WHEN 1 THEN (seq % 9) || '. ' || left(text, 40) WHEN 2 THEN (seq % 5) || ') ' || text ELSE lower(text) END AS text,
+  CASE seq % 4 WHEN 1 THEN (seq % 9) || '. ' || text WHEN 2 THEN (seq % 5) || ') ' || text ELSE lower(text) END AS text,
   (seq % 8 * 20)::DOUBLE AS y_pt, 10.0::DOUBLE AS h_pt FROM nodes)"""
 DEDUPED = f"""ddp AS (SELECT * FROM fixed QUALIFY node_type <> 'heading' OR {fold("text")} = ''
   OR seq = min(CASE WHEN node_type = 'heading' THEN seq END) OVER (PARTITION BY doc_id, page, {fold("text")}))"""
@@ -61,7 +61,7 @@ def w(*c):
 
 SQL = {
     "dedupe_page_headings": with_(NODES)
-    + f""", h AS (SELECT * REPLACE (CASE WHEN node_type = 'heading' THEN left(text, 3) ELSE text END AS text) FROM nodes)
+    + f""", h AS (SELECT * REPLACE (CASE WHEN node_type = 'heading' THEN ' Part  ' || seq % 3 ELSE text END AS text) FROM nodes)
 SELECT node_id, text FROM h QUALIFY node_type <> 'heading' OR {fold("text")} = '' OR row_number() OVER
   (PARTITION BY doc_id, page, node_type, {fold("text")} ORDER BY seq) = 1""",
     "heading_signals": w(NODES, FIXED, signals("fixed")) + "SELECT * FROM sig",

@@ -43,7 +43,7 @@ FROM batched GROUP BY doc_id, milestone""",
   NULL::BIGINT AS minutes, NULL::VARCHAR AS difficulty, status, start_page, end_page FROM cards""",
     "apply_study_config_linear": w(*UNITS, UTREE, SECTION, CARDS) + "SELECT * EXCLUDE (doc_id) FROM cards",
     "practice_cards": w(*UNITS, UTREE, SECTION)
-    + """SELECT s.section_id, m.node_id, left(m.text, 30) AS title,
+    + """SELECT s.section_id, m.node_id, m.text AS title,
   row_number() OVER (PARTITION BY m.doc_id ORDER BY h.seq, m.seq) - 1 AS position,
   CASE WHEN length(m.text) % 3 = 0 THEN 'practiced' ELSE 'not_started' END AS status,
   CASE WHEN length(m.text) % 3 = 0 THEN length(m.text) % 4 ELSE 0 END::BIGINT AS attempts,

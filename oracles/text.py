@@ -62,12 +62,12 @@ SELECT page_id, ref, CASE WHEN len(parts) > 1 THEN '#/' || array_to_string(parts
   CASE WHEN page_id % 4 = 1 THEN '' ELSE 'abc' END AS sha256, CASE WHEN page_id % 3 = 0 THEN 'path' ELSE 'base64' END AS source_mode
 FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 1 AND page_id % 3 <> 1""",
     "validate_questions": with_(REPLY)
-    + """SELECT reply_id, 0 AS pos, trim('Why ' || left(t, 20)) AS question, 'a|b|' || role AS choices,
+    + """SELECT reply_id, 0 AS pos, trim('Why ' || t) AS question, 'a|b|' || role AS choices,
   CASE WHEN turn - 1 BETWEEN 0 AND 2 THEN (turn - 1)::INTEGER ELSE 0 END AS correct_index FROM good""",
     "extract_key_terms": with_(REPLY)
-    + "SELECT reply_id, role AS term, trim(left(t, 30)) AS definition FROM good WHERE trim(left(t, 30)) <> ''",
+    + "SELECT reply_id, role AS term, trim(t) AS definition FROM good WHERE trim(t) <> ''",
     "key_term_cards": with_(REPLY)
-    + 'SELECT reply_id, role AS front, trim(left(t, 30)) AS "back" FROM good WHERE trim(left(t, 30)) <> \'\'',
+    + 'SELECT reply_id, role AS front, trim(t) AS "back" FROM good WHERE trim(t) <> \'\'',
     "normalise_bbox": f"""
 WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, least({K[0]}, {K[2]}) AS x0, greatest({K[0]}, {K[2]}) AS x1,
   CASE WHEN l_linenumber % 2 = 0 THEN 800 - greatest({K[1]}, {K[3]}) ELSE least({K[1]}, {K[3]}) END AS y0,
