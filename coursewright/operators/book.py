@@ -229,14 +229,14 @@ def join_question_continuation(items: DataFrame) -> DataFrame:
     ).select(*PAGE, "_row.*", "text")
 
 
-def item_text(items: DataFrame) -> Column:
+def item_text() -> Column:
     """Readable text of an item; tables arrive as caption, header and row lines already."""
     return F.when(F.col("item_type") == "image", X.strip(F.coalesce(F.col("caption"), F.lit("")))).otherwise(X.strip(F.col("text")))
 
 
 def lesson_text(items: DataFrame) -> DataFrame:
     """All readable text of a lesson, newline-joined in order."""
-    text = item_text(items)
+    text = item_text()
     return items.groupBy("doc_id", "lesson").agg(
         Q.ordered_join(F.when(text != "", text), F.struct("page", "seq"), "\n").alias("lesson_text"), F.count("*").alias("n_items")
     )

@@ -249,3 +249,21 @@ def verdict(findings: DataFrame) -> DataFrame:
         errors.alias("error_count"),
         warnings.alias("warning_count"),
     )
+
+
+def artifact_counts(artifacts: Mapping[str, DataFrame]) -> DataFrame:
+    """Labelled row counts of each kind of artifact per document."""
+    return union(
+        [
+            df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(name).alias("artifact"), "n")
+            for name, df in sorted(artifacts.items())
+        ]
+    )
+
+
+def is_acyclic(remainder: DataFrame, documents: DataFrame) -> DataFrame:
+    """Whether each document's graph has no cycle, given what peeling left of it."""
+    stuck = remainder.select("doc_id").distinct().withColumn("_stuck", F.lit(True))
+    return documents.select("doc_id").distinct().join(stuck, "doc_id", "left").select(
+        "doc_id", F.col("_stuck").isNull().alias("is_dag")
+    )

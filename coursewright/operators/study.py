@@ -262,3 +262,21 @@ def practice_cards(exercises: DataFrame, sections: DataFrame, progress: DataFram
         F.coalesce("attempts", F.lit(0)).alias("attempts"),
         F.coalesce("best_score", F.lit(0.0)).alias("best_score"),
     )
+
+
+def quiz_cards(quizzes: DataFrame, sections: DataFrame, progress: DataFrame) -> DataFrame:
+    """Quizzes placed in their lesson's section, in order, with status and score.
+
+    ``quizzes``: doc_id, quiz_id, unit_id, seq, title, total_points.  ``progress``: quiz_id, status, score.
+    """
+    placed = Q.ordinal(quizzes, ["doc_id"], "seq", "position").join(sections, ["doc_id", "unit_id"], "left")
+    return placed.join(progress, "quiz_id", "left").select(
+        "doc_id",
+        "quiz_id",
+        F.coalesce("section_id", "unit_id").alias("section_id"),
+        "title",
+        "position",
+        "total_points",
+        S.map_card_status(F.coalesce("status", F.lit("not_started"))).alias("status"),
+        "score",
+    )

@@ -172,6 +172,7 @@ QUERIES = {
     "promote_true_false": lambda s, sf: B.promote_true_false(questions(s, sf)).select("node_id", "item_type", "question_type"),
     "join_question_continuation": continued,
     "reindex": lambda s, sf: B.reindex(items(s, sf).where(F.col("item_type") != "image")).select("node_id", "item_order"),
+    "item_text": lambda s, sf: items(s, sf).select("node_id", B.item_text().alias("item_text")),
     "lesson_text": lambda s, sf: B.lesson_text(lesson_items(s, sf)),
     "page_label_histogram": lambda s, sf: B.page_label_histogram(chained(s, sf)),
     "read_book_tree": lambda s, sf: B.read_book_tree(*book(s, sf)).select(

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from coursewright.operators import concepts as C
 from coursewright.operators import graph as G
+from coursewright.operators import quality as D
 from coursewright.operators import sequence as Q
 from coursewright.operators import trees as R
 from coursewright.plans import concepts as PC
+from coursewright.plans.structure import nodes
 from coursewright.plans.units import units
 from coursewright.session import stage
 from coursewright.sources.nodes import scan_text_nodes
-from coursewright.sources.tables import table
+from coursewright.sources.tables import runs, table
 
 
 def numbered(placed):
@@ -58,7 +60,26 @@ def knots(s, sf):
     return R.acyclic_remainder(vertices, edges, ["doc_id"])
 
 
+def is_dag(s, sf):
+    return D.is_acyclic(knots(s, sf), table(s, sf, "documents"))
+
+
+def artifact_counts(s, sf):
+    base = nodes(s, sf)
+    return D.artifact_counts(
+        {
+            "nodes": base,
+            "headings": base.where(F.col("node_type") == "heading"),
+            "pages": base.select("doc_id", "page").distinct(),
+            "labels": table(s, sf, "labels"),
+            "runs": runs(s, sf),
+        }
+    )
+
+
 QUERIES = {
+    "is_dag": is_dag,
+    "artifact_counts": artifact_counts,
     "build_edges": lambda s, sf: parts(s, sf)[1].select("doc_id", "src", "dst", "edge_type", "weight"),
     "drop_dangling_edges": lambda s, sf: dangling(s, sf).select("src", "dst", "edge_type"),
     "write_graph_tables": lambda s, sf: parts(s, sf)[0],

@@ -80,7 +80,20 @@ def practice_cards(s, sf):
     ).drop("doc_id")
 
 
+def quiz_cards(s, sf):
+    """One quiz for every unit with exercises; every second one was taken."""
+    placed = units(s, sf)
+    quizzes = placed.where(F.col("n_exercise") > 0).select(
+        "doc_id", F.concat(F.lit("q/"), "unit_id").alias("quiz_id"), "unit_id", "seq", "title", (F.col("n_exercise") * 10).alias("total_points")
+    )
+    taken = placed.where((F.col("n_exercise") > 0) & (F.col("words") % 2 == 0)).select(
+        F.concat(F.lit("q/"), "unit_id").alias("quiz_id"), F.lit("Completed").alias("status"), (F.col("words") % 100).cast("double").alias("score")
+    )
+    return P.quiz_cards(quizzes, U.section_of_unit(placed, unit_tree(placed)), taken).drop("doc_id")
+
+
 QUERIES = {
+    "quiz_cards": quiz_cards,
     "balanced_topological_order": topological,
     "group_milestones": lambda s, sf: batched(s, sf).select("unit_id", "milestone"),
     "classify_lessons": lambda s, sf: P.classify_lessons(plan(s, sf)).select("unit_id", "position", "lesson_type"),

@@ -118,6 +118,8 @@ SELECT head AS node_id, any_value(item_type) AS item_type, arg_max(acc, i) AS te
     "reindex": with_(NODES, ITEMS)
     + """SELECT node_id, (row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1)::INTEGER AS item_order FROM items
 WHERE item_type <> 'image'""",
+    "item_text": with_(NODES, ITEMS)
+    + f"SELECT node_id, CASE WHEN item_type = 'image' THEN '' ELSE {strip('text')} END AS item_text FROM items",
     "lesson_text": w(NODES, FIXED, DEDUPED, signals("ddp"), PLAIN, segment("plain"), ITEMS)
     + f"""SELECT doc_id, lesson, coalesce(string_agg({strip("text")}, chr(10) ORDER BY page, seq)
   FILTER (item_type <> 'image' AND {strip("text")} <> ''), '') AS lesson_text, count(*) AS n_items

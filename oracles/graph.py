@@ -1,4 +1,4 @@
-from oracles.base import LINES, with_
+from oracles.base import LINES, LOGS, NODES, RUNS, with_
 from oracles.concepts import ANN, COOC, LINKS, UNITC, merged
 from oracles.structure import FIXED
 from oracles.units import MEMBERS, PROFILE, RANK, TYPED, parents
@@ -20,7 +20,21 @@ def g(*extra):
     return with_(*ALL, *extra, recursive=True)
 
 
+_STUCK = """, e AS (SELECT doc_id, n AS src, len % 37 AS dst FROM lines WHERE n <> len % 37),
+up(doc_id, v, pp, d) AS (SELECT doc_id, src, dst, 1 FROM e
+  UNION SELECT u.doc_id, u.v, e.dst, least(d + 1, 60) FROM up u JOIN e ON e.doc_id = u.doc_id AND e.src = u.pp WHERE d < 60),
+looped AS (SELECT DISTINCT doc_id, v FROM up WHERE v = pp),
+stuck AS (SELECT doc_id, v FROM looped UNION SELECT u.doc_id, u.pp FROM up u JOIN looped l ON l.doc_id = u.doc_id AND l.v = u.v)"""
 SQL = {
+    "is_dag": with_(LINES, recursive=True)
+    + _STUCK
+    + " SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM stuck) AS is_dag FROM documents",
+    "artifact_counts": with_(NODES, LOGS, RUNS)
+    + """SELECT doc_id, 'nodes' AS artifact, count(*) AS n FROM nodes GROUP BY 1
+UNION ALL SELECT doc_id, 'headings', count(*) FROM nodes WHERE node_type = 'heading' GROUP BY 1
+UNION ALL SELECT doc_id, 'pages', count(DISTINCT page) FROM nodes GROUP BY 1
+UNION ALL SELECT doc_id, 'labels', count(*) FROM labels GROUP BY 1
+UNION ALL SELECT doc_id, 'runs', count(*) FROM runs GROUP BY 1""",
     "build_edges": g() + "SELECT * FROM edges",
     "drop_dangling_edges": g("big AS (SELECT vertex FROM vertices WHERE node_type = 'unit' OR length(label) > 12)")
     + """SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT vertex FROM big) AND dst IN (SELECT vertex FROM big)""",
@@ -41,10 +55,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS total_edges, count(*) FILTER (edge_type =
 FROM vertices v LEFT JOIN edges e ON e.src = v.vertex LEFT JOIN vertices t ON t.vertex = e.dst GROUP BY 1, 2""",
     "direct_prerequisites": g() + "SELECT unit_id, prerequisite_id FROM pre",
     "cycle_members": with_(LINES, recursive=True)
-    + """, e AS (SELECT doc_id, n AS src, len % 37 AS dst FROM lines WHERE n <> len % 37),
-up(doc_id, v, pp, d) AS (SELECT doc_id, src, dst, 1 FROM e
-  UNION SELECT u.doc_id, u.v, e.dst, least(d + 1, 60) FROM up u JOIN e ON e.doc_id = u.doc_id AND e.src = u.pp WHERE d < 60),
-looped AS (SELECT DISTINCT doc_id, v FROM up WHERE v = pp),
-stuck AS (SELECT doc_id, v FROM looped UNION SELECT u.doc_id, u.pp FROM up u JOIN looped l ON l.doc_id = u.doc_id AND l.v = u.v)
+    + _STUCK
+    + """
 SELECT s.doc_id, s.v::BIGINT AS vertex FROM stuck s JOIN lines n ON n.doc_id = s.doc_id AND n.n = s.v""",
 }

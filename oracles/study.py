@@ -15,6 +15,10 @@ CARDS = """cards AS (SELECT doc_id, unit_id, section_id, title, row_number() OVE
   CASE words % 5 WHEN 0 THEN 'mastered' WHEN 1 THEN 'in_progress' ELSE 'not_started' END AS status, start_page, end_page
   FROM units JOIN sect USING (unit_id))"""
 SQL = {
+    "quiz_cards": w(*UNITS, UTREE, SECTION)
+    + """SELECT 'q/' || unit_id AS quiz_id, section_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS position,
+  n_exercise * 10 AS total_points, CASE WHEN words % 2 = 0 THEN 'completed' ELSE 'not_started' END AS status,
+  CASE WHEN words % 2 = 0 THEN (words % 100)::DOUBLE END AS score FROM units JOIN sect USING (unit_id) WHERE n_exercise > 0""",
     "group_milestones": w(*CTES, PLAN, BATCH) + "SELECT unit_id, milestone FROM batched",
     "classify_lessons": w(*CTES, PLAN)
     + """SELECT unit_id, position, CASE WHEN difficulty = 'advanced' THEN 'advanced' WHEN position = 0 THEN 'introduction'
