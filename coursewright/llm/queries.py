@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.llm import line_dedup, packing, sharding
+from coursewright.llm import fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup
 from coursewright.sources.tables import table
 
 
@@ -15,12 +15,36 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_dedup(docs)
 
 
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of documents, of the same with the last quarter replaced, and their likeness."""
+    return fingerprints.followed(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Documents over eight equal shards by rendezvous hashing, and over nine."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return sharding.shard_rows(docs, [1.0] * 8)
 
 
+def op7_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate components of documents by two-word shingles."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, size=2)
+
+
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document that stay when 50-word passages of earlier documents go."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = substring_dedup.substring_dedup(docs)
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select(
+        "doc_id",
+        F.col("word_count").cast("long").alias("n_words"),
+        F.col("removed_count").cast("long").alias("n_removed"),
+        F.sha2(spaced, 256).alias("kept_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in sequences of 2,048 to 32,768 byte tokens, one more for each document's end."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -28,7 +52,9 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sized, "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op5_fingerprints, op6_sharding, op7_near_dedup, op8_substring_dedup, op10_packing,
+)}
 
 SQL = {
     "op1_line_dedup": """
@@ -59,4 +85,25 @@ cut AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text,
        coalesce(c.line_count, 0)::INTEGER AS line_count, coalesce(c.removed_count, 0)::INTEGER AS removed_count
 FROM documents d LEFT JOIN cut c USING (doc_id)""",
+    "op8_substring_dedup": r"""
+WITH found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+every AS (SELECT doc_id, i, ws[i] AS word FROM found, unnest(range(1, len(ws) + 1)) AS t(i)),
+windows AS (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS content, count(*) OVER w AS n
+  FROM every WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY content) AS low FROM windows WHERE n = 50
+  ) WHERE doc_id > low
+),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, unnest(range(0, 50)) AS t(o)),
+kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.i) AS n_removed,
+         coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL), '') AS left_over
+  FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(left_over, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)""",
 }
