@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.llm import fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup
+from coursewright.llm import (
+    bpe,
+    fingerprints,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    token_counts,
+    topk_search,
+)
+from coursewright.session import shared_folder
 from coursewright.sources.tables import table
 
 
@@ -15,6 +30,28 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_dedup(docs)
 
 
+def op2_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector."""
+    vectors = topk_search.integer_vectors(table(spark, sf, "embeddings"))
+    return topk_search.topk_search(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of documents, by a cache that starts empty."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of each document, learned from documents that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    judged = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.identify(judged, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of documents, of the same with the last quarter replaced, and their likeness."""
     return fingerprints.followed(table(spark, sf, "documents").select("doc_id", "text"))
@@ -45,6 +82,19 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents encoded to token ids and decoded again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in sequences of 2,048 to 32,768 byte tokens, one more for each document's end."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -53,7 +103,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op5_fingerprints, op6_sharding, op7_near_dedup, op8_substring_dedup, op10_packing,
+    op1_line_dedup, op2_topk_search, op3_token_counts, op4_language_id, op5_fingerprints, op6_sharding, op7_near_dedup,
+    op8_substring_dedup, op9_bpe, op10_packing,
 )}
 
 SQL = {
@@ -85,6 +136,18 @@ cut AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text,
        coalesce(c.line_count, 0)::INTEGER AS line_count, coalesce(c.removed_count, 0)::INTEGER AS removed_count
 FROM documents d LEFT JOIN cut c USING (doc_id)""",
+    "op2_topk_search": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS terms FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.terms, c.terms)::BIGINT AS score
+  FROM sound q, sound c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.terms) = len(q.terms)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op8_substring_dedup": r"""
 WITH found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 every AS (SELECT doc_id, i, ws[i] AS word FROM found, unnest(range(1, len(ws) + 1)) AS t(i)),

@@ -119,7 +119,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     parts = np.concatenate([[0], np.cumsum(count)])
     factors = draws(size + 1, 77) | np.uint64(1)
     rolled = np.zeros(len(hashes), dtype=np.uint64)
-    for j in range(size):
+    for j in range(min(size, len(hashes))):
         rolled[: len(hashes) - j] += hashes[j:] * factors[j]
     at = np.arange(parts[-1], dtype=np.int64) - np.repeat(parts[:-1] - first[:-1], count)
     out = rolled[at]
