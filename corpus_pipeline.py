@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.llm import line_dedup, packing
+from coursewright.llm import language, line_dedup, near_dedup, packing, substring_dedup
 from coursewright.session import stage
 from coursewright.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language the model knows, with that language as lang.
+
+    The model is fitted on a bounded sample of ``docs`` by lang.  Rejected are the texts that
+    are null or hold no letter; every other document has a best language and stays.
+    """
+    docs = docs.select(*COLUMNS)
+    named = language.identify(docs, language.fit(docs.where(~language.held_out())))
+    return named.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of lines; one that keeps no line goes.
 
@@ -22,13 +33,39 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.where(~F.coalesce(emptied, F.lit(False))).select(*COLUMNS)
 
 
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    The one with the smallest id stays; rows that repeat its id stay with it.
+    """
+    judged = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that an earlier document holds; one that keeps no word goes.
+
+    A document that had no word from the start stays.
+    """
+    cut = substring_dedup.substring_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    emptied = (F.col("removed_count") > 0) & (F.col("removed_count") == F.col("word_count"))
+    return cut.where(~emptied).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document in sequences of byte tokens."""
     sized = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n_tokens"))
     return packing.pack(sized, "n_tokens")
 
 
-STAGES = [("line dedup", cut_lines), ("best-fit packing", pack)]
+STAGES = [
+    ("language ID", identify),
+    ("line dedup", cut_lines),
+    ("MinHash near-dedup", drop_near),
+    ("substring dedup", cut_passages),
+    ("best-fit packing", pack),
+]
 
 #: Language models and greedy packing are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
