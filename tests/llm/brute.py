@@ -21,6 +21,14 @@ def shingle_set(text, size):
     return {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)}
 
 
+def shingle_set_exact(text, size):
+    """The same without lower case."""
+    ws = words_of(text)
+    if len(ws) < size:
+        return {tuple(ws)} if ws else set()
+    return {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)}
+
+
 def near_duplicates(rows, size, percent=80):
     """rows: (doc_id, text) with unique ids -> {doc_id: (n, component, kept)}."""
     sets = {i: shingle_set(t, size) for i, t in rows}
