@@ -36,11 +36,12 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    The one with the smallest id stays; rows that repeat its id stay with it.
+    The one with the smallest id stays; rows that repeat its id stay with it, and so do rows
+    without an id, which cannot be told apart.
     """
     judged = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
