@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.session import stage
+from coursewright.llm.staging import Stages
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     the longest shortest path.  Every step is a join or a combinable minimum, so a node with
     very many links is spread; each round's labels are written to the shared folder.
     """
-    links = stage(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = stage(links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+    stages = Stages(edges.sparkSession)
+    both_ways = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = stages.keep("links", both_ways.where("a <> b").distinct())
+    start = links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root"))
+    labels = stages.keep("round0", start)
+    turn = 0
     while True:
+        turn += 1
         seen = (
             links.join(labels.select(F.col("node").alias("b"), "root"), "b")
             .groupBy("a")
@@ -32,8 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
             both.where("best < root").select(F.col("root").alias("node"), "best", F.lit(None).cast("long").alias("old"))
         )
         hooked = offers.groupBy("node").agg(F.min("best").alias("root"), F.max("old").alias("old"))
+        hooked = stages.keep(f"hooked{turn}", hooked)
         jumped = hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-        after = stage(jumped.select("node", F.least("root", "next").alias("root"), "old"))
+        after = stages.keep(f"round{turn}", jumped.select("node", F.least("root", "next").alias("root"), "old"))
+        stages.drop(f"hooked{turn}", f"round{turn - 1}")
         labels = after.select("node", "root")
         if after.where("root <> old").isEmpty():
+            stages.drop("links")
             return labels

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coursewright.llm import words
 from coursewright.llm.components import components
-from coursewright.session import stage
+from coursewright.llm.staging import Stages
 
 #: Words of a shingle, and the similarity in percent from which two documents are linked.
 SHINGLE, PERCENT = 5, 80
@@ -19,6 +19,8 @@ SHINGLE, PERCENT = 5, 80
 #: 2 * WIDTH minima from only 2 * HALVES * WIDTH minima.  At similarity 0.8 a pair meets in no
 #: table with a chance of about 2 * (1 - 0.8 ** WIDTH) ** HALVES, 4e-4 here.
 HALVES, WIDTH = 16, 4
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,18 @@ def half_keys(hashes: np.ndarray, first: np.ndarray, halves: int = HALVES, width
     return out
 
 
+def parity_sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets, SKETCH): the parity of the number of elements in each of 64 * SKETCH cells.
+
+    Every cell in which two sets differ holds an element that only one of them has, so the
+    differing bits are a lower bound of the size of their symmetric difference.
+    """
+    n, cells = len(first) - 1, 64 * SKETCH
+    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(first))
+    odd = np.bincount(row * cells + (hashes % np.uint64(cells)).astype(np.int64), minlength=n * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH, 64), axis=2, bitorder="little").view(np.uint64).reshape(n, SKETCH)
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, version, n, set, halves) of every row; ``halves`` is empty for an empty set."""
 
@@ -82,7 +96,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(set, hashes): the shingle set of each row as packed 64-bit values."""
+    """(set, size, hashes, s0, s1, ...): the shingle set of each row as packed 64-bit values, and its sketch."""
+    names = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +105,11 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
                 hashes, first = shingle_sets(*words.buffers(part.column("text")), size)
                 packed = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 keys = pa.array(set_keys(hashes, first).view(np.int64))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(packed, pa.binary())], names=["set", "hashes"])
+                sketch = parity_sketches(hashes, first).view(np.int64)
+                columns = [keys, pa.array(np.diff(first).astype(np.int64)), pa.array(packed, pa.binary()), *(pa.array(c) for c in sketch.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=["set", "size", "hashes", *names])
 
-    return docs.mapInArrow(run, "set long, hashes binary")
+    return docs.mapInArrow(run, "set long, size long, hashes binary, " + ", ".join(f"{c} long" for c in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,68 +146,43 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Equal sets are one node from the start.  Half keys that only one node has are dropped;
     the rest are paired to table keys.  In each bucket every node is first held against the
-    smallest, which joins most of a large group without meeting in pairs.  Then the nodes
-    outside a bucket's largest component meet its other components, so no candidate is left
-    unchecked.  Only sets of candidates are built again, from their whole texts.
+    one that shares most places with others, which joins most of a large group without
+    meeting in pairs.  Then the nodes outside a bucket's largest component meet those of its
+    other components, as far as their parity sketches allow the similarity; so no candidate
+    is left unchecked.  Only sets of candidates are built again, from their whole texts.
+    What a join looks up is written first, so that Spark can split the other side's hot keys.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    rows = stage(_signatures(source, size))
+    stages = Stages(docs.sparkSession)
+    rows = stages.keep("rows", _signatures(source, size))
     filled = rows.where("n > 0")
-    nodes = filled.groupBy("set").agg(
-        F.min(F.struct("doc_id", "version")).alias("place"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("halves").alias("halves")
+    nodes = stages.keep(
+        "nodes",
+        filled.groupBy("set").agg(
+            F.min(F.struct("doc_id", "version")).alias("place"), F.min("doc_id").alias("least"), F.first("halves").alias("halves")
+        ),
     )
-    nodes = stage(nodes)
-    halves = nodes.select("set", F.posexplode("halves").alias("at", "half"))
-    shared = halves.groupBy("half").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("half")
-    alive = halves.join(shared, "half").groupBy("set").agg(
-        F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("left"),
-        F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("right"),
-    )
-    tables = alive.select("set", F.explode("left").alias("left"), "right").select(
-        "set", "left", F.explode("right").alias("right")
-    ).select("set", F.xxhash64("left", "right").alias("bucket"))
-    low = tables.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
-    members = stage(tables.join(low.select("bucket", "low"), "bucket"))
-    candidates = members.select("set").distinct()
-
-    wanted = candidates.join(nodes.select("set", "place"), "set").select("place.*")
+    members = _members(stages, nodes)
+    wanted = members.select("set").distinct().join(nodes.select("set", "place"), "set").select("place.*").distinct()
     texts = source.alias("d").join(
-        wanted.distinct().alias("w").hint("shuffle_hash"),
+        wanted.alias("w").hint("shuffle_hash"),
         F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.version").eqNullSafe(F.col("w.version")),
         "left_semi",
-    )
-    sets = stage(_full_sets(texts.select("text"), size).dropDuplicates(["set"]))
+    )
+    sets = stages.keep("sets", _full_sets(texts.select("text"), size).dropDuplicates(["set"]))
 
-    stars = stage(_verified(members.where("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct(), sets, percent))
+    stars = members.where("set <> center").select(F.least("set", "center").alias("a"), F.greatest("set", "center").alias("b"))
+    met = stages.keep("met", stars.distinct())
     # Rows that share an id: their sets are joined whatever they hold.
     named = filled.where("doc_id IS NOT NULL")
-    twice = named.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a < high")
-    tied = named.join(twice.select("doc_id", "a"), "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct()
-    links = stage(stars.union(tied))
+    ends = named.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("high"))
+    twice = stages.keep("twice", ends.where("a < high").select("doc_id", "a"))
+    tied = named.join(twice, "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct()
+    links = stages.keep("linked", _verified(met, sets, percent).union(tied))
     roots = components(links)
-
-    sizes = nodes.select("set", "n")
-    placed = members.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", F.coalesce("root", "set").alias("root"), "low")
-    mixed = placed.groupBy("bucket").agg(
-        F.min("root").alias("first"), F.max("root").alias("last"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("content"), F.count(F.lit(1)).alias("size")
-    )
-    # Buckets with the same members need to be looked at once.
-    once = mixed.where("first < last").groupBy("content", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = stage(placed.join(once, "bucket").join(sizes, "set"))
-    largest = (
-        open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("bucket").agg(F.max_by("root", "size").alias("main"))
-    )
-    outside = open_.join(largest, "bucket").where("root <> main")
-    left, right = outside.alias("x"), open_.join(largest, "bucket").alias("y")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    # A pair outside the main component is met from both ends: keep one of them.
-    one_way = (F.col("y.root") == F.col("y.main")) | (F.col("x.set") < F.col("y.set"))
-    meeting = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & fits & one_way)
-    pairs = meeting.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-    # Pairs with the smallest of some bucket have been held together already.
-    met = members.where("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
-    rest = stage(_verified(pairs.join(met, ["a", "b"], "left_anti"), sets, percent))
+    pairs = _open_pairs(stages, members, roots, sets, percent).join(met, ["a", "b"], "left_anti")
+    rest = stages.keep("rest", _verified(pairs, sets, percent))
+    stages.drop("known", "members", "sets", "met")
     if not rest.isEmpty():
         roots = components(links.union(rest))
 
@@ -200,6 +192,63 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "component")
     alone = nodes.select("set", "least").join(linked, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
+    alone = stages.keep("alone", alone)
+    stages.drop("nodes", "twice", "linked", "rest")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _members(stages: Stages, nodes: DataFrame) -> DataFrame:
+    """(bucket, set, center): the buckets of all tables that two nodes or more share.
+
+    The center is the member that meets most others over all its buckets: in a group of
+    edited copies that is the text they come from.
+    """
+    halves = nodes.select("set", F.posexplode("halves").alias("at", "half"))
+    ends = halves.groupBy("half").agg(F.min("set").alias("low"), F.max("set").alias("high"))
+    shared = stages.keep("shared", ends.where("low < high").select("half"))
+    alive = halves.join(shared, "half").groupBy("set").agg(
+        F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("left"),
+        F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("right"),
+    )
+    one = alive.select("set", F.explode("left").alias("left"), "right")
+    tables = one.select("set", "left", F.explode("right").alias("right")).select("set", F.xxhash64("left", "right").alias("bucket"))
+    tables = stages.keep("tables", tables)
+    live = stages.keep("live", tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    filled = stages.keep("filled", tables.join(live, "bucket"))
+    stages.drop("shared", "tables")
+    degree = stages.keep("degree", filled.groupBy("set").agg(F.sum("size").alias("degree")))
+    top = filled.join(degree, "set").groupBy("bucket").agg(F.max(F.struct("degree", "set")).alias("top"))
+    center = stages.keep("center", top.select("bucket", F.col("top.set").alias("center")))
+    members = stages.keep("members", filled.join(center, "bucket").select("bucket", "set", "center"))
+    stages.drop("live", "filled", "degree", "center")
+    return members
+
+
+def _open_pairs(stages: Stages, members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes that share a bucket, lie in different components so far and may be similar enough."""
+    placed = members.join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", F.coalesce("root", "set").alias("root"))
+    placed = stages.keep("placed", placed)
+    mixed = placed.groupBy("bucket").agg(
+        F.min("root").alias("first"), F.max("root").alias("last"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("content"), F.count(F.lit(1)).alias("size")
+    )
+    # Buckets with the same members need to be looked at once.
+    once = stages.keep("once", mixed.where("first < last").groupBy("content", "size").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    open_ = stages.keep("open", placed.join(once, "bucket"))
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"))
+    largest = stages.keep("largest", top.select("bucket", F.col("top.root").alias("main")))
+    sketches = sets.drop("hashes")
+    known = stages.keep("known", open_.join(largest, "bucket").join(sketches, "set"))
+    stages.drop("placed", "once", "open", "largest")
+    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    together = F.col("x.size") + F.col("y.size")
+    fits = (differ * (100 + percent) <= together * (100 - percent)) & (
+        F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    )
+    # A pair outside the main component is met from both ends: keep one of them.
+    one_way = (F.col("y.root") == F.col("y.main")) | (F.col("x.set") < F.col("y.set"))
+    left, right = known.where("root <> main").alias("x"), known.alias("y")
+    meeting = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & one_way & fits)
+    return meeting.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
