@@ -160,7 +160,7 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         width = int(blocks["width"].iloc[0])
         blocks = blocks.sort_values("first")
         ids = [np.frombuffer(x, np.int64) for x in blocks["ids"]]
-        terms = [np.frombuffer(x, np.int64).reshape(-1, width) for x in blocks["terms"]]
+        terms = [np.frombuffer(x, np.int64).reshape(len(i), width) for i, x in zip(ids, blocks["terms"], strict=True)]
         low, high = (np.stack([np.frombuffer(x, np.int64) for x in blocks[c]]) for c in ("low", "high"))
         numbers = own["id"].to_numpy(dtype=np.int64)
         wanted = np.stack(own["terms"].to_numpy()).astype(np.int64).reshape(len(own), width)
