@@ -7,6 +7,8 @@ digits and underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +110,11 @@ def count_mentions(text: Column, term: Column) -> Column:
     return F.regexp_count(F.lower(text), F.concat(F.lit(WORD_START), quoted, F.lit(WORD_END)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_hints(text: Column) -> Column:
     """struct(numbered_item, blank_ids, blank_positions) of an item's text."""
     trimmed = strip(text)
@@ -116,15 +123,15 @@ def text_hints(text: Column) -> Column:
     number = F.regexp_extract(trimmed, r"^\s*(\d+)[.)]\s+", 1)
     ids = F.transform(F.regexp_extract_all(trimmed, F.lit(blank), F.lit(1)), lambda v: v.cast("int"))
     pieces = F.split(F.regexp_replace(trimmed, blank, "\u0001$0\u0002"), "\u0002")
-    # Length of everything before the k-th marker, less the markers added so far.
-    starts = F.transform(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda _, i: F.length(
-            F.call_function(
-                "substring_index", F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit("\u0001"), i + 1
-            )
-        )
-        - i,
+    # Lengths of the pieces before the k-th marker and of its own text, less the markers added so far.
+    measured = F.transform(
+        pieces, lambda p: F.struct(F.length(p).alias("whole"), F.length(F.substring_index(p, "\u0001", 1)).alias("before"))
+    )
+    starts = bound(
+        F.slice(measured, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda m: F.transform(
+            m, lambda x, i: F.aggregate(F.slice(m, F.lit(1), i), F.lit(0), lambda total, p: total + p["whole"]) + x["before"] - i
+        ),
     )
     return F.struct(
         F.when(number != "", number.cast("int")).alias("numbered_item"),

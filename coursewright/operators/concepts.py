@@ -34,7 +34,6 @@ CATEGORIES: dict[str, tuple[str, str]] = {
         r"(?id)([A-Za-z]\s*=\s*[A-Za-z0-9\s\+\-\*/\^\(\)]+)",
     ),
 }
-NAME_LIMIT = 120
 
 # Raw concepts: doc_id, name, category, importance, mentions, node_id (null for text patterns), emit (order struct).
 
@@ -46,7 +45,7 @@ def concept_id() -> Column:
 def concepts_from_annotations(annotations: DataFrame) -> DataFrame:
     """definition → definition, key term → vocab, objective → skill (0.8 of the confidence)."""
     kind = F.col("type")
-    name = F.when(kind == "objective", F.substring(X.strip(F.col("body")), 1, NAME_LIMIT)).otherwise(X.strip(F.col("term")))
+    name = F.when(kind == "objective", X.strip(F.col("body"))).otherwise(X.strip(F.col("term")))
     category = F.when(kind == "definition", "definition").when(kind == "key_term", "vocab").otherwise("skill")
     late = F.when(kind == "key_term", 0).otherwise(F.floor(F.col("ord") / 1000000)).cast("int")
     rows = annotations.where(kind.isin("definition", "key_term", "objective")).select(
@@ -97,7 +96,7 @@ def _hits(hits: Column, category: str, rank: int) -> Column:
     return F.transform(
         hits,
         lambda v, i: F.struct(
-            F.substring(X.strip(v), 1, NAME_LIMIT).alias("name"),
+            X.strip(v).alias("name"),
             F.lit(category).alias("category"),
             F.lit(rank).alias("rank"),
             i.cast("int").alias("ord"),

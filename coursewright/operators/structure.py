@@ -144,9 +144,14 @@ def normalise_tables(tables: DataFrame) -> DataFrame:
     )
 
 
-def assign_sections(nodes: DataFrame, levels: int = 4) -> DataFrame:
-    """Parent of each parentless node: the nearest open heading (for a heading, of smaller level)."""
+def assign_sections(nodes: DataFrame, levels: int = 6) -> DataFrame:
+    """Parent of each parentless node: the nearest open heading (for a heading, of smaller level).
+
+    Headings have ``levels`` levels, six as in HTML; a deeper one fails the query.
+    """
     heading = F.col("node_type") == "heading"
+    too_deep = F.raise_error(F.lit(f"a heading is deeper than level {levels}")).cast("int")
+    nodes = nodes.withColumn("level", F.when(heading & (F.col("level") > levels), too_deep).otherwise(F.col("level")))
     specs: dict[str, Q.ScanSpec] = {
         f"_h{k}": ("last", F.when(heading & (F.col("level") == k), F.struct("seq", "node_id")), False)
         for k in range(1, levels + 1)

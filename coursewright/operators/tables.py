@@ -33,9 +33,20 @@ def upsert_last_wins(base: DataFrame, changes: DataFrame, keys: Sequence[str], o
     return merged.select(*keys, "_row.*")
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    """The row with the smallest values of each key, nulls first."""
+    if not rest:
+        return df.select(*keys).distinct()
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
+    return picked.select(*keys, "_row.*")
+
+
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``base`` plus the rows of ``new`` whose key is absent; ``inserted`` marks them."""
-    fresh = new.dropDuplicates(list(keys)).join(base.select(*keys), list(keys), "left_anti")
+    """``base`` plus the rows of ``new`` whose key is absent; ``inserted`` marks them.
+
+    Of several new rows with one key the one with the smallest values counts.
+    """
+    fresh = one_per_key(new, keys, [c for c in base.columns if c not in keys]).join(base.select(*keys), list(keys), "left_anti")
     return base.withColumn("inserted", F.lit(False)).unionByName(
         fresh.select(*base.columns).withColumn("inserted", F.lit(True))
     )
@@ -44,8 +55,12 @@ def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
 def conditional_upsert(
     base: DataFrame, new: DataFrame, keys: Sequence[str], guard: Column, update: Sequence[str]
 ) -> DataFrame:
-    """Insert absent keys; on a clash set ``update`` only where ``guard`` (on base) holds."""
+    """Insert absent keys; on a clash set ``update`` only where ``guard`` (on base) holds.
+
+    Of several new rows with one key the one with the smallest values counts.
+    """
     rest = [c for c in base.columns if c not in keys]
+    new = one_per_key(new, keys, rest)
     left = base.withColumn("_hit", guard).withColumn("_old", F.lit(True))
     right = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in rest], F.lit(True).alias("_fresh"))
     joined = left.join(right, list(keys), "full")
@@ -186,8 +201,7 @@ def flag_exists(items: DataFrame, facts: DataFrame, key: str, flag: str) -> Data
 def distinct_through(users: DataFrame, roles: DataFrame, user: str, role: str, permission: str) -> DataFrame:
     """Distinct (user, permission) through roles.
 
-    Users are reduced to their distinct role sets first, so the join fans out per
-    role set rather than per assignment.
+    Assignments and grants are made distinct before the join, the result after it.
     """
     return users.select(user, role).distinct().join(roles.select(role, permission).distinct(), role).select(
         user, permission
@@ -211,7 +225,11 @@ def nest_children(parents: DataFrame, links: DataFrame, key: str, child: str) ->
 
 
 def paginate(df: DataFrame, key: str, offset: int, limit: int, max_page: int = 5000) -> DataFrame:
-    """A page in key order with the total and the next offset (null on the last page)."""
+    """A page in key order with the total and the next offset (null on the last page).
+
+    A page has ``limit`` rows, at least 1 and at most ``max_page``; next_offset counts the
+    rows of the page as returned.
+    """
     size = max(1, min(limit, max_page))
     total = df.agg(F.count("*").alias("total"))
     page = df.orderBy(key).offset(offset).limit(size)

@@ -15,8 +15,9 @@ from coursewright.session import cut_lineage
 def closure(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, max_depth: int | None) -> DataFrame:
     """(keys, node, ancestor, distance) including the node itself at distance 0.
 
-    With a known depth the joins are unrolled and stay lazy.  With ``None`` rounds run
-    until no pointer is left, each cut by a reliable checkpoint.
+    With a known depth the joins are unrolled and stay lazy; a node deeper than that fails
+    the query, so no ancestor is left out.  With ``None`` rounds run until no pointer is left,
+    each cut by a reliable checkpoint.
     """
     keys = list(keys)
     up = nodes.select(*keys, F.col(node).alias("ancestor"), F.col(parent).alias("_up")).where(F.col("_up").isNotNull())
@@ -33,6 +34,13 @@ def closure(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, max_d
             if level.isEmpty():
                 break
         out.append(level)
+    if max_depth is not None:
+        # The message names both sides, so the test is not moved below the join.
+        place = F.concat_ws(" below ", F.col("node").cast("string"), F.col("_up").cast("string"))
+        deeper = F.raise_error(F.concat(F.lit(f"deeper than {max_depth}: "), place)).cast("boolean")
+        out.append(
+            level.join(up, [*keys, "ancestor"]).where(deeper).select(*keys, "node", F.col("_up").alias("ancestor"), F.lit(step + 1).alias("distance"))
+        )
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

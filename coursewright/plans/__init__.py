@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AREAS = (
     "sources", "tables", "progress", "runs", "quality", "text", "structure", "annotations",
-    "units", "concepts", "graph", "study", "book", "cards", "layout", "review", "streams",
+    "units", "concepts", "graph", "study", "book", "layout", "review", "streams",
 )
 
 

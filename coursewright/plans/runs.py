@@ -35,11 +35,11 @@ def pending_work(s, sf):
 
 
 def runs_with_stages(s, sf):
-    return R.runs_with_stages(T.runs(s, sf), T.stage_logs(s, sf).where(F.col("result") == "error"))
+    return R.runs_with_stages(T.runs(s, sf), T.stage_logs(s, sf))
 
 
 def stage_log_summary(s, sf):
-    out = R.stage_log_summary(T.stage_logs(s, sf).withColumn("doc_id", F.col("run_id") % 100), "doc_id", "stage", "result")
+    out = R.stage_log_summary(T.stage_logs(s, sf).withColumn("doc_id", T.document_of_run(s, sf)), "doc_id", "stage", "result")
     return out.select(
         "doc_id", "stage", "result", "n",
         F.date_format("first_seen", TS).alias("first_seen"), F.date_format("last_seen", TS).alias("last_seen"),

@@ -21,7 +21,7 @@ def cards(s, sf):
         F.when(F.col("event_type") != "signup", F.col("user_id")).alias("user_id"),
         (F.col("event_id") % 5).alias("course_id"),
         (F.col("event_id") % 25).alias("unit_id"),
-        (F.col("event_id") * 7 % 500).alias("lesson_id"),
+        T.lesson_of_event(s, sf).alias("lesson_id"),
         F.col("event_type").isin("click", "signup").alias("is_generated"),
         F.col("ts").alias("created_at"),
     )

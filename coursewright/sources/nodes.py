@@ -33,18 +33,11 @@ def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
     assigned by line number; every line of every document is kept.
     """
     lines = F.split("text", "\n")
-    staged = table(spark, sf, "documents").select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                lines,
-                lambda line, i: F.struct(
-                    i.alias("n"), line.alias("line"), F.length(F.get(lines, i - 1)).alias("prev_len")
-                ),
-            )
-        ).alias("e"),
-    )
-    n, line = F.col("e.n"), F.col("e.line")
+    # The lines and, one place later, their lengths side by side: no line looks into the whole again.
+    lengths = F.concat(F.array(F.lit(None).cast("int")), F.transform(lines, F.length))
+    pairs = F.arrays_zip(lines.alias("line"), F.slice(lengths, F.lit(1), F.size(lines)).alias("prev_len"))
+    staged = table(spark, sf, "documents").select("doc_id", F.posexplode(pairs).alias("n", "e"))
+    n, line = F.col("n"), F.col("e.line")
     size, prev = F.length(line), F.col("e.prev_len")
     n_text = n.cast("string")
     slot = (F.col("doc_id") + n) % 19
@@ -68,7 +61,7 @@ def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.concat_ws("/", F.col("doc_id"), n).alias("node_id"),
         n.alias("seq"),
-        F.expr("e.n div 8 + 1").cast("int").alias("page"),
+        F.expr("n div 8 + 1").cast("int").alias("page"),
         _node_type(n, size).alias("node_type"),
         F.when(n == 0, 1).when(size < 40, 2 + n % 3).otherwise(0).alias("level"),
         F.concat(prefix, line).alias("text"),

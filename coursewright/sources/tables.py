@@ -5,7 +5,7 @@ The derivations are total functions of the rows: every row of a base table takes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> Column:
+    """The number of rows of a base table, read from its file footers; its keys are 0 to one less."""
+    return F.lit(table(spark, sf_dir, name).count())
+
+
 # ---- course tree -----------------------------------------------------------------
 
 
@@ -74,6 +79,16 @@ def quizzes(spark: SparkSession, sf: str) -> DataFrame:
 # ---- progress facts --------------------------------------------------------------
 
 
+def lesson_of_event(spark: SparkSession, sf: str) -> Column:
+    """A hundred lessons for each user, over all lessons there are."""
+    return (F.col("user_id") * 100 + F.col("event_id") * 7 % 100) % rows_of(spark, sf, "orders")
+
+
+def document_of_run(spark: SparkSession, sf: str) -> Column:
+    """Three runs in a row work on one document; the documents are taken in steps of seven."""
+    return F.expr("run_id div 3") * 7 % rows_of(spark, sf, "documents")
+
+
 def progress_events(spark: SparkSession, sf: str) -> DataFrame:
     """One row per progress write; later ``event_id`` wins."""
     kind = F.col("event_type")
@@ -81,7 +96,7 @@ def progress_events(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         "ts",
         "user_id",
-        (F.col("event_id") * 7 % 500).alias("lesson_id"),
+        lesson_of_event(spark, sf).alias("lesson_id"),
         F.when(kind == "view", "viewed")
         .when(kind == "click", "in_progress")
         .when(kind == "purchase", "mastered")
@@ -116,7 +131,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
             "event_id",
             "ts",
             "user_id",
-            (F.col("event_id") * 11 % 200).alias("practice_id"),
+            ((F.col("user_id") * 13 + F.col("event_id") * 11 % 14) % rows_of(spark, sf, "part")).alias("practice_id"),
             (F.col("value") / 50).alias("score"),
         )
     )
@@ -127,7 +142,7 @@ def quiz_results(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
         .where(F.col("event_type").isin("signup", "error"))
-        .groupBy("user_id", (F.col("event_id") % 100).alias("quiz_id"))
+        .groupBy("user_id", ((F.col("user_id") + F.col("event_id") % 3) % rows_of(spark, sf, "supplier")).alias("quiz_id"))
         .agg(
             F.max_by("value", "event_id").alias("score"),
             F.max("ts").alias("completed_at"),
@@ -161,7 +176,6 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     logs = stage_logs(spark, sf)
     failed = F.col("result") == "error"
     return logs.groupBy("run_id").agg(
-        (F.first("run_id") % 100).alias("doc_id"),
         F.when(F.count_if(failed) == 0, "completed")
         .when(F.count_if(failed) == 1, "pending")
         .when(F.count_if(failed) == 2, "processing")
@@ -173,7 +187,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.max_by("stage", F.when(failed, F.col("log_id"))).alias("failed_stage"),
         F.min("created_at").alias("created_at"),
         F.max("created_at").alias("updated_at"),
-    )
+    ).withColumn("doc_id", document_of_run(spark, sf))
 
 
 # ---- roles -----------------------------------------------------------------------

@@ -18,7 +18,7 @@ LESSONS = """lessons AS (SELECT o_orderkey AS lesson_id, o_custkey AS section_id
 PRACTICES = """practices AS (SELECT p_partkey AS practice_id, p_partkey * 3 // 4 AS section_id, p_name AS title,
   (p_size % 10)::INTEGER AS required_correct, 10 AS total_questions, p_partkey AS display_order FROM part)"""
 QUIZZES = "quizzes AS (SELECT s_suppkey AS quiz_id, s_suppkey * 15 AS section_id, s_name AS title FROM supplier)"
-PROGRESS = """progress AS (SELECT event_id, ts, user_id, event_id * 7 % 500 AS lesson_id,
+PROGRESS = """progress AS (SELECT event_id, ts, user_id, (user_id * 100 + event_id * 7 % 100) % (SELECT count(*) FROM orders) AS lesson_id,
   CASE event_type WHEN 'view' THEN 'viewed' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'mastered'
     WHEN 'error' THEN 'locked' ELSE 'not_started' END AS status,
   CASE WHEN event_type = 'purchase' THEN ts END AS completed_at, value / 5 AS score FROM events)"""
@@ -27,16 +27,16 @@ LATEST = """latest AS (SELECT * FROM progress
 DENSE = """dense AS (SELECT k AS user_id, o_orderkey AS lesson_id, o_custkey AS section_id,
   CASE WHEN (o_custkey + k) % 3 = 0 OR o_orderkey % 4 = 0 THEN 'mastered' ELSE 'in_progress' END AS status
   FROM orders, (SELECT unnest([0, 1, 2])::BIGINT AS k))"""
-ATTEMPTS = """attempts AS (SELECT event_id, ts, user_id, event_id * 11 % 200 AS practice_id, value / 50 AS score
+ATTEMPTS = """attempts AS (SELECT event_id, ts, user_id, (user_id * 13 + event_id * 11 % 14) % (SELECT count(*) FROM part) AS practice_id, value / 50 AS score
   FROM events WHERE event_type IN ('purchase', 'click'))"""
-QUIZ_RESULTS = """quiz_results AS (SELECT user_id, event_id % 100 AS quiz_id, arg_max(value, event_id) AS score,
+QUIZ_RESULTS = """quiz_results AS (SELECT user_id, (user_id + event_id % 3) % (SELECT count(*) FROM supplier) AS quiz_id, arg_max(value, event_id) AS score,
   max(ts) AS completed_at FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1, 2)"""
 LOGS = """logs AS (SELECT event_id AS log_id, event_id // 5 AS run_id,
   (['parser', 'normalizer', 'page_grouping', 'enricher', 'unit_builder', 'concept_extractor', 'graph_builder',
     'sequence_builder', 'pipeline'])[event_id % 5 + 1] AS stage,
   CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS result, value AS duration, ts AS created_at
   FROM events)"""
-RUNS = """runs AS (SELECT run_id, run_id % 100 AS doc_id,
+RUNS = """runs AS (SELECT run_id, run_id // 3 * 7 % (SELECT count(*) FROM documents) AS doc_id,
   CASE count(*) FILTER (result = 'error') WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' WHEN 2 THEN 'processing'
     ELSE 'failed' END AS status,
   (count(*) FILTER (result = 'error'))::INTEGER AS retry_count, 3 AS max_retries,

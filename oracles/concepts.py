@@ -19,7 +19,7 @@ PATS = [
 DEDUPED = """deduped AS (SELECT * FROM anns
   QUALIFY row_number() OVER (PARTITION BY type, node_id ORDER BY confidence DESC, emit, ord) = 1)"""
 FROM_ANN = f"""from_ann AS (SELECT * FROM (SELECT doc_id,
-  CASE WHEN type = 'objective' THEN left({strip("body")}, 120) ELSE {strip("term")} END AS name,
+  CASE WHEN type = 'objective' THEN {strip("body")} ELSE {strip("term")} END AS name,
   CASE type WHEN 'definition' THEN 'definition' WHEN 'key_term' THEN 'vocab' ELSE 'skill' END AS category,
   confidence * CASE WHEN type = 'objective' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS importance, 1::BIGINT AS mentions, node_id,
   [0, emit, CASE WHEN type = 'key_term' THEN 0 ELSE ord // 1000000 END, seq, ord] AS o
@@ -43,7 +43,7 @@ RAW_TEXT = (
         for c, r, p in PATS
     )
     + f"""),
-text_named AS (SELECT * EXCLUDE (m), left({strip("m")}, 120) AS name FROM text_hits),
+text_named AS (SELECT * EXCLUDE (m), {strip("m")} AS name FROM text_hits),
 text_first AS (SELECT * FROM text_named WHERE length(name) >= 3
   QUALIFY row_number() OVER (PARTITION BY doc_id, page, category, lower(name) ORDER BY rk, i) = 1),
 text_counted AS (SELECT f.*, {mentions("p.page_text", "f.name")} AS mentions

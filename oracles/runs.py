@@ -19,7 +19,7 @@ WANTED = f"""wanted AS (SELECT doc_id, run_id, CASE WHEN run_mode <> 'retry' THE
 SQL = {
     "resume_stage": with_(LOGS, RUNS, MODED, WANTED) + "SELECT run_id, wanted AS stage FROM wanted",
     "pending_work": with_(LOGS, RUNS, MODED, WANTED)
-    + """, saved AS (SELECT run_id % 100 AS doc_id, list(DISTINCT stage) AS done FROM logs WHERE result = 'success' GROUP BY 1)
+    + """, saved AS (SELECT run_id // 3 * 7 % (SELECT count(*) FROM documents) AS doc_id, list(DISTINCT stage) AS done FROM logs WHERE result = 'success' GROUP BY 1)
 SELECT doc_id, run_id, wanted, CASE
   WHEN wanted = 'page_grouping' AND list_contains(done, 'normalizer') THEN wanted
   WHEN wanted = 'graph_builder' AND list_has_all(done, ['normalizer', 'unit_builder', 'concept_extractor']) THEN wanted
@@ -32,10 +32,10 @@ SELECT doc_id, run_id, wanted, CASE
     "runs_with_stages": with_(LOGS, RUNS)
     + """SELECT run_id, status, coalesce(n, 1) AS n_stages, coalesce(stages, 'pipeline:' || status) AS stages
 FROM runs LEFT JOIN (SELECT run_id, count(*)::INTEGER AS n,
-  string_agg(stage || ':' || result, '>' ORDER BY created_at, log_id) AS stages FROM logs WHERE result = 'error'
+  string_agg(stage || ':' || result, '>' ORDER BY created_at, log_id) AS stages FROM logs
   GROUP BY 1) USING (run_id)""",
     "stage_log_summary": with_(LOGS)
-    + """SELECT run_id % 100 AS doc_id, stage, result, count(*) AS n,
+    + """SELECT run_id // 3 * 7 % (SELECT count(*) FROM documents) AS doc_id, stage, result, count(*) AS n,
   strftime(min(created_at), '%Y-%m-%d %H:%M:%S.%f') AS first_seen,
   strftime(max(created_at), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM logs GROUP BY 1, 2, 3""",
     "advance_run_state": with_(LOGS, RUNS)

@@ -3,7 +3,7 @@ from oracles.base import (
 )
 
 CARDS = """cards AS (SELECT event_id AS card_id, CASE WHEN event_type <> 'signup' THEN user_id END AS user_id,
-  event_id % 5 AS course_id, event_id % 25 AS unit_id, event_id * 7 % 500 AS lesson_id,
+  event_id % 5 AS course_id, event_id % 25 AS unit_id, (user_id * 100 + event_id * 7 % 100) % (SELECT count(*) FROM orders) AS lesson_id,
   event_type IN ('click', 'signup') AS is_generated, ts AS created_at FROM events)"""
 DST = """dst AS (SELECT c_custkey + 1000000 AS user_id, c_name AS email FROM customer
   WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000))"""
