@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from coursewright.functions import text as X
 
@@ -25,9 +22,21 @@ def join_rendered_pages(actual: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([round(SequenceMatcher(a=x or "", b=y or "").ratio(), 6) for x, y in zip(a, b, strict=True)])
+def matching_ratio(pairs: DataFrame) -> DataFrame:
+    """(doc_id, page, ratio): twice the tokens both texts have, counted with repeats, over all tokens of the two.
+
+    Tokens are counted per page before they are compared, so a long page is spread.  Pages
+    without any token are left out.
+    """
+    def side(column: str, a: int, b: int) -> DataFrame:
+        tokens = F.explode(X.tokens(F.lower(F.col(column))))
+        return pairs.select("doc_id", "page", tokens.alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+
+    counts = side("actual_text", 1, 0).unionByName(side("generated_text", 0, 1)).groupBy("doc_id", "page", "token").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
+    ratio = 2 * F.sum(F.least("a", "b")) / F.sum(F.col("a") + F.col("b"))
+    return counts.groupBy("doc_id", "page").agg(F.round(ratio, 6).alias("ratio"))
 
 
 def missing_tokens(actual: Column, generated: Column) -> Column:
@@ -35,15 +44,19 @@ def missing_tokens(actual: Column, generated: Column) -> Column:
     return F.array_except(X.tokens(F.lower(actual)), X.tokens(F.lower(generated)))
 
 
-def text_similarity(pairs: DataFrame, minimum: float = SIMILAR, max_missing: int = 0) -> DataFrame:
+def text_similarity(pairs: DataFrame, minimum: float = SIMILAR, max_missing: int = 0, examples: int = 20) -> DataFrame:
+    """Ratio and lost tokens of reviewed pages; two pages without tokens match fully.
+
+    ``missing_examples`` shows the first ``examples`` lost tokens, ``missing_count`` counts all.
+    """
     reviewed = pairs.where(F.col("review_status") == "reviewed")
     lost = missing_tokens(F.col("actual_text"), F.col("generated_text"))
     scored = reviewed.select(
         "doc_id", "page",
-        matching_ratio("actual_text", "generated_text").alias("ratio"),
         F.size(lost).alias("missing_count"),
-        F.array_join(F.slice(lost, 1, 20), " ").alias("missing_examples"),
+        F.array_join(F.slice(lost, 1, examples), " ").alias("missing_examples"),
     )
+    scored = scored.join(matching_ratio(reviewed), ["doc_id", "page"], "left").na.fill(1.0, ["ratio"])
     return scored.withColumn("has_text_loss", (F.col("ratio") < minimum) | (F.col("missing_count") > max_missing))
 
 
@@ -95,12 +108,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (size(a) * size(b))
 
 
-def similarity_topk(vectors: DataFrame, queries: DataFrame, on: str, k: int = 5) -> DataFrame:
-    """The ``k`` nearest vectors to each query among those sharing ``on`` (the filter of the search).
+def similarity_topk(vectors: DataFrame, queries: DataFrame, on: str, k: int = 5, max_queries: int = 1000) -> DataFrame:
+    """The ``k`` nearest of all vectors to each query (``on``, query).
 
-    An equi-join, so vectors never meet foreign queries; the rank filter prunes per task
-    before its shuffle.
+    The queries are a list of at most ``max_queries``, which is checked and goes into the
+    plan; vectors stay where they are, and the rank filter prunes per task before its shuffle.
     """
-    scored = vectors.join(queries, on).select(on, "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    listed = queries.select(on, "query").limit(max_queries + 1).collect()
+    if len(listed) > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
+    given = F.array(*[F.struct(F.lit(q[on]).alias(on), F.array(*map(F.lit, q["query"])).alias("query")) for q in listed])
+    met = vectors.select("vec_id", "embedding", F.explode(given).alias("q"))
+    scored = met.select(f"q.{on}", "vec_id", cosine(F.col("embedding"), F.col("q.query")).alias("score"))
     w = Window.partitionBy(on).orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -14,7 +14,9 @@ from coursewright.plans.structure import nodes
 from coursewright.plans.units import units
 from coursewright.session import stage
 from coursewright.sources.nodes import scan_text_nodes
+from coursewright.sources.sinks import write_graph_tables
 from coursewright.sources.tables import runs, table
+from coursewright.streaming.streams import new_folder
 
 
 def numbered(placed):
@@ -64,6 +66,16 @@ def is_dag(s, sf):
     return D.is_acyclic(knots(s, sf), table(s, sf, "documents"))
 
 
+def graph_tables(s, sf):
+    """The vertices as written and read again, with the number of edges that start there."""
+    folder = new_folder(s, "graph")
+    vertices, edges = parts(s, sf)
+    write_graph_tables(vertices, edges, folder)
+    starts = s.read.schema(edges.schema).parquet(f"{folder}/edges").groupBy("doc_id", F.col("src").alias("vertex")).agg(F.count("*").alias("n_out"))
+    read = s.read.schema(vertices.schema).parquet(f"{folder}/vertices")
+    return read.join(starts, ["doc_id", "vertex"], "left").na.fill(0, ["n_out"])
+
+
 def artifact_counts(s, sf):
     base = nodes(s, sf)
     return D.artifact_counts(
@@ -82,7 +94,7 @@ QUERIES = {
     "artifact_counts": artifact_counts,
     "build_edges": lambda s, sf: parts(s, sf)[1].select("doc_id", "src", "dst", "edge_type", "weight"),
     "drop_dangling_edges": lambda s, sf: dangling(s, sf).select("src", "dst", "edge_type"),
-    "write_graph_tables": lambda s, sf: parts(s, sf)[0],
+    "write_graph_tables": graph_tables,
     "graph_summary": lambda s, sf: G.graph_summary(*parts(s, sf)),
     "adjacency_list": lambda s, sf: G.adjacency_list(*parts(s, sf)),
     "direct_prerequisites": lambda s, sf: G.direct_prerequisites(parts(s, sf)[1]).select("unit_id", "prerequisite_id"),

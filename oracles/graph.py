@@ -38,7 +38,9 @@ UNION ALL SELECT doc_id, 'runs', count(*) FROM runs GROUP BY 1""",
     "build_edges": g() + "SELECT * FROM edges",
     "drop_dangling_edges": g("big AS (SELECT vertex FROM vertices WHERE node_type = 'unit' OR length(label) > 12)")
     + """SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT vertex FROM big) AND dst IN (SELECT vertex FROM big)""",
-    "write_graph_tables": g() + "SELECT * FROM vertices",
+    "write_graph_tables": g()
+    + """SELECT v.*, coalesce(n, 0) AS n_out FROM vertices v
+LEFT JOIN (SELECT doc_id, src AS vertex, count(*) AS n FROM edges GROUP BY 1, 2) USING (doc_id, vertex)""",
     "graph_summary": g()
     + """SELECT doc_id, total_nodes, unit_nodes, concept_nodes, isolated_nodes, coalesce(total_edges, 0) AS total_edges,
   coalesce(c, 0) AS contains_edges, coalesce(d, 0) AS depends_on_edges, coalesce(r, 0) AS references_edges,
