@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.llm import words
-from coursewright.session import stage
+from coursewright.llm.staging import Stages
 
 #: Words in a row that make a repeat.
 WINDOW = 50
@@ -199,30 +199,34 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     names that several texts share; a window can repeat only if all symbols that it fixes by
     itself are shared.  Windows that pass are then matched by their full contents (96 bits of
     hash).  Copies of a whole text are settled before that by one key per text.  All groups
-    are met by their smallest id, by aggregates that combine before the shuffle and joins
-    that can be split; no group is collected.
+    are met by their smallest id, by aggregates that combine before the shuffle; what a join
+    looks up is written first, so that Spark can split the other side's hot keys.
     """
     keep = [c for c in docs.columns if c not in ("word_count", "removed_count")]
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST))
     version = F.xxhash64(text)
     source = docs.select(key.alias("key"), version.alias("version"), F.col(text).alias("text"))
-    parsed = stage(_parsed(source, window))
-    least = parsed.groupBy("text_key").agg(F.min("key").alias("low"))
+    stages = Stages(docs.sparkSession)
+    parsed = stages.keep("parsed", _parsed(source, window))
+    least = stages.keep("least", parsed.groupBy("text_key").agg(F.min("key").alias("low")))
     marked = parsed.join(least, "text_key")
     chosen = marked.where("key = low")
     named = chosen.select("key", "version", F.explode("names").alias("name"))
-    shared = named.groupBy("name").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("name")
+    ends = named.groupBy("name").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    shared = stages.keep("shared", ends.where("low < high").select("name"))
     known = named.join(shared, "name").groupBy("key", "version").agg(F.collect_list("name").alias("shared"))
     wanted = (
         chosen.select("key", "version", "open").dropDuplicates(["key", "version"])
         .join(known, ["key", "version"], "left").where("open OR shared IS NOT NULL").select("key", "version", "shared")
     )
     texts = source.join(wanted.hint("shuffle_hash"), ["key", "version"])
-    windows = stage(_windows(texts.select("key", "version", "text", "shared"), window))
-    first = windows.groupBy("hash", "check").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    windows = stages.keep("windows", _windows(texts.select("key", "version", "text", "shared"), window))
+    copies = stages.keep("copies", marked.where("key > low").select("key", "version").distinct())
+    stages.drop("parsed", "least", "shared")
+    ends = windows.groupBy("hash", "check").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    first = stages.keep("first", ends.where("low < high").select("hash", "check", "low"))
     later = windows.join(first, ["hash", "check"]).where(F.col("key") > F.col("low"))
     gone = later.groupBy("key", "version").agg(F.collect_list("at").alias("gone")).withColumn("copy", F.lit(False))
-    copies = marked.where("key > low").select("key", "version").distinct()
     changes = gone.unionByName(copies.select("key", "version", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
     changes = changes.toDF("_key", "_version", "_gone", "_copy").hint("shuffle_hash")
     joined = docs.select(*keep, key.alias("_key2"), version.alias("_version2")).join(
