@@ -21,9 +21,11 @@ HIT = "type string, detector string, ord int, confidence double, term string, bo
 # The detection patterns.  (?d): only \n ends a line.
 
 
-def word_run(keywords: str, rest: str) -> str:
+def word_run(keywords: str, rest: str, tail: str | None = None) -> str:
     """Words of two letters or more, single spaces between, up to the last keyword of the run.
 
+    ``rest`` is what has to follow a keyword; ``tail`` stands in its place at the end.
+
     Java recurses once per turn of a repeated group, so a long run of words would
     exhaust a task's stack.  Possessive loops do not recurse; the lookaheads stop them at
     the last keyword, where a backtracking loop would have ended up.  A word inside a run
@@ -34,13 +36,11 @@ def word_run(keywords: str, rest: str) -> str:
     plain = rf"\s(?!{usable}){word}"
     passed = rf"\s(?={usable}){word}(?=(?:{plain})*+\s+{usable})"
     first = rf"(?<!{WORD_START}[A-Za-z]{{2,30}}\s)"
-    return rf"{WORD_START}{first}({word}(?:{plain}|{passed})*+)\s+{usable}"
+    return rf"{WORD_START}{first}({word}(?:{plain}|{passed})*+)\s+{keywords}{tail or rest}"
 
 
 DEFINITION = r"(?id)(?:Definition|Def\.?|Define)\s*(?:\d+[\.:)])?\s*[:\-–—]\s*([^\n]+)"
-INLINE_DEFINITION = "(?d)" + word_run("(?:is|are|refers to|means|denotes)", r"\s+.")[: -len(r"\s+.")] + (
-    r"\s+(.[^.;,\n]*)"
-)
+INLINE_DEFINITION = "(?d)" + word_run("(?:is|are|refers to|means|denotes)", r"\s+.", r"\s+(.[^.;,\n]*)")
 EXAMPLE = (
     r"(?id)" + WORD_START + r"((?:Example|Ex\.|For instance|Consider|Observe)\s*(?:\d+[\.:)])?\s*[:\-–—]?\s*(?:.*))"
 )
@@ -249,11 +249,21 @@ def _numbered(emit: int) -> Callable[[Column], Column]:
 
 @dataclass
 class Annotator:
-    """Ordered detectors: per-node column detectors, then table detectors."""
+    """Ordered detectors: per-node column detectors, then table detectors.
+
+    ``failed`` holds, after ``run``, the errors of detectors whose columns could not be built;
+    with ``fail_fast`` the first of them is raised.  Errors while rows are read fail the query.
+    """
 
     columns: dict[str, Callable[[], Column]] = field(default_factory=dict)
     tables: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     fail_fast: bool = True
+    failed: dict[str, Exception] = field(default_factory=dict)
+
+    def _note(self, name: str, error: Exception) -> None:
+        if self.fail_fast:
+            raise RuntimeError(f"detector {name} failed") from error
+        self.failed[name] = error
 
     def register(self, name: str, fn: Callable, *, table: bool = False) -> Annotator:
         (self.tables if table else self.columns)[name] = fn
@@ -262,12 +272,12 @@ class Annotator:
     def run(self, nodes: DataFrame) -> DataFrame:
         """All annotations with ``emit``, the position of their detector."""
         arrays, frames = [], []
+        self.failed.clear()
         for i, (name, fn) in enumerate(self.columns.items()):
             try:
                 arrays.append(F.transform(fn(), _numbered(i)))
-            except Exception:
-                if self.fail_fast:
-                    raise RuntimeError(f"detector {name} failed") from None
+            except Exception as error:
+                self._note(name, error)
         rest = ["type", "detector", "ord", "confidence", "term", "body", "kind"]
         if arrays:
             exploded = nodes.select("doc_id", "node_id", "seq", F.explode(F.concat(*arrays)).alias("h"))
@@ -275,9 +285,10 @@ class Annotator:
         for i, (name, fn) in enumerate(self.tables.items()):
             try:
                 frames.append(fn(nodes).withColumn("emit", F.lit(len(self.columns) + i)))
-            except Exception:
-                if self.fail_fast:
-                    raise RuntimeError(f"detector {name} failed") from None
+            except Exception as error:
+                self._note(name, error)
+        if not frames:
+            raise ValueError("no detector could be run")
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)

@@ -46,8 +46,22 @@ def match_lines_in_box(nodes: DataFrame, lines: DataFrame, padding: float) -> Da
     return hits.drop("_text", "_line", *[f"n_{c}" for c in ("x0", "y0", "x1", "y1")])
 
 
-def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float) -> DataFrame:
-    """Style of each node: a touching span with matching text, else the largest overlap, else matching text anywhere."""
+#: Height of the strips of a page that share boxes, in the boxes' unit.
+STRIP = 1 / 16
+
+
+def in_strips(df: DataFrame, low: str, high: str, strip: float) -> DataFrame:
+    """One row for each strip of the page that a box reaches."""
+    edge = lambda c: F.floor(F.col(c) / strip)
+    return df.withColumn("_strip", F.explode(F.sequence(edge(low), edge(high))))
+
+
+def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float, strip: float = STRIP) -> DataFrame:
+    """Style of each node: a touching span with matching text, else the largest overlap, else matching text anywhere.
+
+    Boxes meet within strips of the page only, so a page with very many boxes is split; a pair
+    that shares several strips changes no maximum.
+    """
     n = nodes.select(
         *PAGE, "node_id", F.lower(X.strip(F.col("text"))).alias("_text"),
         (F.col("x0") - padding).alias("n_x0"), (F.col("y0") - padding).alias("n_y0"),
@@ -59,7 +73,7 @@ def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float) -> Da
     order = [(-F.col("line_no")).alias("o"), (-F.col("node_seq")).alias("s")]
     style = F.struct("font", "size", "bold")
     # Texts are compared for touching pairs only; ``max_by`` folds pairs before the shuffle.
-    touching = n.join(span, PAGE).withColumn("_area", area).where(F.col("_area") > 0).withColumn("_same", same)
+    touching = in_strips(n, "n_y0", "n_y1", strip).join(in_strips(span, "y0", "y1", strip), [*PAGE, "_strip"]).withColumn("_area", area).where(F.col("_area") > 0).withColumn("_same", same)
     rank = F.struct("_same", F.when(F.col("_same"), 0.0).otherwise(F.col("_area")).alias("a"), *order)
     best = touching.groupBy("doc_id", "node_id").agg(F.max_by(style, rank).alias("_style"))
     # Nodes that touch nothing look for their text anywhere on the page.

@@ -1,6 +1,7 @@
 from oracles.base import NODES, strip, with_
 from oracles.structure import captions
 
+# The detection patterns.
 WB = r"(?:^|[^\p{L}\p{N}_])"
 DEF = r"(?i)(?:Definition|Def\.?|Define)\s*(?:\d+[\.:)])?\s*[:\-–—]\s*(.+?)(?:\n|$)"
 INLINE = WB + (
@@ -22,7 +23,7 @@ CALL = (
     r"(?:\d+[\.:)])?\s*[:\-–—]?\s*(?:.*))"
 )
 LAB = r"(?i)(?:Section|Chapter|Figure|Fig\.?|Table|Equation|Eq\.?|Appendix)\s*(\d+(?:\.\d+)*)"
-REF = r"(?i)(?:see|refer to|as shown in|as discussed in|from|in)\s+" + LAB[4:]
+REF = r"(?i)(?:see|refer to|as shown in|as discussed in|from|in)\s+(?:Section|Chapter|Figure|Fig\.?|Table|Equation|Eq\.?|Appendix)\s*(\d+(?:\.\d+)*)"
 BOLD = r"\*\*(.*?[\p{L}\p{N}_])\*\*"
 SITE = "(?i)" + WB + r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\s+(?:is|are|refers to|means|denotes|is defined as)\s+"
 

@@ -1,7 +1,8 @@
 from oracles.annotations import ANNOTATED
+from oracles.base import LESSONS as LESSONS_T
 from oracles.base import NODES, collapse, fold, strip, with_
 from oracles.structure import FIXED
-from oracles.units import MEMBERS
+from oracles.units import MEMBERS, PROFILE
 
 _CH = "('chapter', 'unit', 'module', 'part')"
 _LE = "('lesson', 'section', 'topic', 'lab')"
@@ -59,7 +60,44 @@ def w(*c):
     return with_(*c, recursive=True)
 
 
+OVERLAP = """us AS (SELECT m.doc_id, m.node_id, c.unit_id, c.seq::BIGINT AS unit_ord FROM members m JOIN counted c USING (doc_id, unit_id) WHERE m.level IS NOT NULL),
+sg AS (SELECT n.doc_id, s.lesson AS segment, n.node_id FROM nodes n JOIN seg s USING (doc_id, page)),
+shared AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, segment, unit_ord) AS i
+  FROM (SELECT doc_id, segment, unit_ord, count(*) AS n FROM sg JOIN us USING (doc_id, node_id) GROUP BY 1, 2, 3)),
+greedy(doc_id, i, got, used) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM sg
+  UNION ALL
+  SELECT g.doc_id, g.i + 1, CASE WHEN hit THEN list_append(got, segment) ELSE got END, CASE WHEN hit THEN list_append(used, unit_ord) ELSE used END
+  FROM (SELECT g.*, s.segment, s.unit_ord, NOT list_contains(g.got, s.segment) AND NOT list_contains(g.used, s.unit_ord) AS hit
+    FROM greedy g JOIN shared s ON s.doc_id = g.doc_id AND s.i = g.i + 1) g),
+final AS (SELECT doc_id, arg_max(got, i) AS got, arg_max(used, i) AS used FROM greedy GROUP BY 1),
+pairs AS (SELECT doc_id, unnest(got) AS segment, unnest(used) AS unit_ord FROM final),
+todo AS (SELECT doc_id, segment, row_number() OVER (PARTITION BY doc_id ORDER BY segment) AS k
+  FROM (SELECT DISTINCT doc_id, segment FROM sg) ANTI JOIN pairs USING (doc_id, segment)),
+free AS (SELECT doc_id, unit_ord, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) AS k
+  FROM (SELECT DISTINCT doc_id, unit_ord FROM us) ANTI JOIN pairs USING (doc_id, unit_ord)),
+every AS (SELECT * FROM pairs UNION ALL SELECT t.doc_id, t.segment, f.unit_ord FROM todo t LEFT JOIN free f USING (doc_id, k))"""
+RESOLVE = """ls AS (SELECT section_id AS course_id, lesson_id, lower(trim(title)) AS key, display_order,
+  CASE WHEN lesson_id % 6 = 0 THEN 'p' || (lesson_id % 40) END AS plan_id FROM lessons),
+bk AS (SELECT o_custkey AS course_id, l_suppkey AS ord, min(l_partkey) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+offers AS (SELECT course_id, key, list(lesson_id ORDER BY display_order, lesson_id) AS ids FROM ls GROUP BY 1, 2),
+planned AS (SELECT course_id, plan_id, max(lesson_id) AS lesson_id FROM ls WHERE plan_id IS NOT NULL GROUP BY 1, 2),
+asked AS (SELECT b.course_id, b.ord, row_number() OVER (PARTITION BY b.course_id ORDER BY b.ord) AS i, p.lesson_id AS planned,
+    coalesce(x.ids, []) AS a, coalesce(y.ids, []) AS z
+  FROM (SELECT *, ['1-urgent', '2-high', '3-medium', '4-not specified', '5-low'] AS names FROM bk) b
+  LEFT JOIN planned p ON p.course_id = b.course_id AND p.plan_id = 'p' || (b.k % 40)
+  LEFT JOIN offers x ON x.course_id = b.course_id AND x.key = names[b.k % 5 + 1]
+  LEFT JOIN offers y ON y.course_id = b.course_id AND y.key = names[b.ord % 5 + 1]),
+chosen(course_id, i, ord, lesson_id, used) AS (
+  SELECT DISTINCT course_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM asked
+  UNION ALL
+  SELECT course_id, i, ord, c, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END
+  FROM (SELECT q.course_id, q.i, q.ord, h.used, coalesce(q.planned, list_filter(q.a, lambda l: NOT list_contains(h.used, l))[1],
+      list_filter(q.z, lambda l: NOT list_contains(h.used, l))[1]) AS c FROM chosen h JOIN asked q ON q.course_id = h.course_id AND q.i = h.i + 1))"""
 SQL = {
+    "assign_units_by_overlap": w(NODES, FIXED, DEDUPED, signals("ddp"), segment("sig"), MEMBERS, PROFILE, OVERLAP)
+    + "SELECT e.doc_id, e.segment, u.unit_id FROM every e LEFT JOIN (SELECT DISTINCT doc_id, unit_ord, unit_id FROM us) u USING (doc_id, unit_ord)",
+    "resolve_lessons": w(LESSONS_T, RESOLVE) + "SELECT course_id, ord, lesson_id FROM chosen WHERE i > 0",
     "dedupe_page_headings": with_(NODES)
     + f""", h AS (SELECT * REPLACE (CASE WHEN node_type = 'heading' THEN ' Part  ' || seq % 3 ELSE text END AS text) FROM nodes)
 SELECT node_id, text FROM h QUALIFY node_type <> 'heading' OR {fold("text")} = '' OR row_number() OVER

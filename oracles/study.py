@@ -1,3 +1,4 @@
+from oracles.graph import PRE
 from oracles.units import CTES, UNITS, UTREE, w
 
 PLAN = """plan AS (SELECT doc_id, unit_id, title, difficulty, minutes, words,
@@ -14,7 +15,24 @@ CARDS = """cards AS (SELECT doc_id, unit_id, section_id, title, row_number() OVE
   CASE WHEN difficulty = 'basic' THEN 'beginner' ELSE difficulty END AS difficulty,
   CASE words % 5 WHEN 0 THEN 'mastered' WHEN 1 THEN 'in_progress' ELSE 'not_started' END AS status, start_page, end_page
   FROM units JOIN sect USING (unit_id))"""
+TOPO = """needs AS (SELECT doc_id, unit_id, list(prerequisite_id) AS needs FROM pre GROUP BY 1, 2),
+ranked_u AS (SELECT doc_id, unit_id, seq, CASE difficulty WHEN 'advanced' THEN 2 WHEN 'intermediate' THEN 1 ELSE 0 END::BIGINT AS rank FROM units),
+tg AS (SELECT p.doc_id, p.prerequisite_id AS unit_id, list({'u': p.unit_id, 'r': u.rank, 'needs': n.needs} ORDER BY p.unit_id) AS targets
+  FROM pre p JOIN needs n USING (doc_id, unit_id) JOIN ranked_u u USING (doc_id, unit_id) GROUP BY 1, 2),
+start AS (SELECT doc_id, list({'t': t, 'u': unit_id, 'r': rank} ORDER BY t) AS ready FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS t
+  FROM ranked_u ANTI JOIN needs USING (doc_id, unit_id)) GROUP BY 1),
+walk(doc_id, position, picked, ready, ticket, last, streak, done) AS (
+  SELECT doc_id, -1::BIGINT, NULL::VARCHAR, ready, len(ready)::BIGINT, -1::BIGINT, 0::BIGINT, []::VARCHAR[] FROM start
+  UNION ALL
+  SELECT doc_id, position + 1, c.u, list_concat(list_filter(ready, lambda x: x.u <> c.u),
+      list_transform(fresh, lambda y, i: {'t': ticket + i, 'u': y.u, 'r': y.r})), ticket + len(fresh),
+    c.r, CASE WHEN c.r = last THEN streak + 1 ELSE 1 END, seen
+  FROM (SELECT b.*, list_append(done, c.u) AS seen, coalesce(list_filter(tg.targets, lambda y: list_has_all(list_append(done, c.u), y.needs)), []) AS fresh
+    FROM (SELECT *, list_sort(list_transform(ready, lambda x: {'s': CASE WHEN last < 0 THEN 0.0 ELSE -(CASE WHEN streak < 2 THEN 0.0
+        WHEN x.r = last THEN -10.0 ELSE 5.0 END + (2 - x.r) * 0.5) END, 't': x.t, 'u': x.u, 'r': x.r}))[1] AS c FROM walk WHERE len(ready) > 0) b
+    LEFT JOIN tg ON tg.doc_id = b.doc_id AND tg.unit_id = b.c.u))"""
 SQL = {
+    "balanced_topological_order": w(*UNITS, PRE, TOPO) + "SELECT doc_id, picked AS unit_id, position FROM walk WHERE position >= 0",
     "quiz_cards": w(*UNITS, UTREE, SECTION)
     + """SELECT 'q/' || unit_id AS quiz_id, section_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS position,
   n_exercise * 10 AS total_points, CASE WHEN words % 2 = 0 THEN 'completed' ELSE 'not_started' END AS status,
