@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -109,16 +110,27 @@ class Vocabulary:
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and their number)."""
         pieces, index, first = pretokens.distinct(texts)
-        own = self.memo.fill(pieces, lambda new: [np.asarray(self.encode(p), dtype=np.int32) for p in new])
+        own = self.memo.fill(pieces, lambda new: [array("i", self.encode(p)).tobytes() for p in new])
         if not own:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        flat, at = np.concatenate(own), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        flat, at = np.frombuffer(b"".join(own), dtype=np.int32), np.cumsum(sizes) - sizes
         length = sizes[index]
         ends = np.concatenate([[0], np.cumsum(length)])
         take = np.arange(ends[-1], dtype=np.int64) - np.repeat(ends[:-1] - at[index], length)
         return flat[take], ends[first]
 
+    def decode_batch(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids."""
+        parts = self.tokens.take(lists.flatten())
+        if parts.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        data, ends = words.buffers(parts)
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = ends[np.concatenate([[0], np.cumsum(counts)])]
+        content, known = data.tobytes(), lists.is_valid().to_pylist()
+        return pa.array([content[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], known, strict=True)], pa.binary())
+
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -139,17 +151,20 @@ def _sent(spark, path: str):
     return hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with its text replaced by ``ids``, the token ids of the whole text.
 
     ``path`` is a rank file; its bytes (bounded) are sent to the workers.  Special tokens are
     ordinary text.  A null or empty text has no ids (an empty array); a text of one pre-token
     of any length takes time n log n.  Equal rows give equal rows; a column named like ``ids``
-    is replaced, others are kept.  One pass, no shuffle.
+    is replaced, others are kept.  With ``decoded`` the bytes that the ids stand for are added
+    in the same pass, under that name, so that a caller can check them.  No shuffle.
     """
-    keep = [c for c in docs.columns if c not in (text, ids)]
+    keep = [c for c in docs.columns if c not in (text, ids, decoded)]
     digest, content = _sent(docs.sparkSession, path)
     schema = T.StructType([docs.schema[c] for c in keep]).add(ids, T.ArrayType(T.IntegerType(), False))
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(digest, content.value)
@@ -157,7 +172,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for part in words.pieces(batch, text):
                 flat, first = vocabulary.encode_batch(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, ids])
+                made = [lists, vocabulary.decode_batch(lists)] if decoded else [lists]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -175,18 +191,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(digest, content.value)
         for batch in batches:
-            lists = batch.column(ids)
-            flat = lists.flatten()
-            parts = vocabulary.tokens.take(flat)
-            if parts.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            sizes = np.diff(words.buffers(parts)[1])
-            counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(sizes)])
-            ends = total[np.concatenate([[0], np.cumsum(counts)])]
-            data = words.buffers(parts)[0].tobytes()
-            known = lists.is_valid().to_pylist()
-            joined = [data[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(joined, pa.binary())], names=[*keep, out])
+            made = vocabulary.decode_batch(batch.column(ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, out])
 
     return encoded.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -80,19 +82,29 @@ def distinct(batch: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), first
 
 
-class Memo(dict):
-    """Results by pre-token that tasks of one worker share; emptied when it holds ``limit``."""
+class Memo:
+    """Results by pre-token that tasks of one worker share, in two generations.
+
+    When the young one holds ``limit`` it becomes the old one, whose results are then dropped
+    unless they have been asked for since; so what is frequent stays and memory is bounded.
+    """
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def fill(self, keys: list[bytes], make) -> list:
-        """A result for each key; ``make`` gets the list of those not known."""
-        unknown = [k for k in keys if k not in self]
-        if len(self) + len(unknown) > self.limit:
-            held = {k: self[k] for k in keys if k in self}
-            self.clear()
-            self.update(held)
-        self.update(zip(unknown, make(unknown), strict=True))
-        return [self[k] for k in keys]
+    def fill(self, keys: list[bytes], make: Callable[[list[bytes]], Iterable]) -> list:
+        """A result for each of the distinct ``keys``; ``make`` gets the list of those not known."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unknown = []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    unknown.append(key)
+        young.update(zip(unknown, make(unknown), strict=True))
+        return [young[key] for key in keys]

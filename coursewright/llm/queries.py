@@ -86,8 +86,7 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Documents encoded to token ids and decoded again."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return decoded.select(
+    return bpe.encode(docs, path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -125,4 +125,4 @@ def test_memo_stays_bounded():
     for k in range(50):
         keys = [b"%d" % j for j in range(k, k + 3)]
         assert memo.fill(keys, lambda new: [int(x) for x in new]) == [k, k + 1, k + 2]
-        assert len(memo) <= 6
+        assert len(memo.young) + len(memo.old) <= 2 * (5 + 3)
