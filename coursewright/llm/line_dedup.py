@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursewright.llm.staging import Stages
+
 #: Shortest run, in lines that are not blank, that counts as a repeat.
 MIN_LINES = 3
 
@@ -47,20 +49,20 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "d
     then matched line by line on both sides of it, which joins equal windows; the first window
     of its kind stays.  Neighbouring matches overlap, so that their union is the whole run.
     Groups are met by their smallest position only, never pair by pair: a fingerprint that
-    holds a third of all lines is combined before the shuffle and split by the skew join.
+    holds a third of all lines is combined before the shuffle, and what the joins look up is
+    written first, so that Spark can split the other side's hot keys.  The joins are merge
+    joins whatever the size, for the plan to cost in proportion.
     """
     windows = line_windows(docs, min_lines, id_col, text)
-    shared = (
-        windows.groupBy("print")
-        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
-        .where(F.col("low") < F.col("high"))
-        .select("print")
-    )
-    matched = windows.join(shared, "print")
+    stages = Stages(docs.sparkSession)
+    ends = windows.groupBy("print").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    shared = stages.keep("shared", ends.where(F.col("low") < F.col("high")).select("print"))
+    matched = windows.join(shared.hint("merge"), "print")
     position = F.struct("id", "version", "start")
-    first = matched.groupBy("lines").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    ends = matched.groupBy("lines").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = stages.keep("first", ends.where(F.col("n") > 1).select("lines", "first"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))
-    later = matched.join(first.drop("n"), "lines").where(~same | (F.col("start") - F.col("first.start") >= min_lines))
+    later = matched.join(first.hint("merge"), "lines").where(~same | (F.col("start") - F.col("first.start") >= min_lines))
     return later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
