@@ -135,4 +135,6 @@ def token_counts(
 
     fresh = fetched.select("body", "content").mapInArrow(run, "content binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    return rows.join(_cached(docs, cache, version), "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    # Written first, so that Spark can split a content that very many rows share.
+    counted = stage(_cached(docs, cache, version).join(rows.select("content").distinct(), "content", "left_semi"))
+    return rows.join(counted, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
