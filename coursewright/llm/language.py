@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,21 +74,26 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return table / np.maximum(table.sum(axis=1, keepdims=True), 1)
 
 
-def machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear support vector machine (squared hinge loss, dual coordinate descent); the last weight is the offset."""
-    x = np.hstack([x * SCALE, np.ones((len(x), 1), dtype=np.float32)]).astype(np.float64)
-    weight, share = np.zeros(x.shape[1]), np.zeros(len(x))
+def machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A linear support vector machine (squared hinge loss, dual coordinate descent); the last weight is the offset.
+
+    Fitted on ``rows`` of ``x``, which is not copied.
+    """
+    weight, offset, share = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
     ridge = 0.5 / PENALTY
-    norm = (x * x).sum(axis=1) + ridge
+    norm = np.einsum("ij,ij->i", x, x)[rows] + 1 + ridge
     rng = np.random.default_rng(1)
     for _ in range(PASSES):
-        for i in rng.permutation(len(x)):
-            slope = y[i] * (x[i] @ weight) - 1 + ridge * share[i]
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            slope = y[i] * (row @ weight + offset) - 1 + ridge * share[i]
             fresh = max(0.0, share[i] - slope / norm[i])
             if fresh != share[i]:
-                weight += (fresh - share[i]) * y[i] * x[i]
+                step = (fresh - share[i]) * y[i]
+                weight += step * row
+                offset += step
                 share[i] = fresh
-    return weight
+    return np.append(weight, offset)
 
 
 def one_versus_one(x: np.ndarray, labels: np.ndarray, names: list[str]) -> np.ndarray:
@@ -97,7 +102,7 @@ def one_versus_one(x: np.ndarray, labels: np.ndarray, names: list[str]) -> np.nd
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             own = np.flatnonzero((labels == a) | (labels == b))
-            made.append(machine(x[own], np.where(labels[own] == a, 1.0, -1.0)))
+            made.append(machine(x, own, np.where(labels[own] == a, 1.0, -1.0)))
     return np.asarray(made, dtype=np.float32).reshape(len(made), COLUMNS + 1)
 
 
@@ -149,20 +154,28 @@ class Model:
         return names.tolist(), score
 
 
+def _lookup(values: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(v) for pair in sorted(values.items()) for v in pair))
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from (text, lang) rows; null or empty texts and null languages are left out.
 
     Of each language at most ``sample_rows`` distinct texts are used, those with the least
-    hashes.  Only their spread over the columns reaches the driver, which fits the machines.
+    hashes.  A bound on the hash, set by the language's number of rows, leaves about twice as
+    many to be ranked, whatever the size of the table.  Only the chosen texts' spread over the
+    columns reaches the driver, which fits the machines.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("draw"))
+    rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return Model([], np.empty((0, 0)), {}, {})
+    bounds = {name: min((1 << 63) - 1, (2 * sample_rows << 64) // n - (1 << 63)) for name, n in rows.items()}
+    known = known.where(F.col("draw") <= F.element_at(_lookup(bounds), F.col("lang")))
     least = Window.partitionBy("lang").orderBy("draw")
     ranked = known.select("lang", "draw").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample_rows)
     limits = {r.lang: r.most for r in ranked.groupBy("lang").agg(F.max("draw").alias("most")).collect()}
-    if not limits:
-        return Model([], np.empty((0, 0)), {}, {})
-    limit = F.create_map(*(F.lit(v) for pair in sorted(limits.items()) for v in pair))
-    chosen = known.where(F.col("draw") <= F.element_at(limit, F.col("lang"))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    chosen = known.where(F.col("draw") <= F.element_at(_lookup(limits), F.col("lang"))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +185,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     got = chosen.mapInArrow(run, "lang string, draw long, row binary").collect()
     got.sort(key=lambda r: (r.lang, r.draw))
-    x = np.stack([np.frombuffer(r.row, np.float16) for r in got]).astype(np.float32) / 256
+    x = np.empty((len(got), COLUMNS), dtype=np.float32)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(r.row, np.float16)
+    x *= SCALE / 256
     languages = np.asarray([r.lang for r in got], dtype=object)
+    del got
     groups: dict[str, list[str]] = {}
     for name in sorted(limits):
         groups.setdefault(family_of(name), []).append(name)
