@@ -158,23 +158,32 @@ def _lookup(values: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(v) for pair in sorted(values.items()) for v in pair))
 
 
+def _limits(known: DataFrame, bounds: dict[str, int], sample_rows: int) -> dict[str, tuple[int, int]]:
+    """language -> (largest draw, number) of its ``sample_rows`` least distinct draws up to its bound."""
+    within = known.where(F.col("draw") <= F.element_at(_lookup(bounds), F.col("lang"))).select("lang", "draw").distinct()
+    ranked = within.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("n") <= sample_rows)
+    return {r.lang: (r.most, r.n) for r in ranked.groupBy("lang").agg(F.max("draw").alias("most"), F.count(F.lit(1)).alias("n")).collect()}
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from (text, lang) rows; null or empty texts and null languages are left out.
 
-    Of each language at most ``sample_rows`` distinct texts are used, those with the least
-    hashes.  A bound on the hash, set by the language's number of rows, leaves about twice as
-    many to be ranked, whatever the size of the table.  Only the chosen texts' spread over the
+    Of each language the ``sample_rows`` distinct texts with the least hashes are used, or all
+    if it has fewer; copies of a text count once.  A bound on the hash, set by the language's
+    number of distinct texts, leaves about twice as many to be ranked, whatever the size of the
+    table; where it leaves too few, all are ranked.  Only the chosen texts' spread over the
     columns reaches the driver, which fits the machines.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("draw"))
-    rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rows:
+    distinct = {r.lang: r.n for r in known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not distinct:
         return Model([], np.empty((0, 0)), {}, {})
-    bounds = {name: min((1 << 63) - 1, (2 * sample_rows << 64) // n - (1 << 63)) for name, n in rows.items()}
-    known = known.where(F.col("draw") <= F.element_at(_lookup(bounds), F.col("lang")))
-    least = Window.partitionBy("lang").orderBy("draw")
-    ranked = known.select("lang", "draw").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample_rows)
-    limits = {r.lang: r.most for r in ranked.groupBy("lang").agg(F.max("draw").alias("most")).collect()}
+    bounds = {name: min((1 << 63) - 1, (2 * sample_rows << 64) // n - (1 << 63)) for name, n in distinct.items()}
+    limits = _limits(known, bounds, sample_rows)
+    short = [name for name, n in distinct.items() if limits.get(name, (0, 0))[1] < min(n, sample_rows)]
+    if short:
+        limits |= _limits(known.where(F.col("lang").isin(short)), dict.fromkeys(short, (1 << 63) - 1), sample_rows)
+    limits = {name: most for name, (most, _) in limits.items()}
     chosen = known.where(F.col("draw") <= F.element_at(_lookup(limits), F.col("lang"))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +209,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(families, one_versus_one(x, of, families), groups, within)
 
 
+def lettered(text: str = "text") -> Column:
+    """Whether a text holds a letter; false for a null text."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), by whole texts alone.
 
@@ -207,7 +221,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Columns named lang_pred or score are replaced, all others kept.  One pass, no shuffle.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    lettered = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
+    marked = docs.select(*keep, lettered(text).alias("_lettered"))
     schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -220,7 +234,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores = np.where(known, scores, 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return lettered.mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

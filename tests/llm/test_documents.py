@@ -60,6 +60,21 @@ def test_language_edges(spark, sf):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def test_sample_of_copied_and_unevenly_hashed_texts(spark):
+    english = spark.range(900).select(F.concat(F.lit("the end of it "), "id").alias("text"), F.lit("en").alias("lang"))
+    # Ten texts copied 2,000 times, and 1,000 texts with hashes in the upper tenth only.
+    made = spark.range(40_000).select(F.concat(F.lit("und der die das "), "id").alias("text")).withColumn("draw", F.xxhash64("text"))
+    high = made.where(F.col("draw") > int(0.8 * 2**63)).select("text")
+    copied = high.limit(10).crossJoin(spark.range(2000)).select("text", F.lit("de").alias("lang"))
+    model = language.fit(english.union(copied))
+    assert model.families == ["germanic"] and model.languages["germanic"] == ["de", "en"]
+    uneven = high.limit(1000).select("text", F.lit("de").alias("lang"))
+    assert language.fit(english.union(uneven)).languages["germanic"] == ["de", "en"]
+    # Copies do not change the model.
+    once = language.fit(english.union(copied.distinct()))
+    assert (once.within["germanic"] == model.within["germanic"]).all()
+
+
 # ---- fingerprints ----------------------------------------------------------------
 
 
