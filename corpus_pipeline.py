@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursewright.llm import language, line_dedup, near_dedup, packing, substring_dedup
+from coursewright.llm.staging import Stages
 from coursewright.session import stage
 from coursewright.sources.tables import table
 
@@ -34,14 +35,26 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8.
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    The one with the smallest id stays; rows that repeat its id stay with it, and so do rows
-    without an id, which cannot be told apart.
+    Rows are judged by id and text, so that texts which share an id do not go with each other.
+    The row with the smallest id stays, a row without an id only where no other has one.  Of
+    rows equal in id and text the one with the least source stays.  Rows without a word are in
+    no group and all stay.
     """
-    judged = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    judged = near_dedup.near_rows(docs.select("doc_id", "text")).groupBy("doc_id", "version")
+    judged = judged.agg(F.first("kept").alias("kept"), ((F.first("n_shingles") > 0) & (F.count(F.lit(1)) > 1)).alias("again"))
+    marked = Stages(spark).keep("marked", judged.where("NOT kept OR again").toDF("_id", "_version", "_kept", "_again"))
+    versioned = docs.withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
+    left = versioned.join(marked, same, "left_anti").select(*COLUMNS)
+    again = marked.where("_kept")
+    if again.isEmpty():
+        return left
+    rest = F.struct("source", "n_chars", "lang")
+    once = versioned.join(again, same, "left_semi").groupBy("doc_id", "_own").agg(F.first("text").alias("text"), F.min(rest).alias("rest"))
+    return left.unionByName(once.select("doc_id", "text", "rest.*").select(*COLUMNS))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,14 +152,53 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     is left unchecked.  Only sets of candidates are built again, from their whole texts.
     What a join looks up is written first, so that Spark can split the other side's hot keys.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     stages = Stages(docs.sparkSession)
+    rows, nodes, roots = _linked(stages, docs, size, percent, tie_ids=True)
+    lowest = (
+        nodes.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set")
+        .groupBy("root").agg(F.min("least").alias("component"))
+    )
+    linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "component")
+    alone = nodes.select("set", "least").join(linked, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
+    alone = stages.keep("alone", alone)
+    stages.drop("nodes", "twice", "linked", "rest")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, version, n_shingles, kept) for every row of ``docs`` (doc_id, text), each text judged by itself.
+
+    ``version`` is the text's xxhash64.  Links are those of ``near_duplicates``, but rows that
+    share an id are not tied together.  Of each component one (doc_id, version) is kept: that
+    with the smallest id, then the smallest version; a null id comes last.  Rows equal in both
+    get the same verdict.  A row with an empty set is linked with nothing and kept.
+    """
+    stages = Stages(docs.sparkSession)
+    rows, nodes, roots = _linked(stages, docs, size, percent, tie_ids=False)
+    lowest = nodes.select("set", "place").join(roots.withColumnRenamed("node", "set"), "set").groupBy("root").agg(F.min("place").alias("first"))
+    linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "first")
+    alone = nodes.select("set", "place").join(linked, "set", "left").select("set", F.coalesce("first", "place").alias("first"))
+    alone = stages.keep("alone", alone)
+    stages.drop("nodes", "linked", "rest")
+    out = rows.select("doc_id", "version", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    return out.select("doc_id", "version", "n_shingles", ((F.col("n_shingles") == 0) | own).alias("kept"))
+
+
+def _linked(stages: Stages, docs: DataFrame, size: int, percent: int, tie_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, roots): each row's set, the distinct sets, and the components of those with links.
+
+    A node's ``place`` is its first row, by id and version, a null id last.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     rows = stages.keep("rows", _signatures(source, size))
     filled = rows.where("n > 0")
     nodes = stages.keep(
         "nodes",
         filled.groupBy("set").agg(
-            F.min(F.struct("doc_id", "version")).alias("place"), F.min("doc_id").alias("least"), F.first("halves").alias("halves")
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("place"), F.min("doc_id").alias("least"), F.first("halves").alias("halves")
         ),
     )
     members = _members(stages, nodes)
@@ -173,30 +212,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     stars = members.where("set <> center").select(F.least("set", "center").alias("a"), F.greatest("set", "center").alias("b"))
     met = stages.keep("met", stars.distinct())
-    # Rows that share an id: their sets are joined whatever they hold.
-    named = filled.where("doc_id IS NOT NULL")
-    ends = named.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("high"))
-    twice = stages.keep("twice", ends.where("a < high").select("doc_id", "a"))
-    tied = named.join(twice, "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct()
-    links = stages.keep("linked", _verified(met, sets, percent).union(tied))
+    links = _verified(met, sets, percent)
+    if tie_ids:  # rows that share an id: their sets are joined whatever they hold
+        named = filled.where("doc_id IS NOT NULL")
+        ends = named.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("high"))
+        twice = stages.keep("twice", ends.where("a < high").select("doc_id", "a"))
+        links = links.union(named.join(twice, "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct())
+    links = stages.keep("linked", links)
     roots = components(links)
     pairs = _open_pairs(stages, members, roots, sets, percent).join(met, ["a", "b"], "left_anti")
     rest = stages.keep("rest", _verified(pairs, sets, percent))
     stages.drop("known", "members", "sets", "met")
     if not rest.isEmpty():
         roots = components(links.union(rest))
-
-    lowest = (
-        nodes.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set")
-        .groupBy("root").agg(F.min("least").alias("component"))
-    )
-    linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "component")
-    alone = nodes.select("set", "least").join(linked, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
-    alone = stages.keep("alone", alone)
-    stages.drop("nodes", "twice", "linked", "rest")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows, nodes, roots
 
 
 def _members(stages: Stages, nodes: DataFrame) -> DataFrame:

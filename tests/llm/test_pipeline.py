@@ -45,3 +45,25 @@ def test_stages_on_odd_rows(spark, sf):
     for _, step in corpus_pipeline.STAGES:
         empty = step(spark, empty, sf)
     assert empty.count() == 0 and language.UNKNOWN == "und"
+
+
+def test_near_stage_judges_rows(spark, sf):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [
+        (1, a, "en", "y", 1), (1, a, "en", "x", 1), (1, a, "en", "x", 1),  # one row of these
+        (2, a + " end", "en", "z", 1), (None, a + " fin", "en", "z", 1),  # near copies of it
+        (5, a + " more", "en", "z", 1), (5, b, "en", "z", 1),  # the clean text of the id stays
+        (None, c, "en", "z", 1), (None, c, "en", "z", 1), (None, c + " end", "en", "z", 1),  # one of these
+        (6, "", "en", "z", 0), (6, "", "en", "z", 0), (7, None, "en", "z", 0),  # no words: no group
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near(spark, docs, sf)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in found if r[0] and r[1]) == [rows[1], rows[6]]
+    assert [(r[0], r[1] in (c, c + " end")) for r in found if r[0] is None] == [(None, True)]
+    assert sorted((r[0], r[1] or "") for r in found if not r[1]) == [(6, ""), (6, ""), (7, "")]
+    # Unique ids: the smallest stays.
+    unique = spark.createDataFrame([rows[3], rows[6], (9, a, "en", "z", 1)], docs.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near(spark, unique, sf).collect()) == [2, 5]
