@@ -14,14 +14,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language the model knows, with that language as lang.
+    """Documents with the language found as lang; without those whose text is null or holds no letter.
 
-    The model is fitted on a bounded sample of ``docs`` by lang.  Rejected are the texts that
-    are null or hold no letter; every other document has a best language and stays.
+    The model is fitted on a bounded sample of ``docs`` by lang.  Every text with a letter has
+    a best language and stays; where no language is known (lang is null in all of the sample's
+    rows) it stays with lang as given.
     """
     docs = docs.select(*COLUMNS)
-    named = language.identify(docs, language.fit(docs.where(~language.held_out())))
-    return named.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    model = language.fit(docs.where(~language.held_out()))
+    named = language.identify(docs.where(language.lettered()), model)
+    return (named.withColumn("lang", F.col("lang_pred")) if model.families else named).select(*COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

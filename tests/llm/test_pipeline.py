@@ -47,6 +47,19 @@ def test_stages_on_odd_rows(spark, sf):
     assert empty.count() == 0 and language.UNKNOWN == "und"
 
 
+def test_language_stage_without_labels(spark, sf):
+    rows = [(1, "der die das", None, "a", 1), (2, None, None, "b", 0), (3, "12 !", None, "c", 4), (4, "the end", None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert language.fit(docs).families == []
+    got = corpus_pipeline.identify(spark, docs, sf)
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[3]]
+    # Labels on held-out rows only are kept as given.
+    held = docs.withColumn("lang", F.when(language.held_out(), F.lit("xx")))
+    assert held.where("lang = 'xx'").count() > 0
+    want = sorted(tuple(r) for r in held.where("doc_id IN (1, 4)").collect())
+    assert sorted(tuple(r) for r in corpus_pipeline.identify(spark, held, sf).collect()) == want
+
+
 def test_near_stage_judges_rows(spark, sf):
     words = lambda a: " ".join(f"{a}{i}" for i in range(60))
     a, b, c = words("a"), words("b"), words("c")
