@@ -63,7 +63,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "d
     first = stages.keep("first", ends.where(F.col("n") > 1).select("lines", "first"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))
     later = matched.join(first.hint("merge"), "lines").where(~same | (F.col("start") - F.col("first.start") >= min_lines))
-    return later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    # Rows equal in id and text have the same windows: a set holds each once, before the shuffle too.
+    return later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -214,7 +214,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     named = chosen.select("key", "version", F.explode("names").alias("name"))
     ends = named.groupBy("name").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = stages.keep("shared", ends.where("low < high").select("name"))
-    known = named.join(shared, "name").groupBy("key", "version").agg(F.collect_list("name").alias("shared"))
+    known = named.join(shared, "name").groupBy("key", "version").agg(F.collect_set("name").alias("shared"))
     wanted = (
         chosen.select("key", "version", "open").dropDuplicates(["key", "version"])
         .join(known, ["key", "version"], "left").where("open OR shared IS NOT NULL").select("key", "version", "shared")
@@ -226,7 +226,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     ends = windows.groupBy("hash", "check").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     first = stages.keep("first", ends.where("low < high").select("hash", "check", "low"))
     later = windows.join(first, ["hash", "check"]).where(F.col("key") > F.col("low"))
-    gone = later.groupBy("key", "version").agg(F.collect_list("at").alias("gone")).withColumn("copy", F.lit(False))
+    # Rows equal in id and text have the same windows: a set holds each once, before the shuffle too.
+    gone = later.groupBy("key", "version").agg(F.collect_set("at").alias("gone")).withColumn("copy", F.lit(False))
     changes = gone.unionByName(copies.select("key", "version", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
     changes = changes.toDF("_key", "_version", "_gone", "_copy").hint("shuffle_hash")
     joined = docs.select(*keep, key.alias("_key2"), version.alias("_version2")).join(

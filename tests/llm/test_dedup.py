@@ -135,3 +135,17 @@ def test_lines_edges(spark):
     got = sorted((r.version or 0, r.text, r.line_count, r.removed_count, r.lines) for r in out.collect() if r.text is not None)
     assert got == [(1, run, 3, 0, "kept"), (2, "x\ny", 5, 3, "kept"), (3, "", 3, 3, "kept"), (4, "", 3, 3, "kept")]
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_rows_are_reduced_before_their_windows_are_gathered(spark):
+    passage = "\n".join(f"p{i} of the line" for i in range(30))
+    rows = [(1, passage), (3, "other")] + [(2, f"own {passage}\nend")] * 40
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    lines = line_dedup.line_dedup(docs)
+    assert "partial_collect_set(at" in plan(lines) and "collect_list" not in plan(lines)
+    assert sorted({(r.doc_id, r.text, r.removed_count) for r in lines.collect()}) == [(1, passage, 0), (2, "own p0 of the line\nend", 29), (3, "other", 0)]
+    cut = substring_dedup.substring_dedup(docs)
+    assert "partial_collect_set(at" in plan(cut) and "collect_list" not in plan(cut)
+    assert sorted({(r.doc_id, r.text, r.removed_count) for r in cut.collect()}) == [(1, passage, 0), (2, "own end", 120), (3, "other", 0)]
+    assert lines.count() == cut.count() == 42
