@@ -45,9 +45,10 @@ def line_windows(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, version, gone): places of the lines covered by a later copy of a run.
 
-    Fingerprints that occur at one place only are dropped first.  Positions that share one are
-    then matched line by line on both sides of it, which joins equal windows; the first window
-    of its kind stays.  Neighbouring matches overlap, so that their union is the whole run.
+    Fingerprints that occur at one place only are dropped first; that is a prefilter.  Windows
+    that share one are then grouped by all their line hashes, instead of joining one position
+    of each fingerprint and extending it; the first window of its kind stays.  Neighbouring
+    matches overlap, so that their union is the whole run.
     Groups are met by their smallest position only, never pair by pair: a fingerprint that
     holds a third of all lines is combined before the shuffle, and what the joins look up is
     written first, so that Spark can split the other side's hot keys.  The joins are merge
