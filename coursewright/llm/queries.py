@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from coursewright.llm import (
     fingerprints,
     language,
     line_dedup,
+    merkle,
     near_dedup,
     packing,
     sharding,
@@ -101,12 +103,72 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sized, "n_tokens")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their places in a Merkle tree, and whether each still proves the root after some were changed."""
+    docs = table(spark, sf, "documents")
+    changed = {"text": F.translate("text", ascii_uppercase, ascii_lowercase)}
+    tampered = merkle.leaf_digest(*[changed.get(c, F.col(c)) for c in merkle.FIELDS])
+    hurt = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    proved = merkle.manifest(docs, carry={"tampered": F.when(hurt, tampered)})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    result = proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return result.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_topk_search, op3_token_counts, op4_language_id, op5_fingerprints, op6_sharding, op7_near_dedup,
-    op8_substring_dedup, op9_bpe, op10_packing,
+    op8_substring_dedup, op9_bpe, op10_packing, op11_merkle_manifest,
 )}
 
+def _crc32(number: str) -> str:
+    """CRC-32 of a decimal number: the bytes in turn, eight steps each with the reflected polynomial 0xEDB88320."""
+    steps = "list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    given = f"list_transform(string_split({number}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {given}), lambda acc, b: {steps}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The manifest by levels, for at most 16 ** levels rows of a source and as many sources."""
+    def h(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(h(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    ctes = [f"""leaves AS (SELECT doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS given FROM documents),
+l0 AS (SELECT coalesce('s' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS r, leaf AS node FROM leaves),
+f0 AS (SELECT coalesce('s' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS r, doc_id, leaf,
+  given AS folded, '' AS proof FROM leaves)"""]
+
+    def climb(low: str, fold: str, up: str) -> None:
+        for k in range(levels):
+            ctes.append(f"""{low}{k}c AS (SELECT tree, count(*) AS n FROM {low}{k} GROUP BY tree),
+{low}{k + 1} AS (SELECT tree, r // 16 AS r, CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY r)) END AS node
+  FROM {low}{k} JOIN {low}{k}c USING (tree) GROUP BY tree, r // 16),
+{fold}{k + 1} AS (SELECT f.tree, f.r // 16 AS r, f.doc_id, f.leaf{up}, f.proof || b.before || b.after AS proof,
+  CASE WHEN c.n = 1 THEN f.folded ELSE sha256(b.before || f.folded || b.after) END AS folded
+  FROM {fold}{k} f JOIN {low}{k}c c USING (tree) JOIN {low}{k}s b ON b.tree = f.tree AND b.r = f.r)""")
+            ctes[-1] = f"""{low}{k}s AS (SELECT tree, r,
+  coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {low}{k} WINDOW w AS (PARTITION BY tree, r // 16 ORDER BY r)),
+""" + ctes[-1]
+
+    climb("l", "f", "")
+    ctes.append(f"""u0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS r, node, tree AS grp FROM l{levels}),
+g0 AS (SELECT u.tree, u.r, f.doc_id, f.leaf, u.node AS subroot, f.proof, f.folded FROM f{levels} f JOIN u0 u ON u.grp = f.tree)""")
+    climb("u", "g", ", f.subroot")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM g{levels} JOIN u{levels} USING (tree)"""
+
+
 SQL = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op1_line_dedup": """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 every AS (SELECT doc_id, i, lines[i] AS line FROM split, unnest(range(1, len(lines) + 1)) AS t(i)),
