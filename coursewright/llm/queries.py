@@ -17,6 +17,7 @@ from coursewright.llm import (
     merkle,
     near_dedup,
     packing,
+    periodic,
     sharding,
     substring_dedup,
     token_counts,
@@ -117,9 +118,36 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return result.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of documents; in one of ten a stretch up to the end is made periodic first."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    drawn = docs.select("doc_id", "text", (h % 10 == 0).alias("hurt"), F.floor(h / 10).alias("g"))
+    split = drawn.withColumn("found", F.when(F.col("hurt"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("found").cast("long")
+    placed = split.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("found", a + 1, p), F.ceil(rest / p).cast("int")))
+    edited = F.array_join(F.concat(F.slice("found", F.lit(1), a), F.slice(again, F.lit(1), rest)), " ")
+    runs = periodic.periodic_runs(placed.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = periodic.longest("runs")
+    return runs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_topk_search, op3_token_counts, op4_language_id, op5_fingerprints, op6_sharding, op7_near_dedup,
-    op8_substring_dedup, op9_bpe, op10_packing, op11_merkle_manifest,
+    op8_substring_dedup, op9_bpe, op10_packing, op11_merkle_manifest, op13_periodic_runs,
 )}
 
 def _crc32(number: str) -> str:

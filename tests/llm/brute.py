@@ -108,3 +108,23 @@ def edited(rows):
 
 def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def periodic_runs(ws):
+    """All (start, length, period) by start, then period, by trying every period at every place."""
+    found = {}
+    for q in range(1, len(ws) // 4 + 1):
+        s = 0
+        while s + q < len(ws):
+            e = s
+            while e + q < len(ws) and ws[e] == ws[e + q]:
+                e += 1
+            if e > s and e - s + q >= max(6, 4 * q):
+                found.setdefault((s, e + q), q)  # the least period comes first
+            s = max(e, s) + 1
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def collapsed(ws, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(ws) if i not in gone)
