@@ -13,6 +13,7 @@ from coursewright.llm import (
     bpe,
     fingerprints,
     language,
+    language_model,
     line_dedup,
     merkle,
     near_dedup,
@@ -118,6 +119,15 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return result.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probabilities of documents under a model of those that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    judged = docs.withColumn("held_out", held)
+    scored = language_model.score_texts(judged, ~held)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Periodic runs of documents; in one of ten a stretch up to the end is made periodic first."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -147,7 +157,7 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_topk_search, op3_token_counts, op4_language_id, op5_fingerprints, op6_sharding, op7_near_dedup,
-    op8_substring_dedup, op9_bpe, op10_packing, op11_merkle_manifest, op13_periodic_runs,
+    op8_substring_dedup, op9_bpe, op10_packing, op11_merkle_manifest, op12_lm_scoring, op13_periodic_runs,
 )}
 
 def _crc32(number: str) -> str:

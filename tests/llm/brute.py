@@ -128,3 +128,46 @@ def periodic_runs(ws):
 def collapsed(ws, runs):
     gone = {i for s, n, q in runs for i in range(s + q, s + n)}
     return " ".join(w for i, w in enumerate(ws) if i not in gone)
+
+
+def fields_digest(values):
+    parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values]
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _h(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_path(digests, place):
+    """(root, [(siblings before, siblings after)] from the leaf's level up)."""
+    path = []
+    while len(digests) > 1:
+        low = place // 16 * 16
+        run = digests[low : low + 16]
+        path.append((run[: place - low], run[place - low + 1 :]))
+        digests = [_h(digests[i : i + 16]) for i in range(0, len(digests), 16)]
+        place //= 16
+    return digests[0], path
+
+
+def merkle(rows, tampered):
+    """rows: (doc_id, source, lang, n_chars, text) -> [(doc_id, leaf, subroot, root, proof, folded)]; tampered: text or nothing by id."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, fields_digest(r), r))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        groups[s].sort(key=lambda x: x[:3])
+    subroots = [merkle_path([x[2] for x in groups[s]], 0)[0] for s in order]
+    out = []
+    for i, s in enumerate(order):
+        root, above = merkle_path(subroots, i)
+        for j, (_, _, leaf, r) in enumerate(groups[s]):
+            subroot, path = merkle_path([x[2] for x in groups[s]], j)
+            text = tampered(r)
+            folded = leaf if text is None else fields_digest((*r[:4], text))
+            for before, after in path + above:
+                folded = _h([*before, folded, *after])
+            out.append((r[0], leaf, subroot, root, _h([d for b, a in path + above for d in b + a]), folded))
+    return out
