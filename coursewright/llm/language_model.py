@@ -27,6 +27,8 @@ from coursewright.llm.staging import Stages
 CLASSES, SLOTS, OWN = 32, 32, 16
 #: Rows of hashed features, and rounds of gradient updates, each over its own share of the training texts.
 BUCKETS, ROUNDS = 1 << 15, 4
+#: Training tokens from which one task sends a gradient, whose size is that of the weights.
+LEARNED = 3_000_000
 #: Words whose counts go to every task; the others' counts are joined.
 FREQUENT = 1 << 16
 #: Tokens whose probabilities are held at once, prior weight and step of an update.
@@ -253,10 +255,11 @@ def train(texts: DataFrame, counts: DataFrame, shard: Column) -> Model:
     """The model of the ``text`` column of ``texts`` with the written ``counts`` of its tokens.
 
     ``shard``, from 0 to ``ROUNDS`` - 1, deals the texts over the rounds: every text is learned
-    from once.  A round's gradient is summed by Spark; the driver holds the weights only.
+    from once.  A round's gradient is summed by Spark; the driver holds the weights only.  What
+    the tasks send grows with the tokens, not with the partitions they come in.
     """
     model = Model(_vocabulary(counts))
-    tasks = max(1, -(-texts.rdd.getNumPartitions() // ROUNDS))
+    tasks = -(-model.vocabulary.total // (ROUNDS * LEARNED)) or 1
     for k in range(ROUNDS):
         sums = _gradients(texts.where(shard == k).coalesce(tasks), model).toArrow()
         for of_class in (True, False):
