@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions import text as X
+from coursewright.functions.alignment import matching_ratio
 
 SIMILAR = 0.92
 
@@ -22,42 +23,36 @@ def join_rendered_pages(actual: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
-def matching_ratio(pairs: DataFrame) -> DataFrame:
-    """(doc_id, page, ratio): twice the tokens both texts have, counted with repeats, over all tokens of the two.
-
-    Tokens are counted per page before they are compared, so a long page is spread.  Pages
-    without any token are left out.
-    """
-    def side(column: str, a: int, b: int) -> DataFrame:
-        tokens = F.explode(X.tokens(F.lower(F.col(column))))
-        return pairs.select("doc_id", "page", tokens.alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-
-    counts = side("actual_text", 1, 0).unionByName(side("generated_text", 0, 1)).groupBy("doc_id", "page", "token").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")
-    )
-    ratio = 2 * F.sum(F.least("a", "b")) / F.sum(F.col("a") + F.col("b"))
-    return counts.groupBy("doc_id", "page").agg(F.round(ratio, 6).alias("ratio"))
-
-
 def missing_tokens(actual: Column, generated: Column) -> Column:
     """Distinct tokens of the actual text that the generated one lacks, in order."""
     return F.array_except(X.tokens(F.lower(actual)), X.tokens(F.lower(generated)))
 
 
+def page_counts(pairs: DataFrame) -> DataFrame:
+    """Characters and tokens of both texts of reviewed pages."""
+    def of(side: str) -> list[Column]:
+        text = F.col(f"{side}_text")
+        return [F.length(text).alias(f"text_char_count_{side}"), F.size(X.tokens(F.lower(text))).alias(f"token_count_{side}")]
+
+    return pairs.where(F.col("review_status") == "reviewed").select("doc_id", "page", *of("actual"), *of("generated"))
+
+
 def text_similarity(pairs: DataFrame, minimum: float = SIMILAR, max_missing: int = 0, examples: int = 20) -> DataFrame:
-    """Ratio and lost tokens of reviewed pages; two pages without tokens match fully.
+    """Alignment ratio and lost tokens of reviewed pages; two empty pages match fully.
 
     ``missing_examples`` shows the first ``examples`` lost tokens, ``missing_count`` counts all.
+    Pages are aligned one by one where they lie; a page's texts are all that a task holds.
     """
-    reviewed = pairs.where(F.col("review_status") == "reviewed")
     lost = missing_tokens(F.col("actual_text"), F.col("generated_text"))
-    scored = reviewed.select(
-        "doc_id", "page",
+    scored = pairs.where(F.col("review_status") == "reviewed").select(
+        "doc_id",
+        "page",
+        matching_ratio("actual_text", "generated_text", digits=None).alias("exact"),
         F.size(lost).alias("missing_count"),
         F.array_join(F.slice(lost, 1, examples), " ").alias("missing_examples"),
-    )
-    scored = scored.join(matching_ratio(reviewed), ["doc_id", "page"], "left").na.fill(1.0, ["ratio"])
-    return scored.withColumn("has_text_loss", (F.col("ratio") < minimum) | (F.col("missing_count") > max_missing))
+    )
+    low = (F.col("exact") < minimum) | (F.col("missing_count") > max_missing)
+    return scored.select("doc_id", "page", F.round("exact", 6).alias("ratio"), "missing_count", "missing_examples", low.alias("has_text_loss"))
 
 
 def review_verdict(reviews: DataFrame, key: str) -> DataFrame:

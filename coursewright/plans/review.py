@@ -79,6 +79,7 @@ def exported(s, sf):
 QUERIES = {
     "join_rendered_pages": lambda s, sf: pairs(s, sf).select("doc_id", "page", "review_status"),
     "missing_tokens": missing,
+    "page_counts": lambda s, sf: R.page_counts(pairs(s, sf)),
     "text_similarity": lambda s, sf: R.text_similarity(pairs(s, sf)),
     "review_verdict": verdicts,
     "search_text": lambda s, sf: R.search_text(table(s, sf, "documents"), "text", "doc_id", ["the", "and"], {"lang": "en"}, 20, 5),

@@ -21,19 +21,9 @@ h AS (SELECT DISTINCT doc_id, page, unnest({toks("g")}) AS k FROM pairs WHERE g
 u AS (SELECT doc_id, page, k, min(i) AS i FROM t ANTI JOIN h USING (doc_id, page, k) GROUP BY 1, 2, 3)
 SELECT p.doc_id, p.page, count(k)::INTEGER AS n, coalesce(string_agg(k, ' ' ORDER BY i), '') AS tokens
 FROM pairs p LEFT JOIN u USING (doc_id, page) WHERE g IS NOT NULL GROUP BY 1, 2""",
-    "text_similarity": with_(NODES, PAGES, PAIRS)
-    + f""", t AS (SELECT doc_id, page, unnest(ta) AS k, unnest(range(0, len(ta))) AS i FROM (SELECT doc_id, page, {toks("a")} AS ta
-  FROM pairs WHERE g IS NOT NULL)),
-h AS (SELECT doc_id, page, unnest({toks("g")}) AS k FROM pairs WHERE g IS NOT NULL),
-n AS (SELECT doc_id, page, k, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, page, k, 1 AS x, 0 AS y FROM t
-  UNION ALL SELECT doc_id, page, k, 0, 1 FROM h) GROUP BY 1, 2, 3),
-r AS (SELECT doc_id, page, round(2 * sum(least(x, y)) / sum(x + y)::DOUBLE, 6) AS ratio FROM n GROUP BY 1, 2),
-u AS (SELECT doc_id, page, k, row_number() OVER (PARTITION BY doc_id, page ORDER BY min(i)) AS i
-  FROM t ANTI JOIN h USING (doc_id, page, k) GROUP BY 1, 2, 3),
-o AS (SELECT p.doc_id, p.page, coalesce(any_value(r.ratio), 1.0)::DOUBLE AS ratio, count(k)::INTEGER AS missing_count,
-  coalesce(string_agg(k, ' ' ORDER BY i) FILTER (i <= 20), '') AS missing_examples
-  FROM pairs p LEFT JOIN r USING (doc_id, page) LEFT JOIN u USING (doc_id, page) WHERE g IS NOT NULL GROUP BY 1, 2)
-SELECT *, ratio < 0.92 OR missing_count > 0 AS has_text_loss FROM o""",
+    "page_counts": with_(NODES, PAGES, PAIRS)
+    + f"""SELECT doc_id, page, length(a)::INTEGER AS text_char_count_actual, len({toks("a")})::INTEGER AS token_count_actual,
+  length(g)::INTEGER AS text_char_count_generated, len({toks("g")})::INTEGER AS token_count_generated FROM pairs WHERE g IS NOT NULL""",
     "review_verdict": with_(NODES, PAGES, PAIRS)
     + """, v AS (SELECT doc_id, g IS NOT NULL AS ok, CASE WHEN g IS NULL THEN NULL WHEN length(a) % 7 = 0 THEN 'rejected'
   WHEN length(a) % 7 < 3 THEN 'needs_revision' ELSE 'approved' END AS verdict FROM pairs)
