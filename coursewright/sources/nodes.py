@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursewright.sources.html import block_batches
 from coursewright.sources.tables import table
 
 
@@ -75,52 +76,21 @@ def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_html_blocks(pages: DataFrame) -> DataFrame:
-    """Heading, list, code, table-cell and paragraph blocks of each page, in order.
+    """Blocks of each page in order: (page_id, seq, node_type, level, text, alt).
 
-    Script, style, comments and navigation go first (a script may hold ``</p>`` in a
-    string).  Unclosed paragraphs end at the next block tag.
+    Every visible character is in one block.  Text between two block tags is a block, of the
+    kind of the nearest open element that has one: headings with their level, list items and
+    definitions, table cells, code, figures; any other text is a paragraph.  A figure is one
+    node, with its caption and other text, and the alternative texts of its images as ``alt``; an
+    image elsewhere is a figure node after its block.  Head, scripts, styles, templates, navigation
+    and footers are not content.  Tags may hold ``>`` in quotes, end tags may be missing; a ``<`` that
+    starts no tag is text.  Entities are decoded, blanks folded, but for the lines of code.
+
+    A page is read in one pass by the task that holds it; a null page has no blocks.
     """
-    body = F.col("html")
-    # Markup that never holds content.
-    for pattern in (
-        r"(?is)<script\b.*?</script>",
-        r"(?is)<style\b.*?</style>",
-        r"(?s)<!--.*?-->",
-        r"(?is)<nav\b.*?</nav>",
-        r"(?is)<footer\b.*?</footer>",
-    ):
-        body = F.regexp_replace(body, pattern, " ")
-    # A marker before every block start, then one piece per block.
-    marked = F.regexp_replace(body, r"(?i)<(h[1-6]|p|li|pre|td|th)(?:\s[^>]*)?>", "\u0001$1\u0002")
-    marked = F.regexp_replace(marked, r"(?i)</(?:h[1-6]|p|li|pre|td|th|ul|ol|table|tr|article|div|body)>", "\u0001")
-    pieces = F.filter(F.split(marked, "\u0001"), lambda p: p.contains("\u0002"))
-    parts = pages.select("page_id", F.posexplode(pieces).alias("pos", "piece"))
-    tag = F.lower(F.substring_index("piece", "\u0002", 1))
-    raw = F.regexp_replace(F.substring_index("piece", "\u0002", -1), r"<[^>]*>", " ")
-    text = F.trim(F.regexp_replace(unescape(raw), r"\s+", " "))
-    return parts.select(
-        "page_id",
-        F.col("pos").alias("seq"),
-        F.when(tag.rlike("^h[1-6]$"), "heading")
-        .when(tag == "li", "list")
-        .when(tag == "pre", "code")
-        .when(tag.isin("td", "th"), "table")
-        .otherwise("paragraph")
-        .alias("node_type"),
-        F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).try_cast("int")).otherwise(0).alias("level"),
-        text.alias("text"),
-    ).where(F.col("text") != "")
-
-
-def unescape(value: Column) -> Column:
-    """The five predefined entities and the two the corpus uses; ``&amp;`` last."""
-    # Entity, character.
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-        ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+    key = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {key}, seq int, node_type string, level int, text string, alt string"
+    return pages.select("page_id", "html").mapInArrow(block_batches, schema)
 
 
 def scan_document_registry(lines: DataFrame, tracked: DataFrame) -> DataFrame:
