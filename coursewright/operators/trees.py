@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.operators import sequence as Q
-from coursewright.session import cut_lineage
+from coursewright.session import cut_lineage, stage
 
 
 def closure(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, max_depth: int | None) -> DataFrame:
@@ -136,19 +136,62 @@ def repair_parents(nodes: DataFrame, keys: Sequence[str], node: str, parent: str
     )
 
 
+def _roots(pointers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, vertex, root, looped): where the pointers (keys, vertex, ptr) of each vertex end, by pointer jumping.
+
+    ``looped`` rows run into a cycle of pointers; after n jumps of doubled reach no other still moves.
+    """
+    most = pointers.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    walk, reach = pointers.select(*keys, "vertex", "ptr"), 1
+    while reach <= most:
+        onward = walk.select(*keys, F.col("vertex").alias("ptr"), F.col("ptr").alias("next"))
+        walk = stage(
+            walk.join(onward, [*keys, "ptr"], "left").select(
+                *keys, "vertex", F.coalesce("next", "ptr").alias("ptr"), F.col("next").isNotNull().alias("moved")
+            )
+        )
+        reach *= 2
+        if walk.where("moved").isEmpty():
+            break
+        walk = walk.drop("moved")
+    ends = walk.select(*keys, "vertex", F.col("ptr").alias("root"))
+    inside = pointers.select(*keys, F.col("vertex").alias("root"), F.lit(True).alias("looped"))
+    return ends.join(inside, [*keys, "root"], "left").select(*keys, "vertex", "root", F.coalesce("looped", F.lit(False)).alias("looped"))
+
+
 def acyclic_remainder(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Vertices left after peeling those without incoming edges: cycles and what follows them.
+    """Vertices on a cycle or reached from one: what is left when those without incoming edges are peeled.
 
-    A graph is acyclic when nothing is left.  ``edges`` has (keys, src, dst).
+    A graph is acyclic when nothing is left.  ``edges`` has (keys, src, dst).  A vertex with one
+    predecessor shares its fate, so each round merges it into the end of its chain of single
+    predecessors, found by pointer jumping, and drops the edges of vertices without any.  Chains
+    and trees of any depth take one round of logarithmic jumps; only vertices that keep two
+    predecessors or more take a round a layer.  A cycle becomes an edge from a vertex to itself.
     """
     keys = list(keys)
-    # Vertices without any incoming edge peel in the first round, so only edges are carried.
-    live = cut_lineage(edges.select(*keys, "src", "dst").distinct())
+    live = stage(edges.select(*keys, "src", "dst").distinct())
+    merged = []
     while True:
-        before = live.count()
-        targets = live.select(*keys, F.col("dst").alias("src")).distinct()
-        live = cut_lineage(live.join(targets, [*keys, "src"], "left_semi"))
-        if live.count() == before:
-            break
-    stuck = live.select(*keys, F.col("dst").alias("vertex")).distinct()
+        own = F.col("src") == F.col("dst")
+        targets = stage(
+            live.groupBy(*keys, F.col("dst").alias("vertex")).agg(
+                F.max(own).alias("loop"), F.count(F.lit(1)).alias("n"), F.min("src").alias("ptr")
+            )
+        )
+        known = targets.select(*keys, F.col("vertex").alias("src"))
+        if live.join(known, [*keys, "src"], "left_anti").isEmpty():
+            break  # every vertex left has a predecessor that is left
+        single = (F.col("n") == 1) & ~F.col("loop")
+        ends = stage(_roots(targets.where(single), keys))
+        merged.append(ends.where("NOT looped"))
+        into = ends.where("NOT looped").select(*keys, F.col("vertex").alias("src"), "root")
+        several = targets.where(~single).select(*keys, F.col("vertex").alias("dst"), "loop")
+        moved = live.join(known, [*keys, "src"], "left_semi").join(several, [*keys, "dst"]).join(into, [*keys, "src"], "left")
+        start = F.when(F.col("loop"), F.col("dst")).otherwise(F.coalesce("root", "src"))
+        loops = ends.where("looped").select(*keys, F.col("vertex").alias("src"), F.col("vertex").alias("dst"))
+        live = stage(moved.select(*keys, start.alias("src"), "dst").unionByName(loops).distinct())
+    stuck = targets.select(*keys, "vertex")
+    for ends in reversed(merged):
+        after = ends.join(stuck.select(*keys, F.col("vertex").alias("root")), [*keys, "root"], "left_semi")
+        stuck = stuck.unionByName(after.select(*keys, "vertex"))
     return vertices.join(stuck, [*keys, "vertex"], "left_semi")
