@@ -6,14 +6,14 @@ over a document uses the block scans.
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions import text as X
 from coursewright.operators import sequence as Q
+from coursewright.operators.matching import dominant_pairs, paired_in_order, placed_in_queue, served_in_order
 from coursewright.operators.structure import NON_CONTENT
+from coursewright.session import stage
 
 # Running headers and footers, and texts that only occur in margins.
 CHROME_PATTERNS = (
@@ -276,41 +276,27 @@ def nested_counts(chapters: DataFrame, lessons: DataFrame, pages: DataFrame, ite
 def assign_units_by_overlap(segments: DataFrame, units: DataFrame) -> DataFrame:
     """Unit of each segment: greedily the pair sharing most nodes, then leftovers in order.
 
-    ``segments``: doc_id, segment, node_id.  ``units``: doc_id, unit_ord, unit_id, node_id.
-    Overlaps are counted by a join; only the counts and the two lists reach the greedy step.
+    ``segments``: doc_id, segment, node_id.  ``units``: doc_id, unit_ord, unit_id, node_id; both numbers
+    are from 0 up.  Overlaps are counted by a join and matched in rounds, so no document is in one task.
     """
     shared = segments.join(units.select("doc_id", "node_id", "unit_ord"), ["doc_id", "node_id"]).groupBy(
         "doc_id", "segment", "unit_ord"
     ).agg(F.count("*").alias("n"))
-    # Three kinds of rows per document: 0 units, 1 segments, 2 overlaps (largest first).
-    minus = F.lit(-1).cast("long")
-    none = F.lit("")
-    rows = (
-        units.select("doc_id", F.lit(0).alias("kind"), minus.alias("n"), minus.alias("segment"), "unit_ord", "unit_id").distinct()
-        .unionByName(segments.select("doc_id", F.lit(1).alias("kind"), minus.alias("n"), "segment", minus.alias("unit_ord"), none.alias("unit_id")).distinct())
-        .unionByName(shared.select("doc_id", F.lit(2).alias("kind"), (-F.col("n")).alias("n"), "segment", "unit_ord", none.alias("unit_id")))
-    )
-
-    def match(found: list[tuple]) -> list[tuple]:
-        names, todo, got, used = {}, [], {}, set()
-        for _, kind, _, segment, unit, name in found:
-            if kind == 0:
-                names[unit] = name
-            elif kind == 1:
-                todo.append(segment)
-            elif segment not in got and unit not in used:
-                got[segment] = unit
-                used.add(unit)
-        free = [u for u in sorted(names) if u not in used]
-        got.update(zip([s for s in todo if s not in got], free, strict=False))
-        return [(found[0][0], s, names.get(got.get(s))) for s in todo]
-
-    return Q.per_key(rows, "doc_id", ["kind", "n", "segment", "unit_ord"], match, "doc_id long, segment long, unit_id string")
+    todo = stage(segments.select("doc_id", "segment").distinct())
+    names = stage(units.groupBy("doc_id", "unit_ord").agg(F.max("unit_id").alias("unit_id")))
+    best = dominant_pairs(shared, ["doc_id"], "segment", "unit_ord", "n")
+    left = todo.join(best, ["doc_id", "segment"], "left_anti")
+    free = names.select("doc_id", "unit_ord").join(best, ["doc_id", "unit_ord"], "left_anti")
+    matched = best.unionByName(paired_in_order(left, free, ["doc_id"], "segment", "unit_ord"))
+    return todo.join(matched.join(names, ["doc_id", "unit_ord"]), ["doc_id", "segment"], "left").select("doc_id", "segment", "unit_id")
 
 
 def resolve_lessons(book: DataFrame, course: DataFrame) -> DataFrame:
     """Course lesson of each book lesson: by plan id, else by lower-cased title, each used once.
 
+    Book lessons choose in their order; the rounds of ``served_in_order`` give the same rows without
+    a course in one task.
+
     ``book``: course_id, ord, unit_id, title, unit_title.  ``course``: course_id, lesson_id, plan_id, title, display_order.
     """
     mapped = book.join(
@@ -320,44 +306,21 @@ def resolve_lessons(book: DataFrame, course: DataFrame) -> DataFrame:
         ["course_id", "unit_id"],
         "left",
     )
-    # Lessons whose titles no unmatched book lesson asks for cannot be chosen: they stay out.
-    wanted = mapped.select("course_id", F.explode(F.array(F.lower(F.trim("title")), F.lower(F.trim("unit_title")))).alias("key")).distinct()
-    offers = course.withColumn("key", F.lower(F.trim("title"))).join(wanted, ["course_id", "key"], "left_semi")
-
-    zero, none = F.lit(0).cast("long"), F.lit("")
-    # Offers (kind 0) come first in course order, then the book's lessons in theirs.
-    rows = offers.select(
-        "course_id", F.lit(0).alias("kind"), F.col("display_order").cast("long").alias("at"), "lesson_id", "key", none.alias("other")
-    ).unionByName(
+    title = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    # Lessons of a course with one title are a queue, in course order; the book's lessons are served in theirs.
+    offers = course.select(
+        "course_id", title("title").alias("queue"), F.col("display_order").cast("long").alias("at"), F.col("lesson_id").alias("offer")
+    ).where(F.col("queue").isNotNull())
+    asks = stage(
         mapped.select(
-            "course_id", F.lit(1).alias("kind"), F.col("ord").cast("long").alias("at"), F.coalesce("planned", F.lit(-1).cast("long")).alias("lesson_id"),
-            F.coalesce(F.lower(F.trim("title")), none).alias("key"), F.coalesce(F.lower(F.trim("unit_title")), none).alias("other"),
+            "course_id", F.col("ord").cast("long").alias("at"), title("title").alias("first"), title("unit_title").alias("second"),
+            F.col("planned").alias("fixed"),
         )
     )
-
-    def choose(found: list[tuple]) -> list[tuple]:
-        queues: dict[str, deque] = {}
-        used: set = set()
-        out = []
-        for course_id, kind, at, lesson, key, other in found:
-            if kind == 0:
-                queues.setdefault(key, deque()).append(lesson)
-                continue
-            chosen = lesson if lesson >= 0 else None
-            if chosen is None:
-                for name in (key, other):
-                    waiting = queues.get(name) if name else None
-                    while waiting and waiting[0] in used:
-                        waiting.popleft()
-                    if waiting:
-                        chosen = waiting.popleft()
-                        break
-            if chosen is not None:
-                used.add(chosen)
-            out.append((course_id, at, chosen))
-        return out
-
-    return Q.per_key(rows, "course_id", ["kind", "at", "lesson_id"], choose, "course_id long, ord long, lesson_id long")
+    wanted = asks.select("course_id", F.explode(F.array("first", "second")).alias("queue")).distinct()
+    offers = offers.na.fill(-1, ["at"]).join(wanted, ["course_id", "queue"], "left_semi")
+    chosen = served_in_order(asks, placed_in_queue(offers, ["course_id", "queue"], "at", "offer"), "course_id")
+    return asks.join(chosen, ["course_id", "at"], "left").select("course_id", F.col("at").alias("ord"), F.col("offer").alias("lesson_id"))
 
 
 def chapter_order_offset(documents: DataFrame, chapters: DataFrame) -> DataFrame:
