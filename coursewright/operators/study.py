@@ -1,23 +1,24 @@
 """Study plans: order, milestones, lesson cards and presets.
 
-Ordering under prerequisites and milestone batching are sequential by nature.  Both run
-per document on one narrow row per unit (id, rank, order), never on texts.
+Ordering under prerequisites is sequential by nature: it runs per document on one narrow
+row per unit (id, rank, order), never on texts.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions import status as S
 from coursewright.operators import sequence as Q
+from coursewright.session import stage
 
 MILESTONE_SIZE = 4
+#: Lessons of a block of the scan that numbers milestones, and blocks of a larger one.
+MILESTONE_BLOCK = 512
 
 
 def pick_order(ranks: list[int], targets: list[list[int]], waiting: list[int]) -> list[int]:
@@ -75,28 +76,70 @@ def balanced_topological_order(units: DataFrame, edges: DataFrame) -> DataFrame:
     return Q.per_key(rows, "doc_id", ["ord"], order, "doc_id long, unit_id string, position long")
 
 
+def _step(state: Column, change: Column, size: int) -> Column:
+    """State (n lessons in the milestone at hand, number of it) after one more lesson."""
+    new = (state["n"] >= size) | ((state["n"] >= 2) & change)
+    return F.struct(F.when(new, 1).otherwise(state["n"] + 1).alias("n"), (state["number"] + F.when(new, 1).otherwise(0)).alias("number"))
+
+
+def _state(n: Column | int, number: Column | int = 0) -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(as_column(n).cast("int").alias("n"), as_column(number).cast("long").alias("number"))
+
+
+def _after(table: Column, state: Column) -> Column:
+    """What a block's table (an end state for each n before it) makes of ``state``."""
+    end = F.get(table, state["n"])
+    return F.struct(end["n"].alias("n"), (state["number"] + end["number"]).alias("number"))
+
+
+def _carried(entries: Column, start: Column) -> Column:
+    """The state before each of the entries (at, table) in a row."""
+    empty = F.array(F.struct(F.lit(0).cast("long").alias("at"), start.alias("state")))
+    first = F.struct(start.alias("state"), F.slice(empty, 1, 0).alias("out"))
+    return F.aggregate(
+        entries, first,
+        lambda acc, e: F.struct(
+            _after(e["table"], acc["state"]).alias("state"), F.array_append(acc["out"], F.struct(e["at"].alias("at"), acc["state"].alias("state"))).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+
+
 def group_milestones(plan: DataFrame, size: int = MILESTONE_SIZE) -> DataFrame:
     """Milestone number of each lesson: a new one at ``size`` lessons, or on a change of difficulty after two.
 
-    A fold with three values of state: lessons stream through in order, none is buffered.
+    A scan over an automaton whose states are the lessons in the milestone at hand, 0 to ``size``.
+    What a block of lessons does is a table from each state before it to the state after it and
+    the milestones begun; tables of blocks compose as those of larger blocks, level by level, and
+    the states go down again.  So a document's lessons are spread over their blocks.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, number, n, last = None, 0, 0, None
-        for batch in batches:
-            numbers = []
-            for d, level in zip(batch["doc_id"], batch["difficulty"], strict=True):
-                if d != doc:
-                    doc, number, n, last = d, 0, 0, None
-                elif n >= size or (n >= 2 and level != last):
-                    number, n = number + 1, 0
-                numbers.append(number)
-                n, last = n + 1, level
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "unit_id": batch["unit_id"], "milestone": numbers})
-
     narrow = plan.select("doc_id", "unit_id", "position", "difficulty")
-    ordered = narrow.repartition("doc_id").sortWithinPartitions("doc_id", "position")
-    return ordered.mapInPandas(fold, "doc_id long, unit_id string, milestone long")
+    seen = Q.previous(narrow, ["doc_id"], "position", "before", ["difficulty"])
+    change = F.col("before").isNotNull() & ~F.col("before.difficulty").eqNullSafe(F.col("difficulty"))
+    rows = seen.select("doc_id", F.expr(f"position div {MILESTONE_BLOCK}").alias("at"), F.struct("position", "unit_id", change.alias("change")).alias("row"))
+    blocks = rows.groupBy("doc_id", "at").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    states = F.sequence(F.lit(0), F.lit(size))
+    table = F.transform(states, lambda n: F.aggregate("rows", _state(n), lambda acc, r: _step(acc, r["change"], size)))
+    blocks = stage(blocks.withColumn("table", table))
+    levels = [blocks.select("doc_id", "at", "table")]
+    entries = lambda df: df.groupBy("doc_id", F.expr(f"at div {MILESTONE_BLOCK}").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "table"))).alias("entries")
+    )
+    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= MILESTONE_BLOCK:
+        composed = F.transform(states, lambda n: F.aggregate("entries", _state(n), lambda acc, e: _after(e["table"], acc)))
+        levels.append(stage(entries(levels[-1]).select("doc_id", F.col("of").alias("at"), composed.alias("table"))))
+    carries = levels[-1].select("doc_id", F.lit(0).cast("long").alias("of"), _state(0).alias("start")).distinct()
+    for level in reversed(levels):
+        met = entries(level).join(carries, ["doc_id", "of"])
+        carries = met.select("doc_id", F.explode(_carried(F.col("entries"), F.col("start"))).alias("c"))
+        carries = carries.select("doc_id", F.col("c.at").alias("of"), F.col("c.state").alias("start"))
+    met = blocks.join(carries.withColumnRenamed("of", "at"), ["doc_id", "at"])
+    # Each row as a table of its own: the state before it, and one step more.
+    each = F.transform("rows", lambda r: F.struct(r["position"].cast("long").alias("at"), F.transform(states, lambda n: _step(_state(n), r["change"], size)).alias("table")))
+    numbered = met.select("doc_id", F.explode(F.arrays_zip(F.col("rows").alias("row"), _carried(each, F.col("start")).alias("before"))).alias("e"))
+    after = _step(F.col("e.before.state"), F.col("e.row.change"), size)
+    return numbered.select("doc_id", F.col("e.row.unit_id").alias("unit_id"), after["number"].alias("milestone"))
 
 
 def classify_lessons(plan: DataFrame) -> DataFrame:
