@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursewright.llm import words
+from coursewright.llm.staging import unused
 
 # Families of closely related languages by language code.
 FAMILIES = {
@@ -221,7 +222,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Columns named lang_pred or score are replaced, all others kept.  One pass, no shuffle.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    marked = docs.select(*keep, lettered(text).alias("_lettered"))
+    (known_col,) = unused(docs, "_lettered")
+    marked = docs.select(*keep, lettered(text).alias(known_col))
     schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in words.pieces(batch, text):
                 names, scores = sent.value.predict(shares(*words.buffers(part.column(text))))
-                known = part.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
+                known = part.column(known_col).to_numpy(zero_copy_only=False).astype(bool)
                 names = [name if ok else UNKNOWN for name, ok in zip(names, known, strict=True)]
                 scores = np.where(known, scores, 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])

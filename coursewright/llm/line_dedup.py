@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.staging import Stages
+from coursewright.llm.staging import Stages, unused
 
 #: Shortest run, in lines that are not blank, that counts as a repeat.
 MIN_LINES = 3
@@ -79,22 +79,21 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_i
     equal in both count as one document and are cut alike.  A null id comes first.  Columns named
     line_count or removed_count are replaced; all others are kept.
     """
-    gone = repeated_lines(docs, min_lines, id_col, text).select(
-        F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version"), "gone"
-    ).withColumnRenamed("gone", "_gone").hint("shuffle_hash")
     keep = [c for c in docs.columns if c not in ("line_count", "removed_count")]
+    gone_id, gone_version, gone, version, lines, left = unused(docs, "_gone_id", "_gone_version", "_gone", "_version", "_lines", "_left")
+    found = repeated_lines(docs, min_lines, id_col, text).toDF(gone_id, gone_version, gone).hint("shuffle_hash")
     joined = (
-        docs.select(*keep, F.xxhash64(text).alias("_version"))
-        .join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_version") == F.col("_gone_version")), "left")
-        .withColumn("_lines", F.split(text, "\n"))
+        docs.select(*keep, F.xxhash64(text).alias(version))
+        .join(found, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(version) == F.col(gone_version)), "left")
+        .withColumn(lines, F.split(text, "\n"))
     )
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    cut = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    cut = joined.withColumn(left, F.when(F.col(gone).isNotNull(), rest))
     return cut.select(
         *[c for c in keep if c != text],
-        F.when(F.col("_left").isNull(), F.col(text))
-        .otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+        F.when(F.col(left).isNull(), F.col(text))
+        .otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
         .alias(text),
-        F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).alias("line_count"),
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).alias("removed_count"),
+        F.coalesce(F.when(F.col(lines).isNotNull(), F.size(lines)), F.lit(0)).alias("line_count"),
+        F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).alias("removed_count"),
     ).select(*keep, "line_count", "removed_count")

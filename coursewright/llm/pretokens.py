@@ -85,26 +85,36 @@ def distinct(batch: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class Memo:
     """Results by pre-token that tasks of one worker share, in two generations.
 
-    When the young one holds ``limit`` it becomes the old one, whose results are then dropped
-    unless they have been asked for since; so what is frequent stays and memory is bounded.
+    When the young one holds ``limit`` results or ``size`` bytes it becomes the old one, whose
+    results are then dropped unless they have been asked for since; so what is frequent stays and
+    memory is bounded.  A pre-token of more than ``longest`` bytes is made anew each time.
     """
 
-    def __init__(self, limit: int = 100_000):
-        self.limit = limit
+    def __init__(self, limit: int = 100_000, size: int = 16 << 20, longest: int = 2048):
+        self.limit, self.size, self.longest = limit, size, longest
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
     def fill(self, keys: list[bytes], make: Callable[[list[bytes]], Iterable]) -> list:
         """A result for each of the distinct ``keys``; ``make`` gets the list of those not known."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.limit or self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         unknown = []
         for key in keys:
             if key not in young:
                 if key in old:
                     young[key] = old[key]
+                    self.held += len(key)
                 else:
                     unknown.append(key)
-        young.update(zip(unknown, make(unknown), strict=True))
-        return [young[key] for key in keys]
+        made = list(make(unknown))
+        once = {}
+        for key, value in zip(unknown, made, strict=True):
+            if len(key) > self.longest:
+                once[key] = value
+            else:
+                young[key] = value
+                self.held += len(key)
+        return [young[key] if key in young else once[key] for key in keys]

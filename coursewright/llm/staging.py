@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from coursewright.session import shared_folder
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes for ``docs`` to have no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Stages:
     """Named Parquet tables below the folder in ``spark.checkpoint.dir``.
 

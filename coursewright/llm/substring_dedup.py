@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.llm import words
-from coursewright.llm.staging import Stages
+from coursewright.llm.staging import Stages, unused
 
 #: Words in a row that make a repeat.
 WINDOW = 50
@@ -229,10 +229,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     # Rows equal in id and text have the same windows: a set holds each once, before the shuffle too.
     gone = later.groupBy("key", "version").agg(F.collect_set("at").alias("gone")).withColumn("copy", F.lit(False))
     changes = gone.unionByName(copies.select("key", "version", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
-    changes = changes.toDF("_key", "_version", "_gone", "_copy").hint("shuffle_hash")
-    joined = docs.select(*keep, key.alias("_key2"), version.alias("_version2")).join(
-        changes, (F.col("_key2") == F.col("_key")) & (F.col("_version2") == F.col("_version")), "left"
-    ).select(*keep, "_gone", "_copy")
+    of_key, of_version, gone_at, copied, own_key, own_version = unused(docs, "_key", "_version", "_gone", "_copy", "_key2", "_version2")
+    changes = changes.toDF(of_key, of_version, gone_at, copied).hint("shuffle_hash")
+    joined = docs.select(*keep, key.alias(own_key), version.alias(own_version)).join(
+        changes, (F.col(own_key) == F.col(of_key)) & (F.col(own_version) == F.col(of_version)), "left"
+    ).select(*keep, gone_at, copied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +242,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 counts = np.diff(first_word).astype(np.int32)
                 removed = np.zeros(len(counts), dtype=np.int32)
                 body = part.column(text)
-                copy, lists = part.column("_copy"), part.column("_gone")
+                copy, lists = part.column(copied), part.column(gone_at)
                 touched = np.flatnonzero(copy.is_valid().to_numpy(zero_copy_only=False))
                 if len(touched):
                     values = body.to_pylist()

@@ -100,7 +100,7 @@ def token_counts(
     ``tokenizer`` is a file of the tokenizers (.json) or sentencepiece (.model) library; its
     digest is the version.  ``cache`` is a table in a shared folder, (tokenizer, content,
     n_tokens), made when missing.  ``normalise`` maps a text to what is encoded and digested;
-    by default a null text is empty and nothing else changes.  Contents that the cache lacks
+    by default a null text is empty and nothing else changes; where it gives null the content is empty.  Contents that the cache lacks
     are encoded once each, whatever the number of rows that hold them, and appended.
 
     Rows that repeat an id are counted each.  A null id stays null.  Other columns are
@@ -118,7 +118,7 @@ def token_counts(
     kind = "model" if tokenizer.endswith(".model") else "json"
     sent = spark.sparkContext.broadcast(raw)
 
-    body = normalise(F.col(text))
+    body = F.coalesce(normalise(F.col(text)), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("content"))
     rows = stage(source.select("id", "content", F.octet_length("body").cast("long").alias("n_bytes")))
     misses = rows.groupBy("content").agg(F.min("id").alias("id")).join(_cached(docs, cache, version), "content", "left_anti")

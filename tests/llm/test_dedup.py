@@ -149,3 +149,21 @@ def test_equal_rows_are_reduced_before_their_windows_are_gathered(spark):
     assert "partial_collect_set(at" in plan(cut) and "collect_list" not in plan(cut)
     assert sorted({(r.doc_id, r.text, r.removed_count) for r in cut.collect()}) == [(1, passage, 0), (2, "own end", 120), (3, "other", 0)]
     assert lines.count() == cut.count() == 42
+
+
+def test_columns_with_the_names_of_helpers_are_kept(spark):
+    from coursewright.llm import language
+
+    run = "one is a\ntwo is a\nthree is a"
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, run, "en"), (2, f"{run}\nend", "en"), (3, passage, "de"), (4, f"own {passage}", "de"), (5, None, None)]
+    names = ["_lines", "_left", "_version", "_gone", "_GONE_id", "_gone_version", "_copy", "_key", "_key2", "_version2", "_lettered", "__gone"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    extra = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    model = language.fit(docs)
+    for step in (line_dedup.line_dedup, substring_dedup.substring_dedup, lambda d: language.identify(d, model)):
+        got = step(extra)
+        assert [c for c in got.columns if c in extra.columns] == extra.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+        plain = sorted(map(str, step(docs).collect()))
+        assert sorted(map(str, got.select(*step(docs).columns).collect())) == plain

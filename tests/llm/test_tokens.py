@@ -126,3 +126,16 @@ def test_memo_stays_bounded():
         keys = [b"%d" % j for j in range(k, k + 3)]
         assert memo.fill(keys, lambda new: [int(x) for x in new]) == [k, k + 1, k + 2]
         assert len(memo.young) + len(memo.old) <= 2 * (5 + 3)
+
+
+def test_memo_is_bounded_in_bytes():
+    memo = pretokens.Memo()
+    for k in range(1000):
+        long, short = [b"%d" % k * (50_000 // len(b"%d" % k)), b"%d" % k]
+        assert memo.fill([long, short], lambda new: [len(x) for x in new]) == [len(long), len(short)]
+    assert sum(map(len, [*memo.young, *memo.old])) < 10_000
+    memo = pretokens.Memo(size=100_000)
+    for k in range(1000):
+        key = b"%07d" % k * 200
+        assert memo.fill([key], lambda new: [x[:7] for x in new]) == [key[:7]]
+        assert sum(map(len, [*memo.young, *memo.old])) < 2 * 110_000
