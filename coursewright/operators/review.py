@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coursewright.functions import text as X
 from coursewright.functions.alignment import matching_ratio
+from coursewright.operators.search import first_place
 
 SIMILAR = 0.92
 
@@ -76,10 +77,13 @@ def review_verdict(reviews: DataFrame, key: str) -> DataFrame:
 def search_text(
     df: DataFrame, column: str, key: str, terms: Sequence[str], filters: Mapping[str, object], limit: int, offset: int = 0
 ) -> DataFrame:
-    """Rows by descending count of the terms (whole words), with the place of the first hit."""
+    """Rows by descending count of the terms, with the place of the first hit, both of whole words.
+
+    This reads all texts; ``search.search`` answers from a stored index.
+    """
     kept = reduce(lambda d, kv: d.where(F.col(kv[0]) == F.lit(kv[1])), filters.items(), df)
     counts = [X.count_mentions(F.col(column), F.lit(t)) for t in terms]
-    places = [F.nullif(F.locate(t, F.lower(column)), F.lit(0)) for t in terms]
+    places = [first_place(F.col(column), t) for t in terms]
     scored = kept.select(
         key, reduce(lambda a, b: a + b, counts).cast("long").alias("score"), (F.least(*places) if len(places) > 1 else places[0]).alias("first_hit")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from coursewright.operators import annotate as A
 from coursewright.operators import book as B
 from coursewright.operators import review as R
+from coursewright.operators import search as I
 from coursewright.operators import structure as S
 from coursewright.plans.structure import nodes
 from coursewright.session import stage
@@ -76,6 +77,20 @@ def exported(s, sf):
     return s.read.schema("doc_id long, node_type string, n long").json(f"{folder}/profiles")
 
 
+def searched(s, sf):
+    """An index of all documents; every seventh is removed, every fifth comes again in capitals and with a word more."""
+    folder = new_folder(s, "index")
+    docs = table(s, sf, "documents").select("doc_id", "text", "lang", "source")
+    I.add(docs, folder, fields=["lang", "source"])
+    I.remove(docs.where("doc_id % 7 = 0"), folder)
+    I.add(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("The end. "), F.upper("text"))), folder, fields=["lang", "source"])
+    again = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("The end. "), F.upper("text"))).otherwise(F.col("text")))
+    found = I.search(s, folder, ["The", "and"], [("lang", "in", ["en", "de"]), ("source", "ne", "src3")], 30, 3)
+    return I.with_snippets(found, again).select(
+        F.col("id").alias("doc_id"), "score", "first_hit", "snippet", F.array_join("highlights", " ").alias("highlights")
+    )
+
+
 QUERIES = {
     "join_rendered_pages": lambda s, sf: pairs(s, sf).select("doc_id", "page", "review_status"),
     "missing_tokens": missing,
@@ -83,6 +98,7 @@ QUERIES = {
     "text_similarity": lambda s, sf: R.text_similarity(pairs(s, sf)),
     "review_verdict": verdicts,
     "search_text": lambda s, sf: R.search_text(table(s, sf, "documents"), "text", "doc_id", ["the", "and"], {"lang": "en"}, 20, 5),
+    "search_index": searched,
     "similarity_topk": nearest,
     "flashcard_seeds": seeds,
     "quiz_points": lambda s, sf: table(s, sf, "lineitem").groupBy(F.col("l_suppkey").alias("quiz_id")).agg(

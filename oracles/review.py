@@ -11,6 +11,14 @@ def toks(v):
     return f"list_filter(regexp_split_to_array(lower({v}), '{WS}+'), lambda t: t <> '')"
 
 
+W = "[^\\p{L}\\p{N}_]"
+
+
+def first(text, term):
+    """Place of the first whole word: a blank before the text stands for its start."""
+    return f"nullif(length(regexp_extract(' ' || lower({text}) || ' ', '(?s)^(.*?{W}){term}{W}', 1)), 0)"
+
+
 SQL = {
     "join_rendered_pages": with_(NODES, PAGES, PAIRS)
     + "SELECT doc_id, page, CASE WHEN g IS NULL THEN 'canonical_missing' ELSE 'reviewed' END AS review_status FROM pairs",
@@ -33,8 +41,15 @@ SELECT doc_id, CASE WHEN count(*) FILTER (ok) = 0 THEN 'needs_revision' WHEN boo
     count(*) FILTER (ok), count(*) FILTER (NOT ok), count(*) FILTER (verdict = 'approved'),
     count(*) FILTER (verdict = 'needs_revision'), count(*) FILTER (verdict = 'rejected')) AS summary FROM v GROUP BY 1""",
     "search_text": f"""WITH s AS (SELECT doc_id, {mentions("text", "'the'")} + {mentions("text", "'and'")} AS score,
-  least(nullif(strpos(lower(text), 'the'), 0), nullif(strpos(lower(text), 'and'), 0))::INTEGER AS first_hit FROM documents WHERE lang = 'en')
+  least({first("text", "the")}, {first("text", "and")})::INTEGER AS first_hit FROM documents WHERE lang = 'en')
 SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5""",
+    "search_index": f"""WITH d AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN 'The end. ' || upper(text) ELSE text END AS text
+  FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0),
+s AS (SELECT doc_id, text, {mentions("text", "'the'")} + {mentions("text", "'and'")} AS score,
+  least({first("text", "the")}, {first("text", "and")})::INTEGER AS first_hit FROM d WHERE lang IN ('en', 'de') AND source <> 'src3'),
+t AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30 OFFSET 3)
+SELECT doc_id, score, first_hit, substring(text, greatest(1, first_hit - 20), 80) AS snippet,
+  array_to_string(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w) IN ('the', 'and'))[1:5], ' ') AS highlights FROM t""",
     "similarity_topk": """WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
 c AS (SELECT label, d, avg(v) AS m FROM f GROUP BY 1, 2),
 s AS (SELECT c.label, f.vec_id, sum(f.v * c.m) / (sqrt(sum(f.v * f.v)) * sqrt(sum(c.m * c.m))) AS score
