@@ -273,15 +273,22 @@ def nested_counts(chapters: DataFrame, lessons: DataFrame, pages: DataFrame, ite
     )
 
 
+def intersection_size(segments: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, segment, unit_ord, n): nodes that a segment and a unit share, for all pairs that share any.
+
+    They meet on the node; the counts combine before the shuffle.
+    """
+    sides = segments.select("doc_id", "node_id", "segment").distinct(), units.select("doc_id", "node_id", "unit_ord").distinct()
+    return sides[0].join(sides[1], ["doc_id", "node_id"]).groupBy("doc_id", "segment", "unit_ord").agg(F.count("*").alias("n"))
+
+
 def assign_units_by_overlap(segments: DataFrame, units: DataFrame) -> DataFrame:
     """Unit of each segment: greedily the pair sharing most nodes, then leftovers in order.
 
     ``segments``: doc_id, segment, node_id.  ``units``: doc_id, unit_ord, unit_id, node_id; both numbers
     are from 0 up.  Overlaps are counted by a join and matched in rounds, so no document is in one task.
     """
-    shared = segments.join(units.select("doc_id", "node_id", "unit_ord"), ["doc_id", "node_id"]).groupBy(
-        "doc_id", "segment", "unit_ord"
-    ).agg(F.count("*").alias("n"))
+    shared = intersection_size(segments, units)
     todo = stage(segments.select("doc_id", "segment").distinct())
     names = stage(units.groupBy("doc_id", "unit_ord").agg(F.max("unit_id").alias("unit_id")))
     best = dominant_pairs(shared, ["doc_id"], "segment", "unit_ord", "n")

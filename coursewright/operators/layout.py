@@ -20,13 +20,26 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c) if c in PAGE else F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def spatial_cover_anti_join(rects: DataFrame, pictures: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rects with an area of which no picture of the page covers ``threshold`` or more."""
+#: Height of the strips of a page that share boxes, in the boxes' unit.
+STRIP = 1 / 16
+
+
+def in_strips(df: DataFrame, low: str, high: str, strip: float) -> DataFrame:
+    """One row for each strip of the page that a box reaches."""
+    edge = lambda c: F.floor(F.col(c) / strip)
+    return df.withColumn("_strip", F.explode(F.sequence(edge(low), edge(high))))
+
+
+def spatial_cover_anti_join(rects: DataFrame, pictures: DataFrame, threshold: float = 0.5, strip: float = STRIP) -> DataFrame:
+    """Rects with an area of which no picture of the page covers ``threshold`` or more (above 0).
+
+    Boxes meet within strips of the page, so a page with very many of them is spread.
+    """
     own = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     p = pictures.select(*PAGE, *[F.col(c).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")])
     live = rects.where(own > 0)
     covered = (
-        live.join(p, PAGE)
+        in_strips(live, "y0", "y1", strip).join(in_strips(p, "p_y0", "p_y1", strip), [*PAGE, "_strip"])
         .where(G.overlap_ratio(box(), box("p_")) >= threshold)
         .select("doc_id", "rect_id")
         .distinct()
@@ -34,26 +47,22 @@ def spatial_cover_anti_join(rects: DataFrame, pictures: DataFrame, threshold: fl
     return live.join(covered, ["doc_id", "rect_id"], "left_anti")
 
 
-def match_lines_in_box(nodes: DataFrame, lines: DataFrame, padding: float) -> DataFrame:
-    """Lines touching a node's padded box whose text occurs in the node's text."""
+def match_lines_in_box(nodes: DataFrame, lines: DataFrame, padding: float, strip: float = STRIP) -> DataFrame:
+    """Lines touching a node's padded box whose text occurs in the node's text.
+
+    Boxes meet within strips of the page; a pair is taken in the first strip that both reach.
+    """
     n = nodes.select(*PAGE, "node_id", X.fold_text(F.col("text")).alias("_text"), *[F.col(c).alias(f"n_{c}") for c in ("x0", "y0", "x1", "y1")])
     touching = ~(
         (F.col("x1") < F.col("n_x0") - padding) | (F.col("n_x1") + padding < F.col("x0"))
         | (F.col("y1") < F.col("n_y0") - padding) | (F.col("n_y1") + padding < F.col("y0"))
     )
     folded = lines.withColumn("_line", X.fold_text(F.col("text"))).where(F.col("_line") != "")
-    hits = n.join(folded, PAGE).where(touching & F.col("_text").contains(F.col("_line")))
-    return hits.drop("_text", "_line", *[f"n_{c}" for c in ("x0", "y0", "x1", "y1")])
-
-
-#: Height of the strips of a page that share boxes, in the boxes' unit.
-STRIP = 1 / 16
-
-
-def in_strips(df: DataFrame, low: str, high: str, strip: float) -> DataFrame:
-    """One row for each strip of the page that a box reaches."""
-    edge = lambda c: F.floor(F.col(c) / strip)
-    return df.withColumn("_strip", F.explode(F.sequence(edge(low), edge(high))))
+    padded = n.withColumns({"_top": F.col("n_y0") - padding, "_bottom": F.col("n_y1") + padding})
+    met = in_strips(padded, "_top", "_bottom", strip).join(in_strips(folded, "y0", "y1", strip), [*PAGE, "_strip"])
+    once = F.col("_strip") == F.greatest(F.floor(F.col("_top") / strip), F.floor(F.col("y0") / strip))
+    hits = met.where(once & touching & F.col("_text").contains(F.col("_line")))
+    return hits.drop("_strip", "_top", "_bottom", "_text", "_line", *[f"n_{c}" for c in ("x0", "y0", "x1", "y1")])
 
 
 def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float, strip: float = STRIP) -> DataFrame:

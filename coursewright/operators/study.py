@@ -106,6 +106,23 @@ def _carried(entries: Column, start: Column) -> Column:
     )
 
 
+def _block_starts(blocks: DataFrame, states: Column) -> DataFrame:
+    """(doc_id, at, start): the state before each block, by composing the tables level by level and handing states down."""
+    levels = [blocks]
+    entries = lambda df: df.groupBy("doc_id", F.expr(f"at div {MILESTONE_BLOCK}").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "table"))).alias("entries")
+    )
+    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= MILESTONE_BLOCK:
+        composed = F.transform(states, lambda n: F.aggregate("entries", _state(n), lambda acc, e: _after(e["table"], acc)))
+        levels.append(stage(entries(levels[-1]).select("doc_id", F.col("of").alias("at"), composed.alias("table"))))
+    carries = levels[-1].select("doc_id", F.lit(0).cast("long").alias("of"), _state(0).alias("start")).distinct()
+    for level in reversed(levels):
+        met = entries(level).join(carries, ["doc_id", "of"])
+        carries = met.select("doc_id", F.explode(_carried(F.col("entries"), F.col("start"))).alias("c"))
+        carries = carries.select("doc_id", F.col("c.at").alias("of"), F.col("c.state").alias("start"))
+    return carries.withColumnRenamed("of", "at")
+
+
 def group_milestones(plan: DataFrame, size: int = MILESTONE_SIZE) -> DataFrame:
     """Milestone number of each lesson: a new one at ``size`` lessons, or on a change of difficulty after two.
 
@@ -122,19 +139,9 @@ def group_milestones(plan: DataFrame, size: int = MILESTONE_SIZE) -> DataFrame:
     states = F.sequence(F.lit(0), F.lit(size))
     table = F.transform(states, lambda n: F.aggregate("rows", _state(n), lambda acc, r: _step(acc, r["change"], size)))
     blocks = stage(blocks.withColumn("table", table))
-    levels = [blocks.select("doc_id", "at", "table")]
-    entries = lambda df: df.groupBy("doc_id", F.expr(f"at div {MILESTONE_BLOCK}").alias("of")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "table"))).alias("entries")
-    )
-    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= MILESTONE_BLOCK:
-        composed = F.transform(states, lambda n: F.aggregate("entries", _state(n), lambda acc, e: _after(e["table"], acc)))
-        levels.append(stage(entries(levels[-1]).select("doc_id", F.col("of").alias("at"), composed.alias("table"))))
-    carries = levels[-1].select("doc_id", F.lit(0).cast("long").alias("of"), _state(0).alias("start")).distinct()
-    for level in reversed(levels):
-        met = entries(level).join(carries, ["doc_id", "of"])
-        carries = met.select("doc_id", F.explode(_carried(F.col("entries"), F.col("start"))).alias("c"))
-        carries = carries.select("doc_id", F.col("c.at").alias("of"), F.col("c.state").alias("start"))
-    met = blocks.join(carries.withColumnRenamed("of", "at"), ["doc_id", "at"])
+    first = blocks.where("at = 0").withColumn("start", _state(0))  # nothing lies before a document's first block
+    later = blocks.where("at > 0")
+    met = first if later.isEmpty() else first.unionByName(later.join(_block_starts(blocks.select("doc_id", "at", "table"), states), ["doc_id", "at"]))
     # Each row as a table of its own: the state before it, and one step more.
     each = F.transform("rows", lambda r: F.struct(r["position"].cast("long").alias("at"), F.transform(states, lambda n: _step(_state(n), r["change"], size)).alias("table")))
     numbered = met.select("doc_id", F.explode(F.arrays_zip(F.col("rows").alias("row"), _carried(each, F.col("start")).alias("before"))).alias("e"))

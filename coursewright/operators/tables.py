@@ -91,9 +91,12 @@ def cascade_delete(
     return kept
 
 
-def promote_missing(src: DataFrame, dst: DataFrame, natural_key: str) -> DataFrame:
-    """Rows of ``src`` whose natural key is not in ``dst``."""
-    return src.dropDuplicates([natural_key]).join(dst.select(natural_key).distinct(), natural_key, "left_anti")
+def promote_missing(src: DataFrame, dst: DataFrame, natural_key: str, order: str) -> DataFrame:
+    """Rows of ``src`` whose natural key is not in ``dst``; of several with one key, the first by ``order``."""
+    rest = [c for c in src.columns if c != natural_key]
+    first = src.groupBy(natural_key).agg(F.min_by(F.struct(*rest), F.struct(order, *rest)).alias("_row"))
+    missing = first.join(dst.select(natural_key).distinct(), natural_key, "left_anti")
+    return missing.select(natural_key, "_row.*").select(*src.columns)
 
 
 def rekey(links: DataFrame, src: DataFrame, dst: DataFrame, natural_key: str, surrogate: str) -> DataFrame:
@@ -224,15 +227,45 @@ def nest_children(parents: DataFrame, links: DataFrame, key: str, child: str) ->
 # ---- order and limits ------------------------------------------------------------
 
 
+#: Offset from which a page is sought by counts, and ranges whose rows are counted.
+SEEK, RANGES = 100_000, 256
+
+
+def _ranges_of(df: DataFrame, key: str, offset: int, size: int) -> tuple[DataFrame, int]:
+    """The rows of the key ranges that hold places ``offset`` to ``offset`` + ``size``, and how many rows lie before."""
+    cuts = df.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
+    cuts = sorted(set(cuts or []))
+    # Nulls come first (range -1); a value is in the range of the last cut that is not above it.
+    place = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0))
+    counts = sorted(df.groupBy(place.alias("place")).count().collect())
+    before, held = 0, []
+    for at, n in counts:
+        if not held and before + n <= offset:
+            before += n
+        elif not held or sum(x[1] for x in held) < offset - before + size:
+            held.append((at, n))
+    if not held:
+        return df.limit(0), offset
+    low, high = held[0][0], held[-1][0]
+    within = F.lit(True) if low < 1 else F.col(key) >= cuts[low - 1]
+    within &= F.lit(True) if high >= len(cuts) else F.col(key) < cuts[high]
+    return df.where(F.coalesce(within, F.lit(False)) | F.col(key).isNull() if low == -1 else within & F.col(key).isNotNull()), before
+
+
 def paginate(df: DataFrame, key: str, offset: int, limit: int, max_page: int = 5000) -> DataFrame:
     """A page in key order with the total and the next offset (null on the last page).
 
     A page has ``limit`` rows, at least 1 and at most ``max_page``; next_offset counts the
     rows of the page as returned.
+
+    A page far down is sought: rows are counted by ranges of the key, and only the ranges that
+    hold the page are read and sorted, by a filter on the key that reaches the scan.  The key
+    is a number or a time there.
     """
     size = max(1, min(limit, max_page))
     total = df.agg(F.count("*").alias("total"))
-    page = df.orderBy(key).offset(offset).limit(size)
+    source, before = _ranges_of(df, key, offset, size) if offset >= SEEK else (df, 0)
+    page = source.orderBy(key).offset(offset - before).limit(size)
     more = F.when(F.col("total") > offset + size, F.lit(offset + size).cast("long"))
     return page.withColumn("total", total.scalar()).withColumn("next_offset", more)
 

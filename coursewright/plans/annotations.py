@@ -19,8 +19,8 @@ def single(name, fn):
     return run
 
 
-def captioned(s, sf):
-    return stage(S.attach_captions(nodes(s, sf)).select("doc_id", "node_id", "seq", "node_type", "text", "caption"))
+def captioned(s, sf, base=None):
+    return stage(S.attach_captions(nodes(s, sf) if base is None else base).select("doc_id", "node_id", "seq", "node_type", "text", "caption"))
 
 
 def associations(fn):
@@ -32,8 +32,8 @@ def key_terms(s, sf):
     return A.first_occurrence_terms(hits).select("doc_id", *OUT)
 
 
-def annotations(s, sf):
-    return A.annotate(captioned(s, sf))
+def annotations(s, sf, base=None):
+    return A.annotate(captioned(s, sf, base))
 
 
 QUERIES = {

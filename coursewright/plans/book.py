@@ -105,7 +105,7 @@ def book(s, sf):
     return B.chapter_segments(ls), ls, pages, items(s, sf)
 
 
-def overlap(s, sf):
+def both_sides(s, sf):
     pages = stage(B.segment_lessons(page_rows(s, sf)))
     n = nodes(s, sf).select("doc_id", "page", "node_id")
     segments = n.join(pages.select("doc_id", "page", "lesson"), ["doc_id", "page"]).select(
@@ -115,7 +115,7 @@ def overlap(s, sf):
     us = members.join(
         unit_table(s, sf).select("doc_id", "unit_id", F.col("seq").cast("long").alias("unit_ord")), ["doc_id", "unit_id"]
     )
-    return B.assign_units_by_overlap(segments, us.select("doc_id", "unit_ord", "unit_id", "node_id"))
+    return segments, us.select("doc_id", "unit_ord", "unit_id", "node_id")
 
 
 def resolved(s, sf):
@@ -179,7 +179,8 @@ QUERIES = {
         "doc_id", "chapter", "lesson", "page", "item_order", "chapter_title", "lesson_title", "node_id"
     ),
     "nested_counts": lambda s, sf: B.nested_counts(*book(s, sf)),
-    "assign_units_by_overlap": overlap,
+    "intersection_size": lambda s, sf: B.intersection_size(*both_sides(s, sf)),
+    "assign_units_by_overlap": lambda s, sf: B.assign_units_by_overlap(*both_sides(s, sf)),
     "resolve_lessons": resolved,
     "chapter_order_offset": offsets,
     "page_views": views,

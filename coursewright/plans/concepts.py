@@ -15,8 +15,8 @@ from coursewright.session import stage
 from coursewright.sources.tables import table
 
 
-def deduped(s, sf):
-    return A.dedupe_annotations(annotations(s, sf))
+def deduped(s, sf, base=None):
+    return A.dedupe_annotations(annotations(s, sf, base))
 
 
 def pages(s, sf):
@@ -47,8 +47,8 @@ def relations(s, sf):
     return C.concept_cooccurrence(stage(links(s, sf)))
 
 
-def members(s, sf):
-    return unit_nodes(s, sf).select("doc_id", "node_id", "unit_id", F.col("seq").alias("unit_seq"))
+def members(s, sf, placed=None):
+    return (unit_nodes(s, sf) if placed is None else placed).select("doc_id", "node_id", "unit_id", F.col("seq").alias("unit_seq"))
 
 
 def mentions(s, sf):

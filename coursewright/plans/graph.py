@@ -11,7 +11,7 @@ from coursewright.operators import sequence as Q
 from coursewright.operators import trees as R
 from coursewright.plans import concepts as PC
 from coursewright.plans.structure import nodes
-from coursewright.plans.units import units
+from coursewright.plans.units import unit_nodes, units
 from coursewright.session import stage
 from coursewright.sources.nodes import scan_text_nodes
 from coursewright.sources.sinks import write_graph_tables
@@ -31,15 +31,18 @@ def prerequisites(placed):
 
 
 def parts(s, sf):
-    placed = units(s, sf)
-    raw = stage(C.concepts_from_annotations(PC.deduped(s, sf)))
+    # Nodes and their units are derived once for units, concepts and the links between them.
+    base = stage(nodes(s, sf))
+    members = stage(unit_nodes(s, sf, base))
+    placed = units(s, sf, members)
+    raw = stage(C.concepts_from_annotations(PC.deduped(s, sf, base)))
     links = stage(C.concept_nodes(raw))
     concepts = C.merge_concepts(raw)
     vertices = G.build_vertices(placed, concepts)
     edges = G.build_edges(
         placed,
         prerequisites(placed),
-        C.map_concepts_to_units(links, PC.members(s, sf)),
+        C.map_concepts_to_units(links, PC.members(s, sf, members)),
         C.concept_cooccurrence(links),
     )
     return stage(vertices), stage(G.drop_dangling_edges(edges, vertices))

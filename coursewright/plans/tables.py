@@ -74,7 +74,7 @@ def _accounts(s, sf):
 
 
 def promote_missing(s, sf):
-    return O.promote_missing(*_accounts(s, sf), "email")
+    return O.promote_missing(*_accounts(s, sf), "email", "user_id")
 
 
 def rekey_roles(s, sf):

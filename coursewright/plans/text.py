@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from coursewright.functions import answers as A
 from coursewright.functions import geometry as G
 from coursewright.functions import text as X
-from coursewright.sources.nodes import document_nodes, parse_inventory_name, scan_text_nodes
+from coursewright.sources.nodes import document_nodes, scan_binary_inventory, scan_text_nodes
+from coursewright.sources.sinks import write_files
 from coursewright.sources.tables import table
+from coursewright.streaming.streams import new_folder
 
 
 def lines(s, sf):
@@ -138,14 +140,19 @@ def bboxes(s, sf):
 
 
 def inventory(s, sf):
+    """The pages stored as files whose names tell their attributes, some of them malformed, and scanned."""
     name = F.concat(
-        F.lit("/store/"), F.sha2("url", 256).substr(1, 12), F.lit("__name=doc"), F.col("page_id").cast("string"),
+        F.sha2("url", 256).substr(1, 12), F.lit("__name=doc"), F.col("page_id").cast("string"),
         F.when(F.col("page_id") % 4 == 1, "").otherwise("__sha=abc"),
         F.when(F.col("page_id") % 3 == 0, "__mode=path").when(F.col("page_id") % 3 == 1, "__mode=ftp").otherwise("__junk"),
         F.when(F.col("page_id") % 7 == 0, ".txt").otherwise(".pdf"),
     )
-    r = table(s, sf, "pages").select("page_id", parse_inventory_name(name).alias("e")).where(F.col("e").isNotNull())
-    return r.select("page_id", "e.*")
+    folder = f"{new_folder(s, 'store')}/files"
+    write_files(table(s, sf, "pages").select(name.alias("name"), F.encode("html", "UTF-8").alias("content")), folder)
+    recent = F.col("modificationTime") > F.current_timestamp() - F.expr("INTERVAL 1 DAY")
+    return scan_binary_inventory(s, folder).select(
+        "doc_id", "filename", "sha256", "source_mode", "length", recent.alias("recent"), F.element_at(F.split("path", "/"), -1).alias("stored_as")
+    )
 
 
 QUERIES = {

@@ -12,21 +12,23 @@ from coursewright.plans.structure import nodes
 from coursewright.session import stage
 
 
-def unit_nodes(s, sf):
-    return U.build_units(stage(S.repair_heading_levels(nodes(s, sf).drop("parent_id"))))
+def unit_nodes(s, sf, base=None):
+    """Nodes with their units; ``base`` are the corpus's nodes where a plan has staged them already."""
+    base = nodes(s, sf) if base is None else base
+    return U.build_units(stage(S.repair_heading_levels(base.drop("parent_id"))))
 
 
-def unit_table(s, sf):
-    return U.unit_profile(unit_nodes(s, sf))
+def unit_table(s, sf, placed=None):
+    return U.unit_profile(unit_nodes(s, sf) if placed is None else placed)
 
 
-def typed_units(s, sf):
-    return stage(U.unit_types(stage(unit_table(s, sf))))
+def typed_units(s, sf, placed=None):
+    return stage(U.unit_types(stage(unit_table(s, sf, placed))))
 
 
-def units(s, sf):
-    """Units with type and parent, staged for the tree operators."""
-    return stage(U.unit_parents(typed_units(s, sf)))
+def units(s, sf, placed=None):
+    """Units with type and parent, staged for the tree operators; ``placed`` are nodes with units, staged already."""
+    return stage(U.unit_parents(typed_units(s, sf, placed)))
 
 
 def unit_tree(placed):

@@ -43,6 +43,24 @@ def write_json_export(artifacts: Mapping[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{kind}")
 
 
+def write_files(contents: DataFrame, path: str) -> None:
+    """A file for each row (name, content) below ``path``, on whatever file system that is.
+
+    Names are the caller's, which Spark's writers do not allow; rows come to the driver one
+    partition at a time and go straight to the file system.
+    """
+    context = contents.sparkSession.sparkContext
+    of = context._jvm.org.apache.hadoop.fs.Path
+    folder = of(path)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    for row in contents.toLocalIterator():
+        out = system.create(of(folder, row["name"]), True)
+        try:
+            out.write(bytearray(row["content"]))
+        finally:
+            out.close()
+
+
 def write_graph_tables(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").parquet(f"{path}/edges")

@@ -97,6 +97,8 @@ chosen(course_id, i, ord, lesson_id, used) AS (
 SQL = {
     "assign_units_by_overlap": w(NODES, FIXED, DEDUPED, signals("ddp"), segment("sig"), MEMBERS, PROFILE, OVERLAP)
     + "SELECT e.doc_id, e.segment, u.unit_id FROM every e LEFT JOIN (SELECT DISTINCT doc_id, unit_ord, unit_id FROM us) u USING (doc_id, unit_ord)",
+    "intersection_size": w(NODES, FIXED, DEDUPED, signals("ddp"), segment("sig"), MEMBERS, PROFILE, OVERLAP)
+    + "SELECT doc_id, segment, unit_ord, n FROM shared",
     "resolve_lessons": w(LESSONS_T, RESOLVE) + "SELECT course_id, ord, lesson_id FROM chosen WHERE i > 0",
     "dedupe_page_headings": with_(NODES)
     + f""", h AS (SELECT * REPLACE (CASE WHEN node_type = 'heading' THEN ' Part  ' || seq % 3 ELSE text END AS text) FROM nodes)

@@ -58,7 +58,8 @@ SELECT page_id, digest, {_UUID.format("digest")} AS uuid,
     "canonical_ref": """WITH r AS (SELECT page_id, CASE WHEN page_id % 5 <= 2 THEN '#' || regexp_replace(url, '^https?:/', '') ELSE '#/body' END AS ref
   FROM pages), p AS (SELECT *, list_filter(string_split(substr(ref, 3), '/'), lambda x: x <> '') AS parts FROM r)
 SELECT page_id, ref, CASE WHEN len(parts) > 1 THEN '#/' || array_to_string(parts[1:len(parts) - 1], '/') ELSE '#/body' END AS parent FROM p""",
-    "scan_binary_inventory": """SELECT page_id, left(sha256(url), 12) AS doc_id, 'doc' || page_id || '.pdf' AS filename,
+    "scan_binary_inventory": """SELECT left(sha256(url), 12) AS doc_id, 'doc' || page_id || '.pdf' AS filename, strlen(html) AS length, true AS recent,
+  left(sha256(url), 12) || '__name=doc' || page_id || '__sha=abc' || CASE WHEN page_id % 3 = 0 THEN '__mode=path' ELSE '__junk' END || '.pdf' AS stored_as,
   CASE WHEN page_id % 4 = 1 THEN '' ELSE 'abc' END AS sha256, CASE WHEN page_id % 3 = 0 THEN 'path' ELSE 'base64' END AS source_mode
 FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 1 AND page_id % 3 <> 1""",
     "validate_questions": with_(REPLY)

@@ -224,3 +224,54 @@ def test_insert_if_absent_marks_new_rows(spark):
     base = spark.createDataFrame([(1, "a")], "k int, v string")
     new = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     assert rows(O.insert_if_absent(base, new, ["k"]), "k", "v", "inserted") == [(1, "a", False), (2, "c", True)]
+
+
+def test_inventory_names(spark):
+    from coursewright.sources.nodes import parse_inventory_name
+
+    cases = [
+        ("/s/ab__name=n__sha=x__mode=path.pdf", ("ab", "n.pdf", "x", "path")), ("ab__name=n__junk__sha=x.pdf", ("ab", "n.pdf", "x", "base64")),
+        ("ab__name=n__sha=x__mode=ftp.pdf", None), ("ab__name=n.pdf", None), ("ab__name=n__sha=x__mode=path.txt", None),
+        ("ab__sha=x__sha=y__k=v.pdf", ("ab", "document.pdf", "y", "base64")),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "p string").select("p", parse_inventory_name(F.col("p")).alias("e"))
+    assert {r.p: r.e and tuple(r.e) for r in df.collect()} == dict(cases)
+
+
+def test_promote_keeps_the_first_row_of_a_key(spark):
+    src = spark.createDataFrame([(3, "a", "z"), (1, "a", "y"), (2, "b", None), (4, None, "n")], "user_id int, email string, rest string")
+    out = O.promote_missing(src, src.where("email = 'b'"), "email", "user_id")
+    assert out.columns == src.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == ["(1, 'a', 'y')", "(4, None, 'n')"]
+
+
+@pytest.mark.parametrize("offset", [0, 9, 10, 37, 95, 118, 119, 120, 500])
+def test_pages_far_down_are_sought(spark, monkeypatch, offset):
+    monkeypatch.setattr(O, "SEEK", 10)
+    monkeypatch.setattr(O, "RANGES", 8)
+    keys = [None] * 12 + [5] * 40 + list(range(0, 204, 3))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int").repartition(3)
+    want = sorted(keys, key=lambda k: (k is not None, k))[offset : offset + 25]
+    got = O.paginate(df, "k", offset, 25).collect()
+    assert [r.k for r in got] == want
+    assert all(r.total == 120 and r.next_offset == (offset + 25 if offset + 25 < 120 else None) for r in got)
+
+
+def test_a_sought_page_filters_its_range(spark, monkeypatch, sf):
+    monkeypatch.setattr(O, "SEEK", 10)
+    lines = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    page = O.paginate(lines, "o_orderkey", 700, 20)
+    want = [r[0] for r in lines.orderBy("o_orderkey").offset(700).limit(20).collect()]
+    assert [r.o_orderkey for r in page.collect()] == want
+    assert "GreaterThanOrEqual(o_orderkey" in page._jdf.queryExecution().toString()
+
+
+def test_boxes_over_several_strips_meet_once(spark):
+    from coursewright.operators import layout as L
+
+    node = spark.createDataFrame([(1, 1, "n", "Some  long text", 0.0, 0.0, 1.0, 1.0)], "doc_id int, page int, node_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    rows = [(1, 1, "l1", "long", 0.1, 0.2, 0.3, 0.9), (1, 1, "l2", "other", 0.1, 0.2, 0.3, 0.3), (1, 1, "l3", "text", 2.0, 0.2, 2.5, 0.3), (1, 2, "l4", "text", 0.0, 0.0, 1.0, 1.0)]
+    line = spark.createDataFrame(rows, "doc_id int, page int, line string, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.line for r in L.match_lines_in_box(node, line, 0.01).collect()] == ["l1"]
+    boxes = line.withColumnRenamed("line", "rect_id")
+    assert sorted(r.rect_id for r in L.spatial_cover_anti_join(boxes, node).collect()) == ["l3", "l4"]
