@@ -29,7 +29,7 @@ from coursewright.sources.tables import table
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents without later copies of runs of three or more lines."""
+    """Documents without later copies of runs of three lines, or of eight words in fewer."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs)
 
@@ -211,22 +211,25 @@ SQL = {
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 every AS (SELECT doc_id, i, lines[i] AS line FROM split, unnest(range(1, len(lines) + 1)) AS t(i)),
 dense AS (
-  SELECT doc_id, i, trim(line) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  SELECT doc_id, i, trim(line) AS a, len(regexp_split_to_array(trim(line), ' +')) AS w,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
   FROM every WHERE trim(line) <> ''
 ),
-windows AS (
-  SELECT doc_id, j, a, i AS i0, lead(i, 1) OVER d AS i1, lead(i, 2) OVER d AS i2,
-         lead(a, 1) OVER d AS b, lead(a, 2) OVER d AS c
+ahead AS (
+  SELECT doc_id, j, i, a, w, lead(i, 1) OVER d AS i1, lead(i, 2) OVER d AS i2,
+         lead(a, 1) OVER d AS b, lead(a, 2) OVER d AS c, lead(w, 1) OVER d AS w1
   FROM dense WINDOW d AS (PARTITION BY doc_id ORDER BY j)
 ),
+windows AS (
+  SELECT doc_id, j, [i] AS places, [a] AS run FROM ahead WHERE w >= 8
+  UNION ALL SELECT doc_id, j, [i, i1], [a, b] FROM ahead WHERE i1 IS NOT NULL AND w + w1 >= 8
+  UNION ALL SELECT doc_id, j, [i, i1, i2], [a, b, c] FROM ahead WHERE i2 IS NOT NULL
+),
 firsts AS (
   SELECT *, first_value(doc_id) OVER w AS d0, first_value(j) OVER w AS j0
-  FROM windows WHERE i2 IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, j)
-),
-later AS (SELECT * FROM firsts WHERE doc_id > d0 OR j - j0 >= 3),
-gone AS (
-  SELECT doc_id, i0 AS i FROM later UNION SELECT doc_id, i1 FROM later UNION SELECT doc_id, i2 FROM later
+  FROM windows WINDOW w AS (PARTITION BY run ORDER BY doc_id, j)
 ),
+gone AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM firsts WHERE doc_id > d0 OR j - j0 >= len(run)),
 cut AS (
   SELECT e.doc_id, count(*) AS line_count, count(g.i) AS removed_count,
          coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE g.i IS NULL), '') AS text

@@ -76,21 +76,29 @@ def substring_dedup(rows, window=50):
     return out
 
 
-def line_dedup(rows, size=3):
+def line_dedup(rows, size=3, words=8):
     """rows: (doc_id, text), unique ids -> {doc_id: text}."""
+
+    def runs(dense):
+        for p in range(len(dense)):
+            for n in range(1, size + 1):
+                run = tuple(x for _, x in dense[p : p + n])
+                if len(run) == n and (n == size or sum(len(re.split(" +", x)) for x in run) >= words):
+                    yield p, run
+
     first, dense = {}, {}
     for i, text in sorted(rows):
         lines = [(n, x.strip(" ")) for n, x in enumerate((text or "").split("\n"))] if text is not None else []
         dense[i] = [(n, x) for n, x in lines if x]
-        for p in range(len(dense[i]) - size + 1):
-            first.setdefault(tuple(x for _, x in dense[i][p : p + size]), (i, p))
+        for p, run in runs(dense[i]):
+            first.setdefault(run, (i, p))
     out = {}
     for i, text in rows:
         gone = set()
-        for p in range(len(dense[i]) - size + 1):
-            d, q = first[tuple(x for _, x in dense[i][p : p + size])]
-            if d < i or p - q >= size:
-                gone.update(n for n, _ in dense[i][p : p + size])
+        for p, run in runs(dense[i]):
+            d, q = first[run]
+            if d < i or p - q >= len(run):
+                gone.update(n for n, _ in dense[i][p : p + len(run)])
         out[i] = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
     return out
 

@@ -119,11 +119,29 @@ def test_substring_edges(spark):
 
 def test_lines_on_made_cases(spark):
     rng = random.Random(9)
-    line = lambda: rng.choice(["a", "b", " c", "d ", "", "  ", "long line of words"])
+    line = lambda: rng.choice(["a", "b", " c", "d ", "", "  ", "long line of words", "four more  of them", "one line that has more than eight words in it"])
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(1, 14)))) for i in range(120)]
     rows += [(200, None), (201, ""), (202, "a\nb"), (203, "\n".join("z" * 9)), (204, "\n".join(["z"] * 50))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for size, words in [(3, 8), (2, 5), (4, 100), (1, 1)]:
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, size, words).collect()}
+        assert got == brute.line_dedup(rows, size, words)
+
+
+def test_a_run_whose_fingerprint_comes_first_elsewhere(spark):
+    """All three lines of a later run go although each line stands first in another surrounding."""
+    rows = [(1, "a b\nx\nc d"), (2, "p\nx\nq"), (3, "x\nq\nc d\np"), (4, "k\np\nx\nq\nl"), (5, "q\nc d\np")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute.line_dedup(rows) == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "k\nl", 5: ""}
+
+
+def test_short_documents_are_cut(spark):
+    """One or two lines are a run if they hold eight words; a very long line counts as any other."""
+    long = "word " * 300_000
+    rows = [(1, "a line of eight words or a few more"), (2, "own\na line of eight words or a few more"), (3, "too short"), (4, "too short")]
+    rows += [(5, long), (6, f"own\n{long}"), (7, "four words and more\nand these four too"), (8, "four words and more\nand these four too")]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute.line_dedup(rows)
+    assert got == {1: rows[0][1], 2: "own", 3: "too short", 4: "too short", 5: long, 6: "own", 7: rows[6][1], 8: ""}
 
 
 def test_lines_edges(spark):
