@@ -1,7 +1,8 @@
 """Incremental forms of the merges: each writes small deltas, and reading folds them.
 
 Sinks append one folder per micro-batch (overwritten when a batch is retried), so a
-restart neither loses nor doubles rows.
+restart neither loses nor doubles rows.  What a merge must remember lies in the state store by
+key: a batch looks up its own keys, and no batch reads what earlier ones wrote.
 """
 
 from __future__ import annotations
@@ -18,19 +19,32 @@ from coursewright.operators import tables as O
 from coursewright.session import shared_folder
 
 
+#: Keeps keyed state on disk, with changes uploaded to the checkpoint; an executor's memory does not bound it.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
-    """Run a stream over everything available now."""
-    query = (
-        stream.writeStream.foreachBatch(each)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{folder}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def drain(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append", provider: str | None = None
+) -> None:
+    """Run a stream over everything available now; ``provider`` names the state store of this query alone."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, provider or before)
+    try:
+        query = (
+            stream.writeStream.foreachBatch(each)
+            .outputMode(mode)
+            .option("checkpointLocation", f"{folder}/_checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(PROVIDER, before)
     query.awaitTermination()
 
 
@@ -43,17 +57,13 @@ def read_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry(lines: DataFrame, folder: str) -> None:
-    """New registry lines become pending documents once: each batch inserts what the table lacks."""
-    spark = lines.sparkSession
+    """New registry lines become pending documents once.
 
-    def insert(df: DataFrame, batch: int) -> None:
-        fresh = df.select(F.trim("value").alias("source")).where(F.col("source") != "").distinct()
-        if batch > 0:
-            known = read_delta(spark, folder).where(F.col("batch") < batch).select("source")
-            fresh = fresh.join(known, "source", "left_anti")
-        append_delta(folder)(fresh.withColumn("status", F.lit("pending")), batch)
-
-    drain(lines, insert, folder)
+    Sources seen are keys of the state store, for good: a source is never registered again.
+    Null and blank lines are no sources.
+    """
+    fresh = lines.select(F.trim("value").alias("source")).where(F.col("source") != "").dropDuplicates(["source"])
+    drain(fresh.withColumn("status", F.lit("pending")), append_delta(folder), folder, provider=ROCKSDB)
 
 
 def progress(events: DataFrame, folder: str) -> None:
@@ -117,24 +127,18 @@ def stage_log(events: DataFrame, folder: str) -> None:
 def unlock(writes: DataFrame, lessons: DataFrame, nexts: DataFrame, items: DataFrame, folder: str) -> None:
     """When a section becomes mastered, emit the next section's rows once.
 
-    Each batch is added to the progress table first; only the touched (user, section)
-    pairs are looked at again.
+    The state store holds each mastered (user, lesson) once and a count per (user, section).  A
+    lesson mastered again changes no count, so a section is complete in exactly one batch.  Only
+    lessons of ``lessons`` count, as it stands when the stream starts.
     """
-    spark = writes.sparkSession
+    scope = lessons.select("section_id", "lesson_id").distinct()
+    totals = scope.groupBy("section_id").agg(F.count("*").alias("total"))
+    counted = writes.where("status = 'mastered'").select("user_id", "section_id", "lesson_id")
+    counted = counted.join(scope, ["section_id", "lesson_id"], "left_semi").dropDuplicates(["user_id", "section_id", "lesson_id"])
+    mastered = counted.groupBy("user_id", "section_id").agg(F.count("*").alias("mastered"))
 
     def each(df: DataFrame, batch: int) -> None:
-        df.select("user_id", "section_id", "lesson_id").where("status = 'mastered'").write.mode("overwrite").parquet(
-            f"{folder}/progress/batch={batch}"
-        )
-        touched = df.select("user_id", "section_id").distinct()
-        so_far = spark.read.parquet(f"{folder}/progress").where(F.col("batch") <= batch)
-        now = so_far.join(touched, ["user_id", "section_id"], "left_semi").select("user_id", "section_id", "lesson_id").distinct()
-        scope = lessons.join(touched.select("section_id").distinct(), "section_id", "left_semi")
-        complete = P.section_mastered(now.withColumn("status", F.lit("mastered")), scope)
-        wave = P.unlock_wave(complete, nexts, items)
-        if batch > 0:
-            seen = read_delta(spark, folder).where(F.col("batch") < batch).select("user_id", "kind", "item_id")
-            wave = wave.join(seen, ["user_id", "kind", "item_id"], "left_anti")
-        append_delta(folder)(wave, batch)
-
-    drain(writes, each, folder)
+        complete = df.join(totals, "section_id").withColumn("complete", F.col("mastered") == F.col("total"))
+        append_delta(folder)(P.unlock_wave(complete, nexts, items), batch)
+
+    drain(mastered, each, folder, "update", ROCKSDB)
