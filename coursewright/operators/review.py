@@ -98,26 +98,37 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(ordered, lambda p: p["m"]).alias("query"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def total(products: Column) -> Column:
-        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+def _total(products: Column) -> Column:
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
 
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    size = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return dot / (size(a) * size(b))
 
+def _measured(df: DataFrame, vector: str, size: str) -> DataFrame:
+    """``df`` with the length of ``vector``; without vectors that have no direction."""
+    length = F.sqrt(_total(F.transform(vector, lambda x: x.cast("double") * x.cast("double"))))
+    return df.withColumn(size, length).where((F.col(size) > 0) & (F.col(size) < float("inf")))
 
-def similarity_topk(vectors: DataFrame, queries: DataFrame, on: str, k: int = 5, max_queries: int = 1000) -> DataFrame:
-    """The ``k`` nearest of all vectors to each query (``on``, query).
 
-    The queries are a list of at most ``max_queries``, which is checked and goes into the
-    plan; vectors stay where they are, and the rank filter prunes per task before its shuffle.
+def similarity_topk(
+    vectors: DataFrame, queries: DataFrame, on: str, k: int = 5, slices: int | None = None, query_slices: int = 1
+) -> DataFrame:
+    """The ``k`` nearest of all vectors to each query (``on``, query), by cosine, ties to the smaller vec_id.
+
+    Any number of queries meets all vectors in the cells of a grid: vectors are dealt over
+    ``slices`` (the number of shuffle partitions by default) and sent once for each of the
+    ``query_slices``, queries are sent once for each of the ``slices``.  Raise ``query_slices``
+    with the queries, so that a cell's queries fit a task.  Lengths are taken once a vector, and the rank
+    filter prunes per task before its shuffle.  Every pair is scored: the result is exact.
+    Vectors and queries that are null, hold null or a number that is not finite, or have length
+    zero take no part; a pair of unequal dimensions has no score.
     """
-    listed = queries.select(on, "query").limit(max_queries + 1).collect()
-    if len(listed) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    given = F.array(*[F.struct(F.lit(q[on]).alias(on), F.array(*map(F.lit, q["query"])).alias("query")) for q in listed])
-    met = vectors.select("vec_id", "embedding", F.explode(given).alias("q"))
-    scored = met.select(f"q.{on}", "vec_id", cosine(F.col("embedding"), F.col("q.query")).alias("score"))
+    slices = slices or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = _measured(vectors.select("vec_id", "embedding"), "embedding", "_size")
+    left = left.withColumn("_slice", dealt("vec_id", slices)).withColumn("_part", each(query_slices))
+    right = _measured(queries.select(on, "query"), "query", "_length")
+    right = right.withColumn("_part", dealt(on, query_slices)).withColumn("_slice", each(slices))
+    dot = _total(F.zip_with("embedding", "query", lambda x, y: x.cast("double") * y.cast("double")))
+    met = left.join(right, ["_slice", "_part"]).select(on, "vec_id", (dot / (F.col("_size") * F.col("_length"))).alias("score"))
     w = Window.partitionBy(on).orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.where("score IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
