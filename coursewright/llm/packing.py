@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursewright.llm.staging import Stages
 from coursewright.session import stage
 
 #: Permitted sequence lengths, in the unit of the length column.
@@ -29,9 +30,10 @@ def cost(capacity: int, balance: float = BALANCE) -> float:
 def best_fit(lengths: Sequence[int], capacities: Sequence[int], balance: float = BALANCE) -> list[int]:
     """Bin numbers for ``lengths``, which fall and fit the largest capacity.
 
-    An item goes to the open bin with the least room that holds it.  If there is none, the
-    size opened is the one with the least cost for each unit it can expect to hold: the item
-    and what the smaller items still to come can fill.  Ties go to the smaller size.
+    An item goes to the open bin with the least room that holds it; a full bin is closed, for
+    items of length 0 as well.  If there is none, the size opened is the one with the least cost for
+    each unit it can expect to hold: the item and what the smaller items still to come can fill.
+    Ties go to the smaller size; of bins with equal room the one that came to it last is taken.
     """
     sizes = sorted(capacities)
     n = len(lengths)
@@ -129,3 +131,46 @@ def pack(
     groups = max(1, -(-total // group_rows))
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(lambda g: pack_group(g, sizes, balance), PACKED)
+
+
+def sequences(
+    docs: DataFrame, end: int, *, ids: str = "ids", key: str = "doc_id", capacities: Iterable[int] = CAPACITIES,
+    balance: float = BALANCE, group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """Packed sequences of token ids: (bin_id, capacity, n_tokens, ids, segments), one row each.
+
+    ``ids`` names an array of token ids; each document is followed by the id ``end``, so that
+    one with null or no ids still takes a place.  ``segments`` tell in order what a sequence
+    holds: (doc_id, piece, start, offset, length), where ``start`` is a piece's place in its
+    document and ``offset`` its place in the sequence, the start of an attention segment.  The
+    rest of a sequence up to ``capacity`` is left to be padded.  A document over the largest
+    capacity continues in other sequences; nothing is cut off or lost.  Rows that repeat a key
+    are documents of their own, a null key stays null; other columns, whatever their names, are
+    ignored.  Equal lengths are placed by row, which says nothing of their content.  No rows,
+    no sequences.
+
+    A document is cut into pieces before they move, so no shuffled row holds more than the
+    largest capacity, whatever the longest document; pieces meet their places by (row, piece).
+    """
+    sizes = sorted({int(c) for c in capacities})
+    spark = docs.sparkSession
+    stages = Stages(spark)
+    closed = F.concat(F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")), F.array(F.lit(end)))
+    held = stages.keep(
+        "held", docs.select(F.col(key).cast("long").alias("doc_id"), closed.alias("ids"), F.monotonically_increasing_id().alias("row"))
+    )
+    # Only the narrow places pass through the packing, known by row.
+    places = pack(held.select(F.col("row").alias("doc_id"), F.size("ids").alias("n")), "n", capacities=sizes, balance=balance, group_rows=group_rows)
+    top = sizes[-1]
+    starts = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(top))
+    pieces = held.select("doc_id", "row", F.posexplode(F.transform(starts, lambda at: F.slice("ids", at + 1, top))).alias("piece", "ids"))
+    joined = places.withColumnRenamed("doc_id", "row").join(pieces, ["row", "piece"])
+    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    whole = joined.groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.array_sort(F.collect_list(part)).alias("parts"))
+    made = whole.select(
+        "bin_id",
+        "capacity",
+        F.flatten("parts.ids").alias("ids"),
+        F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("doc_id", "piece", "start", "offset", "length")])).alias("segments"),
+    )
+    return made.select("bin_id", "capacity", F.size("ids").alias("n_tokens"), "ids", "segments")

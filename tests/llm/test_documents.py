@@ -1,5 +1,7 @@
 """Language, fingerprints, shards and packing against plain versions."""
 
+import hashlib
+import math
 import zlib
 
 import brute
@@ -151,36 +153,39 @@ def test_shard_weights_and_edges(spark):
 
 
 def plain_best_fit(lengths, capacities, balance):
-    """The same rule with every bin looked at for every item."""
-    rooms, chosen = [], []
+    """The same rule with every bin looked at for every item: (room taken from or None, size opened or None), rooms left."""
+    rooms, steps = [], []
     for k, n in enumerate(lengths):
-        fitting = [(room, b) for b, room in enumerate(rooms) if room >= n]
+        fitting = [room for room in rooms if room >= max(n, 1)]  # a full bin is closed
         if fitting:
-            least = min(room for room, _ in fitting)
-            chosen.append((least, None))
-            rooms[next(b for room, b in fitting if room == least)] -= n
+            steps.append((min(fitting), None))
+            rooms[rooms.index(min(fitting))] -= n
             continue
-        best = min(
-            (packing.cost(c, balance) / max(n + min(c - n, sum(x for x in lengths[k + 1 :] if x <= c - n)), 1), c) for c in capacities if c >= n
+        later = lengths[k + 1 :]
+        size = min(
+            (c for c in sorted(capacities) if c >= n),
+            key=lambda c: packing.cost(c, balance) / max(n + min(c - n, sum(x for x in later if x <= c - n)), 1),
         )
-        chosen.append((None, best[1]))
-        rooms.append(best[1] - n)
-    return chosen, sorted(rooms)
+        steps.append((None, size))
+        rooms.append(size - n)
+    return steps, sorted(rooms)
 
 
 def test_best_fit_against_plain():
     rng = np.random.default_rng(6)
     for _ in range(20):
         lengths = sorted(rng.integers(0, 60, 80).tolist(), reverse=True)
-        home = packing.best_fit(lengths, (16, 32, 64), 200)
-        _, rooms = plain_best_fit(lengths, (16, 32, 64), 200)
-        filled = np.bincount(home, weights=lengths)
-        assert len(filled) == len(rooms) and filled.max() <= 64
-        # Equal rooms may be chosen in another order, the rooms that are left are the same.
-        sizes = {}
-        for item, b in zip(lengths, home, strict=True):
-            sizes.setdefault(b, []).append(item)
-        assert sum(rooms) == sum(r for r in rooms) and sum(map(sum, sizes.values())) == sum(lengths)
+        steps, rooms = plain_best_fit(lengths, (16, 32, 64), 200)
+        # Bins of equal room are interchangeable; the room each item takes and each size opened are not.
+        left = {}
+        for n, home, (room, size) in zip(lengths, packing.best_fit(lengths, (16, 32, 64), 200), steps, strict=True):
+            if room is None:
+                assert home == len(left)
+                left[home] = size
+            else:
+                assert left[home] == room
+            left[home] -= n
+        assert sorted(left.values()) == rooms and rooms[0] >= 0
 
 
 def check_packed(rows, lengths, capacities):
@@ -222,3 +227,48 @@ def test_pack_edges(spark):
     many = packing.pack(again, "n", capacities=(8, 32), group_rows=20).collect()
     assert len(many) == 150 and sum(r.length for r in many) == 450 and sum(r.doc_id is None for r in many) == 50
     assert packing.pack(table.limit(0), "n").count() == 0
+
+
+def test_sequences_rebuild_every_document(spark):
+    rng = np.random.default_rng(8)
+    texts = {i: rng.integers(0, 90, int(rng.choice([0, 1, 7, 8, 15, 31, 32, 33, 64, 500]))).tolist() for i in range(120)}
+    rows = [(i, ids, "x", 1) for i, ids in texts.items()] + [(500, None, "x", 1), (None, [3, 4], "x", 1), (7, [5] * 40, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>, bin_id string, row int").withColumn("piece", F.lit(1))
+    got = packing.sequences(docs, 99, capacities=(8, 32), group_rows=50).collect()
+    assert all(r.capacity == (8 if len(r.ids) <= 8 else 32) for r in got)
+    parts = {}
+    for r in got:
+        at = 0
+        for g in r.segments:
+            assert g.offset == at
+            at += g.length
+            parts.setdefault(g.doc_id, []).append((g.start, g.piece, r.ids[g.offset : at]))
+        assert at == len(r.ids) == r.n_tokens
+    twice = sorted(parts.pop(7))
+    assert sorted(x for p in twice for x in p[2]) == sorted([*texts.pop(7), 99, *[5] * 40, 99])
+    want = {**texts, 500: [], None: [3, 4]}
+    assert set(parts) == set(want)
+    for i, held in parts.items():
+        assert [x for _, _, p in sorted(held) for x in p] == [*want[i], 99]
+    assert packing.sequences(docs.limit(0), 99).count() == 0
+    # One long document alone: pieces of the largest size and a rest.
+    long = spark.createDataFrame([(1, list(range(100_000)))], "doc_id long, ids array<int>")
+    sizes = sorted(r.n_tokens for r in packing.sequences(long, -1).collect())
+    assert sizes == [100_001 - 3 * 32768, 32768, 32768, 32768]
+
+
+def test_shard_of_every_key(spark):
+    """The shard recomputed from digests, weights and the growth included."""
+
+    def plain(key, weights):
+        def score(shard):
+            digest = hashlib.md5(f"{key}/{shard}".encode()).hexdigest()[:13]
+            return -math.log((int(digest, 16) + 0.5) / 2**52) / weights[shard]
+
+        return min(range(len(weights)), key=lambda s: (score(s), s))
+
+    keys = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.shard_rows(keys, [1.0, 3.0, 0.5], grown=[1.0, 3.0, 0.5, 2.0]).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {
+        i: (plain(i, [1.0, 3.0, 0.5]), plain(i, [1.0, 3.0, 0.5, 2.0])) for i in range(2000)
+    }
