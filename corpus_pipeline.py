@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.llm import language, line_dedup, near_dedup, packing, substring_dedup
+from coursewright.llm import bpe, language, line_dedup, near_dedup, packing, substring_dedup
 from coursewright.llm.staging import Stages
 from coursewright.session import stage
 from coursewright.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The id after the last of the vocabulary, which no text gives.
+END = 50256
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +73,15 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document in sequences of byte tokens."""
-    sized = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n_tokens"))
-    return packing.pack(sized, "n_tokens")
+    """The training sequences: token ids of whole documents by best fit, each document closed by an end mark.
+
+    One row a sequence: (bin_id, capacity, n_tokens, ids, segments); ``segments`` list the
+    documents in it with their place in the text's ids and in the sequence.  A null or empty text
+    is an end mark alone, rows that repeat an id are documents of their own, a null id stays null;
+    no documents, no sequences.
+    """
+    encoded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.sequences(encoded, END)
 
 
 STAGES = [
