@@ -1,12 +1,42 @@
 """The pipeline against the plain versions of its stages, and each stage's effect."""
 
+import base64
+
 import brute
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from coursewright.llm import language
 
 
+def library():
+    lines = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def rebuilt(rows):
+    """Each document's ids from the sequences; every segment checked on the way."""
+    parts = {}
+    for r in rows:
+        at = 0
+        for g in r.segments:
+            assert g.offset == at and g.length > 0
+            at += g.length
+            parts.setdefault(g.doc_id, []).append((g.piece, g.start, r.ids[g.offset : at]))
+        assert at == len(r.ids) == r.n_tokens <= r.capacity
+    out = {}
+    for i, cut in parts.items():
+        ids = []
+        for k, (piece, start, held) in enumerate(sorted(cut)):
+            assert (piece, start) == (k, len(ids))
+            ids += held
+        out[i] = ids
+    return out
+
+
 def test_run_against_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     named = corpus_pipeline.identify(spark, docs, sf)
@@ -19,11 +49,13 @@ def test_run_against_plain_stages(spark, sf):
     rows = [(i, t) for i, t in rows if kept[i][2]]
     left = {i: (n, ws) for i, n, ws in brute.substring_dedup(rows)}
     rows = [(i, left[i][1]) for i, _ in rows if left[i][1] or not left[i][0]]
-    packed = corpus_pipeline.run(spark, sf)
-    got = packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
-    for r in got:  # words of the cut texts, one blank or more between them and the end mark
-        assert r.n >= len(" ".join(dict(rows)[r.doc_id]).encode()) + 1
+    got = rebuilt(corpus_pipeline.run(spark, sf).collect())
+    assert sorted(got) == [i for i, _ in rows]
+    known = library()
+    for i, ids in got.items():  # the cut text's words, in order, and one end mark after them
+        assert ids[-1] == corpus_pipeline.END and corpus_pipeline.END not in ids[:-1]
+        text = known.decode(ids[:-1])
+        assert brute.words_of(text) == list(dict(rows)[i]) and known.encode_ordinary(text) == ids[:-1]
 
 
 def test_stages_on_odd_rows(spark, sf):
@@ -40,7 +72,8 @@ def test_stages_on_odd_rows(spark, sf):
     assert [g[:2] for g in got] == [(0, rows[5][1]), (1, run), (2, "und noch eine"), (6, "the end of it")]
     assert all(g[3] is None or g[3] in (1, len(g[1]), 5, 6) for g in got)
     final = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert final.count() == 4
+    held = final.collect()
+    assert sum(len(r.segments) for r in held) == 4 and sum(list(r.ids).count(corpus_pipeline.END) for r in held) == 4
     empty = docs.limit(0)
     for _, step in corpus_pipeline.STAGES:
         empty = step(spark, empty, sf)
