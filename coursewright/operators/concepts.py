@@ -35,6 +35,9 @@ CATEGORIES: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: Concepts of one node that meet each other under one key of a join.
+TILE = 256
+
 # Raw concepts: doc_id, name, category, importance, mentions, node_id (null for text patterns), emit (order struct).
 
 
@@ -149,15 +152,29 @@ def map_concepts_to_units(links: DataFrame, unit_nodes: DataFrame) -> DataFrame:
     return links.join(last, ["doc_id", "node_id"]).select("doc_id", "concept_id", "unit_id").distinct()
 
 
-def concept_cooccurrence(links: DataFrame, min_shared: int = 1) -> DataFrame:
+def concept_cooccurrence(links: DataFrame, min_shared: int = 1, tile: int = TILE) -> DataFrame:
     """Unordered pairs of concepts sharing nodes; weight min(1, shared / 4).
 
-    The pairs are the result itself.  Links are distinct, the join is an equi-join on
-    the node (AQE splits a skewed one), and counts combine before the shuffle.
+    The pairs are the result itself.  A node with m concepts is dealt as a triangle of tiles over
+    ceil(m / ``tile``) strips of them: a row meets each strip in a tile of its own, so that no key
+    of the join holds more than about ``tile`` rows a side, whatever the node.  Most nodes are one
+    tile.  Concepts of fewer than ``min_shared`` nodes can be in no pair and stay out of the join.
+    ``links`` are distinct and read several times; stage them.  Null ids are in no pair.
     """
-    a = links.select("doc_id", "node_id", F.col("concept_id").alias("source_id"))
-    b = links.select("doc_id", "node_id", F.col("concept_id").alias("target_id"))
-    pairs = a.join(b, ["doc_id", "node_id"]).where(F.col("source_id") < F.col("target_id"))
+    keys = ["doc_id", "node_id"]
+    links = links.where(F.col("concept_id").isNotNull())
+    if min_shared > 1:
+        often = links.groupBy("doc_id", "concept_id").agg(F.count("*").alias("_nodes")).where(F.col("_nodes") >= min_shared)
+        links = links.join(often, ["doc_id", "concept_id"], "left_semi")
+    strips = links.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("_strips")).where(F.col("_strips") > 1)
+    dealt = links.join(strips, keys, "left").withColumn("_strips", F.coalesce("_strips", F.lit(1)))
+    dealt = dealt.withColumn("_strip", F.pmod(F.xxhash64("concept_id"), F.col("_strips")).cast("int"))
+    own = F.col("_strip")
+    a = dealt.select(*keys, F.col("concept_id").alias("a"), own.alias("_row"), F.explode(F.sequence(own, F.col("_strips") - 1)).alias("_column"))
+    b = dealt.select(*keys, F.col("concept_id").alias("b"), F.explode(F.sequence(F.lit(0), own)).alias("_row"), own.alias("_column"))
+    # Tiles off the diagonal meet each pair once, those on it both ways round and with itself.
+    met = a.join(b, [*keys, "_row", "_column"]).where((F.col("_row") < F.col("_column")) | (F.col("a") < F.col("b")))
+    pairs = met.select("doc_id", F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id"))
     shared = pairs.groupBy("doc_id", "source_id", "target_id").agg(F.count("*").alias("shared"))
     return shared.where(F.col("shared") >= min_shared).select(
         "doc_id",
