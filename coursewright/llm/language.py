@@ -29,6 +29,8 @@ FAMILIES = {
 SAMPLE_ROWS = 400
 #: Columns that byte runs of the given lengths are hashed to.
 COLUMNS, RUNS = 8192, (1, 2, 3, 4)
+#: Texts judged at once: their bytes, and their number, since each takes a row of COLUMNS numbers.
+SLICE_BYTES, SLICE_ROWS = 512 << 10, 256
 #: Passes of the solver over the sample, its penalty and the scale of a text's shares.
 PASSES, PENALTY, SCALE = 30, 1.0, 40.0
 UNKNOWN = "und"
@@ -189,7 +191,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.pieces(batch, "text"):
+            for part in words.pieces(batch, "text", SLICE_BYTES, SLICE_ROWS):
                 rows = [row.astype(np.float16).tobytes() for row in shares(*words.buffers(part.column("text"))) * 256]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array(rows, pa.binary())], names=["lang", "draw", "row"])
 
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.pieces(batch, text):
+            for part in words.pieces(batch, text, SLICE_BYTES, SLICE_ROWS):
                 names, scores = sent.value.predict(shares(*words.buffers(part.column(text))))
                 known = part.column(known_col).to_numpy(zero_copy_only=False).astype(bool)
                 names = [name if ok else UNKNOWN for name, ok in zip(names, known, strict=True)]

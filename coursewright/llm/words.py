@@ -42,13 +42,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with at most ``limit`` bytes of text, or one row."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with at most ``limit`` bytes of text, or one row; with ``rows`` no slice has more of them."""
     ends = buffers(batch.column(column))[1][1:]
     at, n = 0, batch.num_rows
     while at < n:
         base = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = min(stop, at + rows) if rows else stop
         yield batch.slice(at, stop - at)
         at = stop
 

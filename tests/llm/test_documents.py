@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from coursewright.llm import fingerprints, language, packing, queries, sharding, words
@@ -149,6 +150,14 @@ def test_shard_weights_and_edges(spark):
     assert sharding.shard_rows(keys.limit(0), [1.0] * 8).count() == 0
 
 
+def test_pieces_are_bounded_by_bytes_and_rows():
+    batch = pa.record_batch({"text": ["a"] * 700 + ["b" * 3000, None, "", "c" * 400]})
+    cut = list(words.pieces(batch, "text", 1000, 256))
+    assert [p.num_rows for p in cut] == [256, 256, 188, 1, 3]
+    assert pa.Table.from_batches(cut).column("text").to_pylist() == batch.column("text").to_pylist()
+    assert [p.num_rows for p in words.pieces(batch, "text", 1000)] == [700, 1, 3]
+
+
 # ---- packing ---------------------------------------------------------------------
 
 
