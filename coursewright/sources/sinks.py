@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import os
+import uuid
+from collections.abc import Iterator, Mapping
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +50,19 @@ def write_json_export(artifacts: Mapping[str, DataFrame], path: str) -> None:
 def write_files(contents: DataFrame, path: str) -> None:
     """A file for each row (name, content) below ``path``, on whatever file system that is.
 
-    Names are the caller's, which Spark's writers do not allow; rows come to the driver one
-    partition at a time and go straight to the file system.
+    Names are the caller's, which Spark's writers do not allow.  The tasks that hold the rows write
+    them where ``path`` is a folder that all machines mount, so nothing passes the driver; a file
+    appears whole, and a task that is repeated writes it again.  On other file systems, which only
+    the JVM can open, rows come to the driver one partition at a time.
     """
     context = contents.sparkSession.sparkContext
     of = context._jvm.org.apache.hadoop.fs.Path
     folder = of(path)
     system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = system.makeQualified(folder).toUri()
+    if uri.getScheme() == "file":
+        contents.select("name", "content").mapInArrow(partial(_write_batches, uri.getPath()), "n long").agg(F.sum("n")).collect()
+        return
     for row in contents.toLocalIterator():
         out = system.create(of(folder, row["name"]), True)
         try:
@@ -61,6 +71,24 @@ def write_files(contents: DataFrame, path: str) -> None:
             out.close()
 
 
+def _write_batches(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made: set[str] = set()
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            if not name.is_valid or not content.is_valid:
+                raise ValueError("a file needs a name and a content")
+            folder, _, last = f"{base}/{name.as_py()}".rpartition("/")
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            # Spark's scans do not see names that begin with a dot.
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            with open(part, "wb") as out:
+                out.write(content.as_buffer())
+            os.replace(part, f"{folder}/{last}")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+
 def write_graph_tables(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
