@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coursewright.functions import geometry as G
 from coursewright.functions import text as X
 from coursewright.operators import sequence as Q
+from coursewright.session import stage
 
 PAGE = ["doc_id", "page"]
 
@@ -101,22 +102,25 @@ def split_by_block_and_style(lines: DataFrame) -> DataFrame:
     ``lines``: doc_id, node_id, line_no, block, text, font, size, bold.
     """
     keys = ["doc_id", "node_id"]
+    lines = stage(lines.withColumn("text", X.strip(F.col("text"))))
     runs = Q.islands(lines, keys, "line_no", "_run", ["block"], lambda p, r: p["block"] == r["block"])
-    w = Window.partitionBy(*keys, "_run").orderBy("line_no")
+    # A run is the lines of one source block of one node: its windows and its segments share one shuffle.
+    whole = Window.partitionBy(*keys, "_run")
+    w = whole.orderBy("line_no")
     signature = F.struct("font", F.round("size", 2).alias("size"), "bold")
-    # A run is the lines of one source block of one node.
-    staged = runs.withColumn("_changed", F.when(F.lag(signature).over(w) != signature, 1).otherwise(0))
+    changed = runs.withColumn("_changed", F.when(F.lag(signature).over(w) != signature, 1).otherwise(0))
     mono = F.lower("font").contains("courier") | F.lower("font").contains("mono")
-    stats = staged.groupBy(*keys, "_run").agg(
-        F.count("*").alias("_n"), F.bool_and(mono).alias("_mono"), F.sum("_changed").alias("_changes")
+    placed = changed.withColumns(
+        {"_n": F.count("*").over(whole), "_mono": F.bool_and(mono).over(whole), "_changes": F.sum("_changed").over(whole)}
     )
     apart = (F.col("_n") > 1) & (F.col("_mono") | (F.col("_changes") >= F.greatest(F.lit(1), F.col("_n") - 1)))
-    placed = staged.join(stats, [*keys, "_run"]).withColumn("segment", F.when(apart, F.col("line_no")).otherwise(F.col("_run")))
-    size = F.length(X.strip(F.col("text")))
-    segments = placed.groupBy(*keys, "segment").agg(
-        Q.ordered_join(F.when(X.strip(F.col("text")) != "", X.strip(F.col("text"))), F.col("line_no"), " ").alias("text"),
-        F.max_by("font", F.struct(size.alias("k"), (-F.col("line_no")).alias("o"))).alias("font"),
-        F.count("*").alias("n_lines"),
+    placed = placed.withColumn("segment", F.when(apart, F.col("line_no")).otherwise(F.col("_run")))
+    segments = stage(
+        placed.groupBy(*keys, "_run", "segment").agg(
+            Q.ordered_join(F.when(F.col("text") != "", F.col("text")), F.col("line_no"), " ").alias("text"),
+            F.max_by("font", F.struct(F.length("text").alias("k"), (-F.col("line_no")).alias("o"))).alias("font"),
+            F.count("*").alias("n_lines"),
+        ).drop("_run")
     )
     many = segments.groupBy(*keys).agg(F.count("*").alias("_s")).where(F.col("_s") > 1).select(*keys)
     return segments.join(many, keys, "left_semi")
