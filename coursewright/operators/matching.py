@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright.operators import sequence as Q
 from coursewright.session import stage
 
+#: Asks and offers of a group that one task serves in order; larger groups are served in rounds.
+GROUP_ROWS = 1 << 16
+
 
 def dominant_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str, weight: str) -> DataFrame:
     """(keys, left, right): what taking pairs by falling ``weight``, then ``left``, then ``right`` gives, each end used once.
@@ -62,11 +66,73 @@ def served_in_order(asks: DataFrame, offers: DataFrame, key: str) -> DataFrame:
     Someone with a fixed offer takes it from its queue if it is still there, and has it in any case;
     others take the first one left in their first queue, else in their second.
 
+    A group of at most ``GROUP_ROWS`` asks and offers is served by the task that holds it; all
+    such groups share one shuffle.  Larger ones are served in rounds.
+    """
+    offers = stage(offers.select(key, "queue", "place", "offer"))
+    fixed = asks.where(F.col("fixed").isNotNull()).select(key, "at", F.col("fixed").alias("offer"))
+    sizes = asks.select(key).unionByName(offers.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    large = stage(sizes.where(F.col("n") > GROUP_ROWS).select(key))
+    if large.isEmpty():
+        return fixed.unionByName(_served_by_group(asks, offers, key))
+    of = lambda df, how: df.join(large, key, how)
+    out = fixed.unionByName(_served_by_group(of(asks, "left_anti"), of(offers, "left_anti"), key))
+    return out.unionByName(_served_in_rounds(of(asks, "left_semi"), of(offers, "left_semi"), key))
+
+
+def _served_by_group(asks: DataFrame, offers: DataFrame, key: str) -> DataFrame:
+    """``served_in_order`` without the fixed offers, a group at a time; a group's offers come before its asks."""
+    types = {"offer": offers.schema["offer"].dataType, "at": asks.schema["at"].dataType, "key": asks.schema[key].dataType}
+    rows = offers.select(
+        F.col(key), F.lit(0).alias("kind"), F.col("place").cast("long").alias("order"), F.col("queue").alias("first"),
+        F.lit(None).cast("string").alias("second"), "offer", F.lit(None).cast(types["at"]).alias("at"),
+    ).unionByName(
+        asks.where(F.col("at").isNotNull()).select(
+            F.col(key), F.lit(1).alias("kind"), F.col("at").cast("long").alias("order"), "first", "second",
+            F.col("fixed").cast(types["offer"]).alias("offer"), "at",
+        )
+    )
+    met = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "kind", "order").drop("order")
+    schema = f"`{key}` {types['key'].simpleString()}, at {types['at'].simpleString()}, offer {types['offer'].simpleString()}"
+    return met.mapInArrow(_serve, schema)
+
+
+def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, at, offer) of the asks without a fixed offer; rows (key, kind, first, second, offer, at) of a group follow each other."""
+    group, queues, starts, gone = None, {}, {}, set()
+    for batch in batches:
+        taken = []
+        for key, kind, first, second, offer, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != group:
+                group, queues, starts, gone = key, {}, {}, set()
+            if kind == 0:
+                queues.setdefault(first, []).append(offer)
+            elif offer is not None:
+                gone.add(offer)
+            else:
+                for name in (first, second):
+                    queue = queues.get(name, ()) if name is not None else ()
+                    place = starts.get(name, 0)
+                    while place < len(queue) and queue[place] in gone:
+                        place += 1
+                    if place < len(queue):
+                        taken.append((key, at, queue[place]))
+                        starts[name] = place + 1
+                        break
+        names, kinds = batch.schema.names, batch.schema.types
+        columns = list(zip(*taken, strict=True)) or [(), (), ()]
+        fields = [(names[0], kinds[0]), ("at", kinds[5]), ("offer", kinds[4])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _served_in_rounds(asks: DataFrame, offers: DataFrame, key: str) -> DataFrame:
+    """``served_in_order`` without the fixed offers, no group in one task.
+
     In each queue the leading rows that surely ask it now (for all others it is the second choice
     while the first has offers) are served at once, the k-th with the k-th offer; leading fixed
     ones are taken out.  The first of a group is never behind anyone, so each round serves it.
     """
-    queued = stage(offers.select(key, "queue", "place", "offer"))
+    queued = stage(offers)
     fixed = asks.where(F.col("fixed").isNotNull()).select(key, "at", F.col("fixed").alias("offer"))
     held = fixed.join(queued.select(key, "queue", "offer").distinct(), [key, "offer"]).select(
         key, "queue", "at", F.lit(0).alias("choice"), "offer"
@@ -76,7 +142,7 @@ def served_in_order(asks: DataFrame, offers: DataFrame, key: str) -> DataFrame:
         key, "queue", "at", (F.col("choice") + 1).alias("choice"), F.lit(None).cast(offers.schema["offer"].dataType).alias("offer")
     )
     waiting = stage(wishes.unionByName(held))
-    served = [fixed]
+    served = []
     while True:
         # Queues without offers are dropped; then a row's least choice left is the one it surely makes now.
         live = waiting.join(queued.select(key, "queue").distinct(), [key, "queue"], "left_semi")
@@ -105,7 +171,7 @@ def served_in_order(asks: DataFrame, offers: DataFrame, key: str) -> DataFrame:
         )
         done = met.select(key, "at").unionByName(gone.select(key, "at"))
         waiting = stage(asked.drop("now", "sure").join(done, [key, "at"], "left_anti"))
-    out = served[0]
-    for part in served[1:]:
+    out = fixed.where("false")
+    for part in served:
         out = out.unionByName(part)
     return out

@@ -76,3 +76,27 @@ def test_a_title_that_all_share_is_served_at_once(spark):
     )
     got = {r["ord"]: r.lesson_id for r in B.resolve_lessons(book, course).collect()}
     assert got == dict(enumerate(sorted(range(n), key=lambda i: (i % 3, i))))
+
+
+def test_groups_are_served_without_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = {1: 3, 2: 40, 3: 7, 4: 25}
+    asks = [(k, at, rng.choice("abc"), rng.choice(["b", None]), 5 + at if at % 6 == 5 else None) for k, n in sizes.items() for at in range(n)]
+    offers = [(k, "abc"[p % 3], p, p) for k, n in sizes.items() for p in range(n)]
+    nulls = [(None, 0, "a", None, None), (1, None, "a", None, None), (2, None, "a", None, 77)]
+    args = (
+        spark.createDataFrame(asks + nulls, "k long, at long, first string, second string, fixed long"),
+        spark.createDataFrame([*offers, (None, "a", 0, 9), (1, None, 0, 9)], "k long, queue string, place long, offer long"), "k",
+    )
+    want = {(2, None, 77)}
+    for k in sizes:
+        want |= {(k, at, o) for at, o in served([a[1:] for a in asks if a[0] == k], [o[1:] for o in offers if o[0] == k]).items()}
+    staged = []
+    plain = M.stage
+    monkeypatch.setattr(M, "stage", lambda df: staged.append(1) or plain(df))
+    assert {(r.k, r.at, r.offer) for r in M.served_in_order(*args).collect()} == want
+    assert len(staged) <= 2
+    monkeypatch.setattr(M, "GROUP_ROWS", 30)  # groups 2 and 4 in rounds
+    assert {(r.k, r.at, r.offer) for r in M.served_in_order(*args).collect()} == want
+    monkeypatch.setattr(M, "GROUP_ROWS", 0)
+    assert {(r.k, r.at, r.offer) for r in M.served_in_order(*args).collect()} == want
