@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.llm.staging import Stages
@@ -133,6 +133,20 @@ def pack(
     return dealt.groupBy("pack_group").applyInPandas(lambda g: pack_group(g, sizes, balance), PACKED)
 
 
+def halves(ids: Column) -> Column:
+    """Ids as shorts: struct(low, high), ``high`` null where all ids are from 0 to 65,535; half the bytes of integers then."""
+    high = F.transform(ids, lambda v: F.shiftright(v, 16).cast("short"))
+    low = F.transform(ids, lambda v: (v.bitwiseAND(F.lit(65535)) - 32768).cast("short"))
+    return F.struct(low.alias("low"), F.when(F.exists(ids, lambda v: (v < 0) | (v > 65535)), high).alias("high"))
+
+
+def joined_halves(pair: Column) -> Column:
+    """The ids that ``halves`` took apart."""
+    low = lambda v: v.cast("int") + 32768
+    both = F.zip_with(pair["low"], pair["high"], lambda a, b: F.shiftleft(b.cast("int"), 16).bitwiseOR(low(a)))
+    return F.when(pair["high"].isNull(), F.transform(pair["low"], low)).otherwise(both)
+
+
 def sequences(
     docs: DataFrame, end: int, *, ids: str = "ids", key: str = "doc_id", capacities: Iterable[int] = CAPACITIES,
     balance: float = BALANCE, group_rows: int = GROUP_ROWS,
@@ -151,6 +165,7 @@ def sequences(
 
     A document is cut into pieces before they move, so no shuffled row holds more than the
     largest capacity, whatever the longest document; pieces meet their places by (row, piece).
+    Ids move as ``halves``.
     """
     sizes = sorted({int(c) for c in capacities})
     spark = docs.sparkSession
@@ -164,13 +179,14 @@ def sequences(
     top = sizes[-1]
     starts = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(top))
     pieces = held.select("doc_id", "row", F.posexplode(F.transform(starts, lambda at: F.slice("ids", at + 1, top))).alias("piece", "ids"))
+    pieces = pieces.withColumn("ids", halves(F.col("ids")))
     joined = places.withColumnRenamed("doc_id", "row").join(pieces, ["row", "piece"])
     part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     whole = joined.groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.array_sort(F.collect_list(part)).alias("parts"))
     made = whole.select(
         "bin_id",
         "capacity",
-        F.flatten("parts.ids").alias("ids"),
+        F.flatten(F.transform("parts", lambda p: joined_halves(p["ids"]))).alias("ids"),
         F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("doc_id", "piece", "start", "offset", "length")])).alias("segments"),
     )
     return made.select("bin_id", "capacity", F.size("ids").alias("n_tokens"), "ids", "segments")

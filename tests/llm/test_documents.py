@@ -281,3 +281,16 @@ def test_shard_of_every_key(spark):
     assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {
         i: (plain(i, [1.0, 3.0, 0.5]), plain(i, [1.0, 3.0, 0.5, 2.0])) for i in range(2000)
     }
+
+
+def test_ids_move_as_halves(spark):
+    ids = [[0, 1, 65535], [], [65536, -1, 2**31 - 1, -(2**31)], [50256]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "doc_id long, ids array<int>")
+    halved = df.select("doc_id", packing.halves(F.col("ids")).alias("h"))
+    got = halved.select("doc_id", "h", packing.joined_halves(F.col("h")).alias("ids")).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == ids and [r.h.high is None for r in got] == [True, True, False, True]
+    assert halved.schema["h"].dataType["low"].dataType.elementType.typeName() == "short"
+    made = packing.sequences(df, 7, capacities=[4, 8])
+    found = {(s.doc_id, s.start): r.ids[s.offset : s.offset + s.length] for r in made.collect() for s in r.segments}
+    whole = {i: sum((found[k] for k in sorted(found) if k[0] == i), []) for i in range(len(ids))}
+    assert whole == {i: [*v, 7] for i, v in enumerate(ids)}
