@@ -58,11 +58,13 @@ def match_lines_in_box(nodes: DataFrame, lines: DataFrame, padding: float, strip
         (F.col("x1") < F.col("n_x0") - padding) | (F.col("n_x1") + padding < F.col("x0"))
         | (F.col("y1") < F.col("n_y0") - padding) | (F.col("n_y1") + padding < F.col("y0"))
     )
-    folded = lines.withColumn("_line", X.fold_text(F.col("text"))).where(F.col("_line") != "")
+    # Blank lines go by a plain trim, so that a line is folded once.
+    folded = lines.where(X.strip(F.col("text")) != "").withColumn("_line", X.fold_text(F.col("text")))
     padded = n.withColumns({"_top": F.col("n_y0") - padding, "_bottom": F.col("n_y1") + padding})
     met = in_strips(padded, "_top", "_bottom", strip).join(in_strips(folded, "y0", "y1", strip), [*PAGE, "_strip"])
     once = F.col("_strip") == F.greatest(F.floor(F.col("_top") / strip), F.floor(F.col("y0") / strip))
-    hits = met.where(once & touching & F.col("_text").contains(F.col("_line")))
+    # Not a bare ``contains``: for that Spark also filters by folded texts that are not null and so folds them again.
+    hits = met.where(once & touching & F.coalesce(F.col("_text").contains(F.col("_line")), F.lit(False)))
     return hits.drop("_strip", "_top", "_bottom", "_text", "_line", *[f"n_{c}" for c in ("x0", "y0", "x1", "y1")])
 
 

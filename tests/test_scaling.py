@@ -95,3 +95,14 @@ def test_cells_are_folded_once(spark):
         (1, r, " | ".join(f"{r}{c}" for c in range(r + 1)), r == 1, 3, 3, "10 | 11") for r in range(3)
     }
     assert shared_folder(spark)
+
+
+def test_texts_are_folded_once_for_lines_in_boxes(spark):
+    nodes = spark.createDataFrame([(1, 1, "n", " Ab  c\td ", 0.0, 0.0, 0.5, 0.1)], "doc_id long, page int, node_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    lines = spark.createDataFrame(
+        [(1, 1, i, t, 0.0, 0.05, 0.1, 0.06) for i, t in enumerate(["B\u00a0C", " \u2003", None, "", "x", "AB c"])],
+        "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double",
+    )
+    found = L.match_lines_in_box(nodes, lines, 0.01)
+    assert plan(found).count("regexp_replace") == 2
+    assert sorted(r.line_no for r in found.collect()) == [0, 5]
