@@ -21,8 +21,9 @@ def boxes(s, sf):
 
 def lines(s, sf):
     """Six words to a line, two lines to a block, drawn inside the node's box."""
-    word, space = f"[^{X.WS[1:-1]}]+", X.WS
-    pieces = F.regexp_extract_all("text", F.lit(f"{word}(?:{space}+{word}){{0,5}}"), F.lit(0))
+    # One split gives the words of all lines; a text without a word has one empty line.
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(6)), lambda at: F.array_join(F.slice(w, at, 6), " "))
+    pieces = X.bound(X.tokens(F.col("text")), lambda w: F.when(F.size(w) > 0, cut(w)))
     staged = boxes(s, sf).select(
         "doc_id", "page", "node_id", F.col("seq").alias("node_seq"), "x0", "x1", "y0",
         F.posexplode_outer(pieces).alias("at", "piece"),
@@ -31,7 +32,7 @@ def lines(s, sf):
     fonts = F.array(F.lit("Courier"), F.lit("Times"), F.lit("Arial Bold"))
     return staged.select(
         "doc_id", "page", "node_id", "node_seq", "line_no", F.floor(k / 2).alias("block"),
-        F.regexp_replace(F.coalesce("piece", F.lit("")), f"{space}+", " ").alias("text"),
+        F.coalesce("piece", F.lit("")).alias("text"),
         "x0", "x1", (F.col("y0") + k % 10 * 0.01).alias("y0"), (F.col("y0") + k % 10 * 0.01 + 0.009).alias("y1"),
         F.element_at(fonts, (F.col("node_seq") % 3 + F.when(F.col("node_seq") % 2 == 0, 0).otherwise(k % 2)).cast("int") % 3 + 1).alias("font"),
         (9.0 + k % 2).alias("size"), (F.col("node_seq") % 4 == 1).alias("bold"),

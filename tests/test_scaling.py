@@ -10,6 +10,7 @@ from coursewright.operators import layout as L
 from coursewright.operators import progress as P
 from coursewright.operators import search as I
 from coursewright.operators import structure as S
+from coursewright.plans import layout as PL
 from coursewright.session import shared_folder
 from coursewright.sources.sinks import write_files
 
@@ -97,6 +98,16 @@ def test_cells_are_folded_once(spark):
     assert shared_folder(spark)
 
 
+def test_lines_are_cut_by_one_split(spark, tmp_path):
+    texts = ["a b\u00a0c\td e f  g\u2003 h", "", "   ", " one ", None]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = PL.lines(spark, str(tmp_path))
+    assert "regexp" not in plan(found)
+    assert sorted((r.node_id, r.line_no, r.text.split(": ")[-1]) for r in found.collect()) == [
+        ("0/0", 0, "a b c d e"), ("0/0", 1, "f g h"), ("1/0", 0, "Example:"), ("2/0", 0, "Note:"), ("3/0", 0, "See Figure 0. one"),
+    ]
+
+
 def test_texts_are_folded_once_for_lines_in_boxes(spark):
     nodes = spark.createDataFrame([(1, 1, "n", " Ab  c\td ", 0.0, 0.0, 0.5, 0.1)], "doc_id long, page int, node_id string, text string, x0 double, y0 double, x1 double, y1 double")
     lines = spark.createDataFrame(
