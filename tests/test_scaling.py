@@ -98,6 +98,36 @@ def test_cells_are_folded_once(spark):
     assert shared_folder(spark)
 
 
+def test_passes_move_only_what_they_change(spark):
+    rows = [
+        (1, "1/0", None, 0, "heading", 3, "H", "bullet", False), (1, "1/1", None, 1, "paragraph", 0, "a ", "bullet", False),
+        (1, "1/2", None, 2, "paragraph", 0, " b", "bullet", False), (1, "1/3", None, 3, "figure", 0, "f", "bullet", False),
+        (1, "1/4", None, 4, "paragraph", 0, "Figure 1 x", "bullet", False), (1, "1/5", None, 5, "paragraph", 0, "Table 2 y", "bullet", True),
+        (1, "1/6", None, 6, "list", 0, "l", "bullet", False), (1, "1/7", None, 7, "list", 0, "m", "bullet", False),
+        (None, "n/0", None, 0, "equation", 0, "e", "bullet", False), (None, "n/1", None, 1, "paragraph", 0, "Eq. 3", "bullet", False),
+        (1, "1/8", None, 8, None, None, None, None, None),
+    ]
+    schema = "doc_id long, node_id string, parent_id string, seq int, node_type string, level int, text string, list_style string, boundary_preserved boolean"
+    nodes = spark.createDataFrame(rows, schema)
+    spans = lambda df: plan(df).count("Window [")
+    levels = S.repair_heading_levels(nodes)
+    assert {r.node_id: r.level for r in levels.collect()} == {r[1]: 1 if r[1] == "1/0" else r[5] for r in rows}
+    assert plan(levels).index("Union") < plan(levels).index("Window")
+    captioned = S.attach_captions(nodes)
+    assert captioned.columns == [*nodes.columns, "caption"] and spans(captioned) == 0  # the scan is done and holds no other text
+    got = {r.node_id: r.caption for r in captioned.collect()}
+    assert got == {r[1]: "Table 2 y" if r[1] == "1/3" else None for r in rows if r[1] not in ("1/4", "1/5", "n/1")}
+    paragraphs = S.merge_paragraphs(nodes)
+    assert {(r.node_id, r.text, r.n_merged) for r in paragraphs.collect() if r.node_type == "paragraph"} == {
+        ("1/1", "a   b", 2), ("1/4", "Figure 1 x", 1), ("1/5", "Table 2 y", 1), ("n/1", "Eq. 3", 1),
+    }
+    lists = S.merge_lists(nodes)
+    assert {(r.node_id, r.text, r.n_items) for r in lists.collect() if r.node_type == "list"} == {("1/6", "l\nm", 2)}
+    for out in (paragraphs, lists):
+        kept = plan(out).split("Join")[0]
+        assert "Union" in kept and "Window" not in kept  # nodes that do not change come straight from the input
+
+
 def test_lines_are_cut_by_one_split(spark, tmp_path):
     texts = ["a b\u00a0c\td e f  g\u2003 h", "", "   ", " one ", None]
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
