@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -20,6 +20,11 @@ VOCABULARY_BYTES = 64 << 20
 #: Ranks of one word of the bitmap's lower level, as a power of two.
 _WORD = 8
 _BIT = [1 << k for k in range(1 << _WORD)]
+#: Bytes of pre-tokens that share a queue; a longer pre-token has one by itself.
+QUEUED_BYTES = 16 << 10
+#: Stands for the id of a byte that the vocabulary lacks.
+_MISSING = -2
+_INT = struct.Struct("=i")
 
 
 class Vocabulary:
@@ -27,90 +32,141 @@ class Vocabulary:
 
     The queue has a bucket of positions for each rank.  A bitmap in words of 256 ranks says
     which buckets are filled, and one above it which words are; the next rank is the first set
-    bit of the first word that has one.  A bucket with one position is that number, a larger
-    one is a heap, so that the leftmost position comes first.
+    bit of the first word that has one.  A bucket is sorted when its turn comes, so that the
+    leftmost position is first; if a pair of lower rank comes up the rest waits as a heap.
+    Many pre-tokens share one queue: no pair joins two of them, so each is merged as if it were
+    alone, and a rank is looked for once for all places that have it.
     """
 
     def __init__(self, content: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
         self.size = max(self.ranks.values(), default=-1) + 1
         table: list[bytes | None] = [None] * self.size
+        self.of_byte = np.full(256, _MISSING, dtype=np.int32)
+        self.of_pair = np.full(1 << 16, -1, dtype=np.int32)
         for token, rank in self.ranks.items():
             table[rank] = token
+            if len(token) <= 2:
+                (self.of_byte if len(token) == 1 else self.of_pair)[int.from_bytes(token, "big")] = rank
         self.tokens = pa.array(table, pa.binary())
-        self.buckets: dict[int, int | list[int]] = {}
+        self.buckets: dict[int, list[int]] = {}
         self.bitmap = [0] * ((self.size >> _WORD) + 1)
         self.memo = pretokens.Memo()
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank is merged, leftmost first, until none is left."""
-        rank_of = self.ranks.get
-        whole = rank_of(piece)
-        if whole is not None:
-            return [whole]
-        buckets, bitmap, filled = self.buckets, self.bitmap, 0  # filled: the bitmap's words that are not 0
-        n = len(piece)
-        after = list(range(1, n + 1))  # where the next token starts, for each token's start
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of a token joined with the next; an entry of the queue that differs is stale
-        pending = [(i, i + 2) for i in range(n - 1)]
-        while True:
-            for i, stop in pending:
-                rank = rank_of(piece[i:stop])
-                if rank is None:
-                    pair[i] = -1
-                    continue
-                pair[i] = rank
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = i
-                    word = rank >> _WORD
-                    bitmap[word] |= _BIT[rank & 255]
-                    filled |= 1 << word
-                elif type(bucket) is int:
-                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
-                else:
-                    heappush(bucket, i)
-            while filled:
-                word = (filled & -filled).bit_length() - 1
-                bits = bitmap[word]
-                rank = (word << _WORD) + (bits & -bits).bit_length() - 1
-                bucket = buckets[rank]
-                if type(bucket) is int:
-                    i = bucket
-                    del buckets[rank]
-                    bits &= bits - 1
-                    bitmap[word] = bits
-                    if not bits:
-                        filled &= filled - 1
-                else:
-                    i = heappop(bucket)
-                    if len(bucket) == 1:
-                        buckets[rank] = bucket[0]
-                if pair[i] == rank:
-                    break
+        return np.frombuffer(self.encode_all([piece])[0], dtype=np.int32).tolist()
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as bytes of 32-bit integers; a bounded part of them is queued at once."""
+        ids_of = {p: _INT.pack(self.ranks[p]) for p in pieces if p in self.ranks}
+        rest = [p for p in pieces if p not in ids_of]
+        sizes = np.cumsum([len(p) for p in rest])
+        at = 0
+        while at < len(rest):
+            base = sizes[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(sizes, base + QUEUED_BYTES, side="right")))
+            ids_of.update(zip(rest[at:stop], self._merge(rest[at:stop]), strict=True))
+            at = stop
+        return [ids_of[p] for p in pieces]
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that are no tokens themselves, by one queue; a gap follows each of them."""
+        data = b"\0".join([*pieces, b""])
+        codes = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
+        n = len(codes)
+        gaps = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1) - 1
+        heads = np.append(0, gaps[:-1] + 1)
+        ahead, behind = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ahead[gaps], behind[heads] = 0, -1
+        after = ahead.tolist()  # where the next token starts, for each token's start; 0 after a gap
+        before = behind.tolist()  # where the token before starts; -1 at the start of a pre-token
+        own = self.of_byte[codes]
+        own[gaps] = -1
+        token = own.tolist()  # the id of the token that starts here, -1 where none does
+        first = np.append(self.of_pair[(codes[:-1] << 8) + codes[1:]], np.int32(-1))
+        first[gaps] = -1
+        first[gaps - 1] = -1
+        pair: list[int | None] = first.tolist()  # rank of a token joined with the next; an entry of the queue that differs is stale
+        filled = self._fill(first)  # the bitmap's words that are not 0
+        rank_of, buckets, bitmap = self.ranks.get, self.buckets, self.bitmap
+        heaps: set[int] = set()  # ranks whose bucket is a heap; others are sorted when their turn comes
+        while filled:
+            word = (filled & -filled).bit_length() - 1
+            bits = bitmap[word]
+            low = (bits & -bits).bit_length() - 1
+            rank = (word << _WORD) + low
+            bucket = buckets[rank]
+            if rank in heaps:
+                turn = [heappop(bucket)]
             else:
-                break
-            middle = after[i]
-            stop = after[middle]
-            pair[middle] = pair[i] = -1
-            after[i] = stop
-            pending = []
-            if stop < n:
+                bucket.sort()
+                turn = bucket
+            least = rank  # of the pairs that came up since; a lower one goes before what is left of the turn
+            done = 0
+            for i in turn:
+                done += 1
+                if pair[i] != rank:
+                    continue
+                middle = after[i]
+                stop = after[middle]
+                after[i] = stop
+                token[i] = rank
+                token[middle] = -1
+                pair[middle] = pair[i] = None
                 before[stop] = i
-                pending.append((i, after[stop]))
-            if before[i] >= 0:
-                pending.append((before[i], stop))
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+                for at, end in ((before[i], stop), (i, after[stop])):
+                    if at < 0 or not end:
+                        continue
+                    found = pair[at] = rank_of(data[at:end])
+                    if found is None:
+                        continue
+                    if found not in buckets:
+                        buckets[found] = [at]
+                        bitmap[found >> _WORD] |= _BIT[found & 255]
+                        filled |= 1 << (found >> _WORD)
+                    elif found in heaps:
+                        heappush(buckets[found], at)
+                    else:
+                        buckets[found].append(at)
+                    if found < least:
+                        least = found
+                if least < rank:
+                    break
+            if turn is bucket:
+                del bucket[:done]
+                if bucket:
+                    heaps.add(rank)
+            if not bucket:
+                heaps.discard(rank)
+                del buckets[rank]
+                bitmap[word] ^= _BIT[low]
+                if not bitmap[word]:
+                    filled ^= 1 << word
+        left_over = np.array(token, dtype=np.int32)
+        if (left_over == _MISSING).any():
+            raise KeyError("a byte is not in the vocabulary")
+        kept = left_over >= 0
+        ids = left_over[kept].tobytes()
+        ends = (np.cumsum(kept)[gaps] * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _fill(self, first: np.ndarray) -> int:
+        """Puts each place with a pair into the bucket of its rank (``first``); gives the filled words."""
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        ranks, begin, count = np.unique(first[places], return_index=True, return_counts=True)
+        ordered, filled = places.tolist(), 0
+        for rank, a, n in zip(ranks.tolist(), begin.tolist(), count.tolist(), strict=True):
+            self.buckets[rank] = ordered[a : a + n]
+            self.bitmap[rank >> _WORD] |= _BIT[rank & 255]
+            filled |= 1 << (rank >> _WORD)
+        return filled
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and their number)."""
         pieces, index, first = pretokens.distinct(texts)
-        own = self.memo.fill(pieces, lambda new: [array("i", self.encode(p)).tobytes() for p in new])
+        own = self.memo.fill(pieces, self.encode_all)
         if not own:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -58,6 +59,52 @@ def test_very_long_pretokens(vocabulary, library):
     assert not vocabulary.buckets and not any(vocabulary.bitmap)
 
 
+def test_pretokens_share_a_queue(vocabulary, library):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("etaoinshé", k=rng.randrange(1, 30))) for _ in range(6000)] + ["x" * 50_000, "", "é", "é"]
+    got = [np.frombuffer(ids, np.int32).tolist() for ids in vocabulary.encode_all([t.encode() for t in texts])]
+    assert got == library.encode_ordinary_batch(texts)
+    assert not vocabulary.buckets and not any(vocabulary.bitmap)
+
+
+def test_each_merge_looks_two_pairs_up_at_most(library):
+    with open(RANK_FILE, "rb") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return dict.get(self, key, default)
+
+    vocabulary.ranks = Counted(vocabulary.ranks)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("etaoinsh", k=9)) for _ in range(3000))
+    got = encoded(vocabulary, [text])
+    assert got == [library.encode_ordinary(text)]
+    assert len(asked) <= 2 * (len(text) - len(got[0]))
+
+
+def test_pairs_of_lower_rank_come_first():
+    rng = random.Random(4)
+    for alphabet, longest in (("ab", 6), ("abcd", 4), ("abcdef", 3)):
+        tokens = list(alphabet) + list({"".join(rng.choices(alphabet, k=rng.randrange(2, longest + 1))) for _ in range(150)})
+        rng.shuffle(tokens)
+        ranks = {t.encode(): k for k, t in enumerate(tokens)}
+        vocabulary = bpe.Vocabulary(b"\n".join(base64.b64encode(t) + b" %d" % k for t, k in ranks.items()))
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choices(alphabet, k=rng.choice([1, 3, 9, 30, 300]))) for _ in range(2000)]
+        assert encoded(vocabulary, texts) == library.encode_ordinary_batch(texts)
+        assert not vocabulary.buckets and not any(vocabulary.bitmap)
+
+
+def test_a_byte_that_the_vocabulary_lacks_fails():
+    vocabulary = bpe.Vocabulary(b"YQ== 0\nYWI= 1")  # a, ab
+    assert encoded(vocabulary, ["aab", "", "ab"]) == [[0, 1], [], [1]]
+    with pytest.raises(KeyError):
+        vocabulary.encode(b"aba" + b"b" * 3)
+
+
 def test_encode_query(spark, sf, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = queries.QUERIES["op9_bpe"](spark, sf).collect()
