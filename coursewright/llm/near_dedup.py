@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "component")
     alone = nodes.select("set", "least").join(linked, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
-    alone = stages.keep("alone", alone)
+    alone = stages.keep("alone", alone, nodes.count())
     stages.drop("nodes", "twice", "linked", "rest")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -180,7 +180,7 @@ def near_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     lowest = nodes.select("set", "place").join(roots.withColumnRenamed("node", "set"), "set").groupBy("root").agg(F.min("place").alias("first"))
     linked = roots.join(lowest, "root").select(F.col("node").alias("set"), "first")
     alone = nodes.select("set", "place").join(linked, "set", "left").select("set", F.coalesce("first", "place").alias("first"))
-    alone = stages.keep("alone", alone)
+    alone = stages.keep("alone", alone, nodes.count())
     stages.drop("nodes", "linked", "rest")
     out = rows.select("doc_id", "version", F.col("n").alias("n_shingles"), "set").join(alone, "set", "left")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
@@ -247,7 +247,7 @@ def _members(stages: Stages, nodes: DataFrame) -> DataFrame:
     live = stages.keep("live", tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     filled = stages.keep("filled", tables.join(live, "bucket"))
     stages.drop("shared", "tables")
-    degree = stages.keep("degree", filled.groupBy("set").agg(F.sum("size").alias("degree")))
+    degree = stages.keep("degree", filled.groupBy("set").agg(F.sum("size").alias("degree")), nodes.count())
     top = filled.join(degree, "set").groupBy("bucket").agg(F.max(F.struct("degree", "set")).alias("top"))
     center = stages.keep("center", top.select("bucket", F.col("top.set").alias("center")))
     members = stages.keep("members", filled.join(center, "bucket").select("bucket", "set", "center"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coursewright.session import shared_folder
 
+#: Narrow rows of a file, where the number of rows is known.
+FILE_ROWS = 100_000
+
 
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores in front as it takes for ``docs`` to have no such column."""
@@ -32,8 +35,11 @@ class Stages:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/call-{uuid.uuid4().hex}"
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` written and read back; if it has at most ``rows`` narrow rows, in files of about FILE_ROWS, not one for each partition."""
         path = f"{self.folder}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

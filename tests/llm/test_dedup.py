@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from coursewright.llm import line_dedup, near_dedup, queries, substring_dedup
+from coursewright.llm import components, line_dedup, near_dedup, queries, staging, substring_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -81,6 +81,35 @@ def test_half_keys_meet_above_the_threshold():
     assert met >= 199
 
 
+def test_narrow_steps_write_few_files(spark, monkeypatch):
+    """Rounds over a few links write a file each, however many shuffle partitions there are; more rows take more files."""
+    written = []
+
+    def keep(self, name, df, *size, known=staging.Stages.keep):
+        out = known(self, name, df, *size)
+        written.append((name, len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(staging.Stages, "keep", keep)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = [(i, i + 1) for i in range(100, 160) if i != 130] + [(7, i) for i in range(200, 260)] + [(3, 3)]
+        roots = components.components(spark.createDataFrame(edges, "a long, b long"))
+        want = {i: 100 if i <= 130 else 131 for i in range(100, 161)} | {i: 7 for i in (7, *range(200, 260))}
+        assert {r.node: r.root for r in roots.collect()} == want
+        rounds = [w for w in written if w[0] != "links"]
+        assert len(rounds) > 2 and all(files == 1 and n == len(want) for _, files, n in rounds)
+        monkeypatch.setattr(staging, "FILE_ROWS", 50)
+        many = staging.Stages(spark).keep("many", spark.range(0, 200, 1, 24), 200)
+        assert sorted(r.id for r in many.collect()) == list(range(200)) and len(many.inputFiles()) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def substring(spark, rows, window=50):
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA), window).collect()
     return sorted((r.doc_id, r.word_count, brute.words_of(r.text)) for r in out)
