@@ -72,7 +72,10 @@ SQL = {
     "text_pattern_concepts": with_(*ANN, *TXT) + "SELECT doc_id, name, category, importance, mentions FROM from_text",
     "count_mentions": f"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '^{WS}*([^ \\t\\n]+)', 1) AS term FROM documents)
 SELECT doc_id, term, {mentions("text", "term")} AS n FROM f WHERE term <> ''""",
-    "merge_concepts": with_(*ANN, *TXT, merged("raw")) + "SELECT * FROM merged",
+    "merge_concepts": with_(*ANN, *TXT, merged("raw"))
+    + """, places AS (SELECT doc_id, lower(name) AS k, node_id, min(o) AS o FROM raw WHERE node_id IS NOT NULL GROUP BY ALL),
+held AS (SELECT md5(doc_id || '/' || k) AS concept_id, string_agg(node_id, chr(10) ORDER BY o) AS node_ids FROM places GROUP BY doc_id, k)
+SELECT merged.*, coalesce(node_ids, '') AS node_ids, '' AS unit_ids, '' AS aliases FROM merged LEFT JOIN held USING (concept_id)""",
     "score_importance": with_(*ANN, *TXT, merged("raw"))
     + """SELECT * REPLACE (round_even(ln(1 + mentions) / ln(1 + greatest(1, max(mentions) OVER (PARTITION BY doc_id))), 3) AS importance)
 FROM merged""",

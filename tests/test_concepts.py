@@ -39,3 +39,20 @@ def test_a_hot_node_is_spread(spark):
     assert C.concept_cooccurrence(links, 1, 100).count() == 3000 * 2999 // 2
     assert C.concept_cooccurrence(links, 2).count() == 0
     assert C.concept_cooccurrence(links.limit(0)).count() == 0
+
+
+def test_merge_unites_the_lists(spark):
+    rows = [
+        (1, "Cell", "vocab", 0.5, 1, "n2", (0, 2), ["u2"], ["c"]), (1, "cell", "definition", 0.9, 2, "n1", (0, 1), ["u1", "u3"], []),
+        (1, "CELL", "rule", 0.1, 4, None, (1, 0), ["u2", "u4"], ["C", "c", None]), (1, "cell", "skill", 0.2, 1, "n2", (0, 3), None, ["d"]),
+        (1, "x", "fact", 0.3, 1, None, (1, 1), None, None), (2, "cell", "vocab", 0.4, 1, "n9", (0, 0), [], []),
+    ]
+    schema = "doc_id int, name string, category string, importance double, mentions long, node_id string, emit struct<s:int,o:int>, unit_ids array<string>, aliases array<string>"
+    raw = spark.createDataFrame(rows, schema)
+    got = {(r.doc_id, r.name, r.category, r.mentions, r.importance): (r.node_ids, r.unit_ids, r.aliases) for r in C.merge_concepts(raw).collect()}
+    assert got == {
+        (1, "cell", "definition", 8, 0.9): (["n1", "n2"], ["u1", "u3", "u2", "u4"], ["c", "d", "C"]),
+        (1, "x", "fact", 1, 0.3): ([], [], []), (2, "cell", "vocab", 1, 0.4): (["n9"], [], []),
+    }
+    plain = {(r.doc_id, r.name): (r.node_ids, r.unit_ids, r.aliases) for r in C.merge_concepts(raw.drop("unit_ids", "aliases")).collect()}
+    assert plain == {(1, "cell"): (["n1", "n2"], [], []), (1, "x"): ([], [], []), (2, "cell"): (["n9"], [], [])}
