@@ -183,11 +183,16 @@ o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY course_id ORDER BY doc_id ROW
 SELECT course_id, doc_id, chapter, (chapter + b)::BIGINT AS course_order FROM chap JOIN o USING (doc_id)""",
     "page_views": w(ANNOTATED, FIXED, MEMBERS)
     + """, pg AS (SELECT doc_id, page, coalesce(arg_min(text, seq) FILTER (node_type = 'heading'), '') AS title,
-  left(coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (text <> '' AND node_type <> 'page_header'), ''), 280) AS preview
-  FROM nodes GROUP BY 1, 2)
-SELECT pg.*, (SELECT count(DISTINCT unit_id) FROM members m WHERE m.doc_id = pg.doc_id AND m.page = pg.page) AS n_units,
+  coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (text <> '' AND node_type <> 'page_header'), '') AS full_text,
+  left(full_text, 280) AS preview FROM nodes GROUP BY 1, 2),
+u AS (SELECT doc_id, page, string_agg(DISTINCT unit_id, chr(10) ORDER BY unit_id) AS unit_ids FROM members GROUP BY 1, 2),
+an AS (SELECT n.doc_id, n.page, concat_ws('/', a.node_id, a.type, a.ord) AS id, CASE WHEN a.type = 'key_term' THEN lower(a.term) END AS concept
+  FROM anns a JOIN nodes n USING (node_id)),
+ids AS (SELECT doc_id, page, string_agg(DISTINCT id, chr(10) ORDER BY id) AS annotation_ids,
+  string_agg(DISTINCT concept, chr(10) ORDER BY concept) AS concept_ids FROM an GROUP BY 1, 2)
+SELECT pg.*, coalesce(unit_ids, '') AS unit_ids, coalesce(annotation_ids, '') AS annotation_ids, coalesce(concept_ids, '') AS concept_ids, (SELECT count(DISTINCT unit_id) FROM members m WHERE m.doc_id = pg.doc_id AND m.page = pg.page) AS n_units,
   (SELECT count(DISTINCT a.node_id || type || ord) FROM anns a JOIN nodes n USING (node_id) WHERE n.doc_id = pg.doc_id AND n.page = pg.page)
     AS n_annotations,
   (SELECT count(DISTINCT lower(a.term)) FROM anns a JOIN nodes n USING (node_id) WHERE n.doc_id = pg.doc_id AND n.page = pg.page
-    AND type = 'key_term') AS n_concepts FROM pg""",
+    AND type = 'key_term') AS n_concepts FROM pg LEFT JOIN u USING (doc_id, page) LEFT JOIN ids USING (doc_id, page)""",
 }
