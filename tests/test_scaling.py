@@ -39,6 +39,20 @@ def test_initial_progress_joins_lists_of_learners(spark, monkeypatch):
     assert "explode(_users" in plan(found) and plan(found).index("explode(_users") < plan(found).index("Join")
 
 
+def test_initial_progress_comes_list_by_list(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 4, raising=False)
+    monkeypatch.setattr(P, "STRIPS", 1)
+    enrolments = spark.range(10).select(F.col("id").alias("user_id"), F.lit(1).cast("long").alias("unit_id"))
+    sections = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "section_id long, unit_id long, display_order long")
+    items = spark.range(60).select((F.col("id") % 2 + 1).alias("section_id"), F.lit("lesson").alias("kind"), F.col("id").alias("item_id"))
+    rows = P.initial_progress(enrolments, sections, items).collect()
+    assert len(set(rows)) == len(rows) == 600
+    # An item's rows hold the learners of one list, and so do those of the next item: what is written repeats itself.
+    lists = [len(set(r.user_id for r in rows[i : i + 20])) for i in range(0, 600, 20)]
+    assert max(lists) <= 4
+    assert len({tuple(r.user_id for r in rows if r.item_id == i) for i in range(60)}) == 1
+
+
 def test_files_are_written_by_the_tasks(spark, tmp_path):
     rows = spark.createDataFrame([(f"{i % 3}/n{i}.txt", bytearray([i]) * i) for i in range(40)], "name string, content binary")
     rows.toLocalIterator = None  # the driver must not take the rows
