@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +103,64 @@ def split_by_block_and_style(lines: DataFrame) -> DataFrame:
     """Segments of each node's lines: one per source block, or one per line when the block is
     all monospace or its style changes at nearly every line.  Nodes with one segment are left out.
 
+    The lines of a node move once, as a list, and are cut in place.  Nodes of more than one block of ``line_no``
+    (few: their keys are found first, from a narrow read) go through the scans, so that no task holds them.
+
     ``lines``: doc_id, node_id, line_no, block, text, font, size, bold.
     """
     keys = ["doc_id", "node_id"]
-    lines = stage(lines.withColumn("text", X.strip(F.col("text"))))
+    lines = lines.where(F.col("doc_id").isNotNull() & F.col("node_id").isNotNull()).withColumn("text", X.strip(F.col("text")))
+    at = Q.block_of("line_no")
+    long = stage(lines.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b")).where(F.col("_a") < F.col("_b")).select(*keys))
+    line = F.struct("line_no", "block", "text", "font", "size", "bold")
+    packed = lines.join(long, keys, "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    # The outer form: for the plain one Spark first filters by the size of the array and so cuts twice.
+    cut = packed.select(*keys, F.explode_outer(_cut(F.col("_lines"))).alias("_s"))
+    segments = cut.where(F.col("_s").isNotNull()).select(*keys, "_s.*")
+    if long.isEmpty():
+        return segments
+    return segments.unionByName(_cut_in_scans(lines.join(long, keys, "left_semi"), keys))
+
+
+def _signature(line: Column) -> Column:
+    return F.struct(line["font"], F.round(line["size"], 2), line["bold"])
+
+
+def _parts(lines: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """The array cut into arrays, before each element that ``begins(previous, current)``."""
+    def cut(ls: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | begins(F.get(ls, i - 1), F.get(ls, i)))
+        return X.bound(at, lambda s: F.transform(s, lambda a, k: F.slice(ls, a + 1, F.coalesce(F.get(s, k + 1), F.size(ls)) - a)))
+
+    return X.bound(lines, cut)
+
+
+def _cut(lines: Column) -> Column:
+    """The segments of a node's lines (in order) as an array; null for one segment only."""
+    def mono(x: Column) -> Column:
+        return F.lower(x["font"]).contains("courier") | F.lower(x["font"]).contains("mono")
+
+    def apart(run: Column) -> Column:
+        all_mono = F.exists(run, lambda x: F.coalesce(mono(x), F.lit(False))) & ~F.exists(run, lambda x: F.coalesce(~mono(x), F.lit(False)))
+        changes = F.filter(F.sequence(F.lit(1), F.size(run) - 1), lambda i: _signature(F.get(run, i - 1)) != _signature(F.get(run, i)))
+        return F.when(F.size(run) > 1, all_mono | (F.size(changes) >= F.size(run) - 1)).otherwise(False)
+
+    def segment(part: Column) -> Column:
+        return F.struct(
+            F.get(part, F.lit(0))["line_no"].alias("segment"),
+            F.array_join(F.transform(part, lambda x: F.when(x["text"] != "", x["text"])), " ").alias("text"),
+            F.array_max(F.transform(part, lambda x: F.struct(F.length(x["text"]), -x["line_no"], x["font"].alias("font"))))["font"].alias("font"),
+            F.size(part).cast("long").alias("n_lines"),
+        )
+
+    runs = _parts(lines, lambda p, r: ~F.coalesce(p["block"] == r["block"], F.lit(False)))
+    split = F.transform(runs, lambda run: F.when(apart(run), _parts(run, lambda p, r: p["line_no"] != r["line_no"])).otherwise(F.array(run)))
+    segments = F.transform(F.flatten(split), segment)
+    return X.bound(segments, lambda s: F.when(F.size(s) > 1, s))
+
+
+def _cut_in_scans(lines: DataFrame, keys: list[str]) -> DataFrame:
+    lines = stage(lines)
     runs = Q.islands(lines, keys, "line_no", "_run", ["block"], lambda p, r: p["block"] == r["block"])
     # A run is the lines of one source block of one node: its windows and its segments share one shuffle.
     whole = Window.partitionBy(*keys, "_run")

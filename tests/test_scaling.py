@@ -102,6 +102,22 @@ def test_segments_read_their_lines_once(spark):
     ]
 
 
+def test_lines_move_once_and_are_cut_in_place(spark, monkeypatch):
+    rows = [
+        (d, f"{d}/{n}", k, None if k % 11 == 10 else k * 7 % 30 // 12 + k // 9, [None, "", " a ", f"w{k}", "b"][(k + n) % 5],
+         ["Courier", "DejaVu Mono", None, "Times"][(k // 4 + n) % 4 if n % 3 else k % 2], [9.0, 9.001, 10.0, None][(k * n) % 4], [True, False, None][n % 3 if k % 5 else 1])
+        for d in (1, 2) for n in range(12) for k in range(3 * n)
+    ] + [(None, "x", k, k, "t", "Times", 9.0, True) for k in range(3)] + [(1, "one", 4, 1, "t", "Times", 9.0, True)]
+    lines = spark.createDataFrame(rows, "doc_id long, node_id string, line_no int, block int, text string, font string, size double, bold boolean")
+    stored = []
+    monkeypatch.setattr(L, "stage", lambda df, keep=L.stage: stored.append(df.columns) or keep(df))
+    short = Counter(map(tuple, L.split_by_block_and_style(lines).collect()))
+    assert short and not any("text" in c for c in stored)
+    monkeypatch.setattr(L.Q, "BLOCK_ROWS", 4)  # by the scans
+    assert Counter(map(tuple, L.split_by_block_and_style(lines).collect())) == short
+    assert any("text" in c for c in stored)
+
+
 def test_cells_are_folded_once(spark):
     cells = spark.createDataFrame([(t, r, c, f"{r}{c}", r == 1) for t in (1, 2) for r in range(3) for c in range(r + 1)], "table_id long, row_index int, col_index int, text string, is_header boolean")
     found = S.cells_to_rows(cells)
