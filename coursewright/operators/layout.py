@@ -70,33 +70,63 @@ def match_lines_in_box(nodes: DataFrame, lines: DataFrame, padding: float, strip
     return hits.drop("_strip", "_top", "_bottom", "_text", "_line", *[f"n_{c}" for c in ("x0", "y0", "x1", "y1")])
 
 
+#: Nodes of a page from which on its boxes meet within strips of it.
+CROWD = 64
+
+
 def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float, strip: float = STRIP) -> DataFrame:
     """Style of each node: a touching span with matching text, else the largest overlap, else matching text anywhere.
 
-    Boxes meet within strips of the page only, so a page with very many boxes is split; a pair
-    that shares several strips changes no maximum.
+    Texts move once, by page, and nothing is stored: a page's spans stream past its few nodes.  On pages of more
+    than ``CROWD`` nodes (found first, from a narrow read) boxes meet within strips of the page only; a pair that
+    shares several strips changes no maximum.
     """
     n = nodes.select(
         *PAGE, "node_id", F.lower(X.strip(F.col("text"))).alias("_text"),
         (F.col("x0") - padding).alias("n_x0"), (F.col("y0") - padding).alias("n_y0"),
         (F.col("x1") + padding).alias("n_x1"), (F.col("y1") + padding).alias("n_y1"),
     )
-    span = spans.withColumn("_span", F.lower(X.strip(F.col("text"))))
-    area = G.overlap_area(box("n_"), box())
-    same = (F.col("_text") != "") & (F.col("_text").contains(F.col("_span")) | F.col("_span").contains(F.col("_text")))
+    span = spans.select(*PAGE, F.lower(X.strip(F.col("text"))).alias("_span"), "line_no", "node_seq", *box(), "font", "size", "bold")
+    crowded = stage(nodes.groupBy(*PAGE).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select(*PAGE))
+    few = lambda df: df.join(crowded, PAGE, "left_anti")
+    # A pair that touches takes part whatever the texts, any other pair by its texts.
+    met = few(span).join(few(n), PAGE).withColumns({"_touch": _touching(), "_same": _same_text()})
+    ranked = _ranked(met.where(F.col("_touch") | (F.coalesce("_same", F.lit(False)) & (F.col("_span") != ""))))
+    if not crowded.isEmpty():
+        many = lambda df: stage(df.join(crowded, PAGE, "left_semi"))
+        ranked = ranked.unionByName(_ranked_in_strips(many(n), many(span), strip))
+    best = ranked.groupBy("doc_id", "node_id").agg(F.max_by("_style", "_rank").alias("_style"))
+    return nodes.select("doc_id", "node_id").join(best, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "_style.*")
+
+
+def _area() -> Column:
+    return G.overlap_area(box("n_"), box())
+
+
+def _touching() -> Column:
+    placed = F.col("n_y0").isNotNull() & F.col("n_y1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull()
+    return placed & F.coalesce(_area() > 0, F.lit(False))
+
+
+def _same_text() -> Column:
+    return (F.col("_text") != "") & (F.col("_text").contains(F.col("_span")) | F.col("_span").contains(F.col("_text")))
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """Node, rank and style of each pair: those that touch (``_touch``) come before all others."""
     order = [(-F.col("line_no")).alias("o"), (-F.col("node_seq")).alias("s")]
-    style = F.struct("font", "size", "bold")
-    # Texts are compared for touching pairs only; ``max_by`` folds pairs before the shuffle.
-    touching = in_strips(n, "n_y0", "n_y1", strip).join(in_strips(span, "y0", "y1", strip), [*PAGE, "_strip"]).withColumn("_area", area).where(F.col("_area") > 0).withColumn("_same", same)
-    rank = F.struct("_same", F.when(F.col("_same"), 0.0).otherwise(F.col("_area")).alias("a"), *order)
-    best = touching.groupBy("doc_id", "node_id").agg(F.max_by(style, rank).alias("_style"))
+    rank = F.struct("_touch", "_same", F.when(F.col("_touch") & ~F.coalesce("_same", F.lit(False)), _area()).otherwise(0.0).alias("a"), *order)
+    return pairs.select("doc_id", "node_id", rank.alias("_rank"), F.struct("font", "size", "bold").alias("_style"))
+
+
+def _ranked_in_strips(n: DataFrame, span: DataFrame, strip: float) -> DataFrame:
+    met = in_strips(n, "n_y0", "n_y1", strip).join(in_strips(span, "y0", "y1", strip), [*PAGE, "_strip"])
+    touching = _ranked(met.where(_area() > 0).withColumns({"_touch": F.lit(True), "_same": _same_text()}))
     # Nodes that touch nothing look for their text anywhere on the page.
+    best = stage(touching.groupBy("doc_id", "node_id").agg(F.max_by("_style", "_rank").alias("_style"), F.max("_rank").alias("_rank")))
     lost = n.join(best.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
-    anywhere = lost.join(span.where(F.col("_span") != ""), PAGE).where(same)
-    fallback = anywhere.groupBy("doc_id", "node_id").agg(F.max_by(style, F.struct(*order)).alias("_style"))
-    return nodes.select("doc_id", "node_id").join(best.unionByName(fallback), ["doc_id", "node_id"], "left").select(
-        "doc_id", "node_id", "_style.*"
-    )
+    anywhere = lost.join(span.where(F.col("_span") != ""), PAGE).where(_same_text())
+    return best.select("doc_id", "node_id", "_rank", "_style").unionByName(_ranked(anywhere.withColumns({"_touch": F.lit(False), "_same": F.lit(True)})))
 
 
 def split_by_block_and_style(lines: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def covered(s, sf):
 QUERIES = {
     "spatial_cover_anti_join": covered,
     "match_lines_in_box": matched,
-    "best_overlap_style": lambda s, sf: L.best_overlap_style(stage(boxes(s, sf)), stage(lines(s, sf).drop("node_id")), PAD).select(
+    "best_overlap_style": lambda s, sf: L.best_overlap_style(boxes(s, sf), lines(s, sf).drop("node_id"), PAD).select(
         "node_id", "font", "size", "bold"
     ),
     "split_by_block_and_style": lambda s, sf: L.split_by_block_and_style(lines(s, sf)).drop("doc_id"),

@@ -102,6 +102,42 @@ def test_segments_read_their_lines_once(spark):
     ]
 
 
+def test_styles_are_found_by_page_and_in_strips(spark, monkeypatch):
+    box = lambda k: (None if k % 13 == 12 else k % 4 / 4, None if k % 17 == 16 else k % 7 / 8, k % 4 / 4 + k % 3 / 5, None if k % 19 == 18 else k % 7 / 8 + k % 5 / 20)
+    texts = ["a", "", None, "Abc d", "x", " abc ", "zq", "q"]
+    nodes = [(d if d < 3 else None, k % 5 or None, f"{d}/{k % 40}", texts[k * k % 8], *box(k)) for d in range(4) for k in range(45)]
+    spans = [(d if d < 3 else None, k % 5 or None, k // 10, k % 10, texts[k * 3 % 7], *box(3 * k + 1), f"f{k}", k / 2, k % 2 == 0) for d in range(4) for k in range(60)]
+    n = spark.createDataFrame(nodes, "doc_id long, page int, node_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    s = spark.createDataFrame(spans, "doc_id long, page int, line_no int, node_seq int, text string, x0 double, y0 double, x1 double, y1 double, font string, size double, bold boolean")
+    stored = []
+    monkeypatch.setattr(L, "stage", lambda df, keep=L.stage: stored.append(df.columns) or keep(df))
+    found = Counter(map(tuple, L.best_overlap_style(n, s, 0.01).collect()))
+    assert sum(found.values()) == len(nodes) and len(found) > 20 and not any("_span" in c for c in stored)
+
+    def best(doc, node):
+        pairs = []
+        for d, p, i, t, *b in nodes:
+            for e, q, line, seq, u, x0, y0, x1, y1, *style in spans if (d, i) == (doc, node) and d is not None and p is not None else ():
+                if (d, p) == (e, q):
+                    low, high = (lambda *v: min(x for x in v if x is not None)), (lambda *v: max(x for x in v if x is not None))
+                    pad = [v if v is None else v + (-0.01 if k < 2 else 0.01) for k, v in enumerate(b)]
+                    w, h = low(pad[2], x1) - high(pad[0], x0) if (pad[0], x0) != (None, None) else None, None if None in (pad[1], pad[3], y0, y1) else min(pad[3], y1) - max(pad[1], y0)
+                    area = w * h if w is not None and h is not None and w > 0 and h > 0 else 0
+                    mine, other = (v if v is None else v.strip().lower() for v in (t, u))
+                    same = False if mine == "" else None if mine is None or other is None else mine in other or other in mine
+                    if area > 0:
+                        pairs.append(((1, -1 if same is None else int(same), 0 if same else area, -line, -seq), style))
+                    elif same and other != "":
+                        pairs.append(((0, 1, 0, -line, -seq), style))
+        return tuple(max(pairs)[1]) if pairs else (None, None, None)
+
+    assert found == Counter((d, i, *best(d, i)) for d, _, i, *_ in nodes)
+    monkeypatch.setattr(L, "CROWD", 8)  # some pages by strips
+    assert Counter(map(tuple, L.best_overlap_style(n, s, 0.01).collect())) == found
+    monkeypatch.setattr(L, "CROWD", 0)
+    assert Counter(map(tuple, L.best_overlap_style(n, s, 0.01).collect())) == found
+
+
 def test_lines_move_once_and_are_cut_in_place(spark, monkeypatch):
     rows = [
         (d, f"{d}/{n}", k, None if k % 11 == 10 else k * 7 % 30 // 12 + k // 9, [None, "", " a ", f"w{k}", "b"][(k + n) % 5],
