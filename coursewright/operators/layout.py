@@ -86,7 +86,8 @@ def best_overlap_style(nodes: DataFrame, spans: DataFrame, padding: float, strip
         (F.col("x0") - padding).alias("n_x0"), (F.col("y0") - padding).alias("n_y0"),
         (F.col("x1") + padding).alias("n_x1"), (F.col("y1") + padding).alias("n_y1"),
     )
-    span = spans.select(*PAGE, F.lower(X.strip(F.col("text"))).alias("_span"), "line_no", "node_seq", *box(), "font", "size", "bold")
+    # What the spans of a node mostly share stands together, so that a row repeats much of the row before when it moves.
+    span = spans.select(*PAGE, "node_seq", "x0", "x1", "bold", "y0", "y1", "size", "line_no", "font", F.lower(X.strip(F.col("text"))).alias("_span"))
     crowded = stage(nodes.groupBy(*PAGE).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select(*PAGE))
     few = lambda df: df.join(crowded, PAGE, "left_anti")
     # A pair that touches takes part whatever the texts, any other pair by its texts.
